@@ -156,11 +156,11 @@ def airport_labels(flights: DataFrame) -> DataFrame:
     ).agg(F.avg("DepDelay").alias("avg_dep_delay"))
 
 
-def route_stats(flights: DataFrame) -> DataFrame:
+def route_stats(flights: DataFrame, *, min_fine: int = 10, min_hour: int = 5) -> DataFrame:
     """Mean and spread of departure delay per route at three grains.
 
-    grain 3 = (route, hour, weekday) with at least 10 known delays, grain 2 = (route,
-    hour) with at least 5, grain 1 = route. Sums are built once at the finest grain
+    grain 3 = (route, hour, weekday) with at least `min_fine` known delays, grain 2 =
+    (route, hour) with at least `min_hour`, grain 1 = route. Sums are built once at the finest grain
     and rolled up. A missing spread is 15 (20 at route grain).
     """
     fine = flights.where(
@@ -177,7 +177,7 @@ def route_stats(flights: DataFrame) -> DataFrame:
     rolled = fine.select("ORIGIN", "DEST", "n", "s", "ss", F.explode(grains).alias("g")).groupBy(
         "ORIGIN", "DEST", F.col("g.grain").alias("grain"), F.col("g.h").alias("dep_hour"), F.col("g.d").alias("dow")
     ).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
-    need = F.when(F.col("grain") == 3, 10).when(F.col("grain") == 2, 5).otherwise(1)
+    need = F.when(F.col("grain") == 3, min_fine).when(F.col("grain") == 2, min_hour).otherwise(1)
     return rolled.where(F.col("n") >= need).select(
         "ORIGIN", "DEST", "grain", "dep_hour", "dow", "n", (F.col("s") / F.col("n")).alias("hist_avg"),
         F.coalesce(_std("n", "s", "ss"), F.when(F.col("grain") == 1, 20.0).otherwise(15.0)).alias("hist_std"),

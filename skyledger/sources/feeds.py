@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skyledger.functions.expr import delay_text_minutes, hours_between, icao_to_iata, wind_text_ms
 from skyledger.sources.schemas import (
-    DEPARTURES_FEED, FORECAST_FEED, OBSERVATION_FEED, STATE_FIELDS, STATES_FEED, STATUS_ITEM, STATUS_XML,
+    DEPARTURES_FEED, FORECAST_FEED, OBSERVATION_FEED, STATE_FIELDS, STATES_FEED, STATUS_ITEM,
 )
 
 # Fixed values used where an observation or forecast is missing.
@@ -157,7 +157,6 @@ def airport_status(payloads: DataFrame, airports: DataFrame, *, payload: str = "
     listed = F.from_json(F.when(text.startswith("["), text), f"array<{item}>")
     wrapped = F.from_json(F.when(text.startswith("{"), text), f"struct<data:array<{item}>,delays:array<{item}>>")
     single = F.from_json(F.when(text.startswith("{"), text), item)
-    tagged = F.from_xml(F.when(text.startswith("<"), text), STATUS_XML.simpleString())
     keep = [c for c in payloads.columns if c != payload]
 
     from_json_items = payloads.select(*keep, F.explode(
@@ -167,11 +166,20 @@ def airport_status(payloads: DataFrame, airports: DataFrame, *, payload: str = "
         delay_text_minutes(F.coalesce("i.avgDelay", "i.avg_delay", "i.delay", F.lit("0"))).alias("minutes"),
         F.coalesce("i.type", F.lit("")).alias("type"), F.coalesce("i.reason", F.lit("")).alias("reason"),
     )
-    from_xml_items = payloads.where(text.startswith("<")).select(*keep, tagged.alias("i"), text.alias("x")).select(
-        *keep, icao_to_iata(F.coalesce("i.ARPT", "i.Arpt", "i.airport", F.lit(""))).alias("airport"),
-        delay_text_minutes(F.coalesce("i.Avg", "i.AvgDelay", "i.Delay", "i.avg", F.lit("0"))).alias("minutes"),
-        F.regexp_extract("x", r"^<([A-Za-z_][\w.-]*)", 1).alias("type"),
-        F.coalesce("i.Reason", F.lit("")).alias("reason"),
+    # Elements of an XML document whose first child names an airport, at any depth.
+    blocks = F.regexp_extract_all(
+        F.col("x"), F.lit(r"(?s)<(\w+)(?:\s[^>]*)?>\s*<(?:ARPT|Arpt|airport)>.*?</\1>"), F.lit(0))
+
+    def child(*names: str) -> Column:
+        found = [F.regexp_extract("b", rf"<{n}>\s*([^<]*?)\s*</{n}>", 1) for n in names]
+        return F.coalesce(*[F.when(f != "", f) for f in found], F.lit(""))
+
+    from_xml_items = payloads.where(text.startswith("<")).select(*keep, text.alias("x")).select(
+        *keep, F.explode(blocks).alias("b")
+    ).select(
+        *keep, icao_to_iata(child("ARPT", "Arpt", "airport")).alias("airport"),
+        delay_text_minutes(child("Avg", "AvgDelay", "Delay", "avg")).alias("minutes"),
+        F.regexp_extract("b", r"^<(\w+)", 1).alias("type"), child("Reason").alias("reason"),
     )
     every = from_json_items.unionByName(from_xml_items)
     return every.join(airports.select("airport"), "airport", "left_semi").select(

@@ -101,6 +101,3 @@ FORECAST_FEED = T.StructType([T.StructField("properties", T.StructType([
 STATUS_ITEM = _table(
     arpt=_S, airport=_S, avgDelay=_S, avg_delay=_S, delay=_S, type=_S, reason=_S,
 )
-STATUS_XML = _table(
-    ARPT=_S, Arpt=_S, airport=_S, Avg=_S, AvgDelay=_S, Delay=_S, avg=_S, Reason=_S,
-)
