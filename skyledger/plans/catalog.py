@@ -683,17 +683,18 @@ def severity_window_sample(s, d):
 
 @query("""
   SELECT f.snapshot_time, f.flight_id, f.is_support, coalesce(e.n, 0) AS ctx_n_edges, coalesce(e.si, 0) AS ctx_sum_inbound,
-    coalesce(e.sc, 0) AS ctx_sum_cumul, coalesce(e.mh, 0) AS ctx_mean_hist, a.avg_dep_delay AS ctx_dep_delay, a.load_dep_3h AS ctx_load
+    coalesce(e.sc, 0) AS ctx_sum_cumul, coalesce(e.mh, 0) * coalesce(e.n, 0) AS sum_hist, a.avg_dep_delay AS ctx_dep_delay, a.load_dep_3h AS ctx_load
   FROM v_flight_rows f JOIN v_airport_rows a ON a.snapshot_time = f.snapshot_time AND a.airport = f.ORIGIN
   LEFT JOIN (SELECT d.snapshot_time, d.airport, CAST(count(*) AS DOUBLE) AS n, sum(d.edge_weight * x.f_inbound) AS si, sum(d.edge_weight * x.f_cumul) AS sc,
       avg(x.f_hist_avg) AS mh FROM v_departs d JOIN v_flight_rows x ON x.flight_id = d.flight_id AND x.snapshot_time = d.snapshot_time GROUP BY 1, 2) e
-    ON e.snapshot_time = f.snapshot_time AND e.airport = f.ORIGIN""", "ctx_sum_inbound", "ctx_sum_cumul", "ctx_mean_hist", "ctx_dep_delay", "ctx_load")
+    ON e.snapshot_time = f.snapshot_time AND e.airport = f.ORIGIN""", "ctx_sum_inbound", "ctx_sum_cumul", "sum_hist", "ctx_dep_delay", "ctx_load")
 def neighbour_context(s, d):
     fl = _flights(s, d)
     rows = stage(_flight_rows(fl, s, d), "flight-rows")
     edges = snapshots.departs_from(rows, priors.airport_hour_state(fl), _priors(fl))
     return snapshots.neighbour_context(rows, edges, _airport_rows(fl, s, d)).select(
-        "snapshot_time", "flight_id", "is_support", "ctx_n_edges", "ctx_sum_inbound", "ctx_sum_cumul", "ctx_mean_hist", "ctx_dep_delay", "ctx_load")
+        "snapshot_time", "flight_id", "is_support", "ctx_n_edges", "ctx_sum_inbound", "ctx_sum_cumul",
+        (F.col("ctx_mean_hist") * F.col("ctx_n_edges")).alias("sum_hist"), "ctx_dep_delay", "ctx_load")
 
 
 # ---------------------------------------------------------------- evaluation
@@ -1040,8 +1041,8 @@ def flight_audit(s, d):
 
 @query("""
   SELECT 'DepDelay' AS "column", CAST(count_if(DepDelay IS NULL) AS BIGINT) AS missing, avg(CAST(DepDelay IS NULL AS INTEGER)) AS share FROM v_flights
-  UNION ALL SELECT 'ArrDelay', count_if(ArrDelay IS NULL), avg(CAST(ArrDelay IS NULL AS INTEGER)) FROM v_flights
-  UNION ALL SELECT 'TaxiOut', count_if(TaxiOut IS NULL), avg(CAST(TaxiOut IS NULL AS INTEGER)) FROM v_flights""", "share")
+  UNION ALL SELECT 'ArrDelay', CAST(count_if(ArrDelay IS NULL) AS BIGINT), avg(CAST(ArrDelay IS NULL AS INTEGER)) FROM v_flights
+  UNION ALL SELECT 'TaxiOut', CAST(count_if(TaxiOut IS NULL) AS BIGINT), avg(CAST(TaxiOut IS NULL AS INTEGER)) FROM v_flights""", "share")
 def missing_values(s, d):
     return quality.missing_values(td.flights(s, d), ["DepDelay", "ArrDelay", "TaxiOut"])
 
