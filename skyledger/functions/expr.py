@@ -108,7 +108,7 @@ def relative_humidity(temp: Column | str, dew: Column | str) -> Column:
 
 def wind_text_ms(c: Column | str) -> Column:
     """'15 mph' to metres per second; text without a number gives 0."""
-    first = F.element_at(F.split(F.trim(col(c)), r"\s+"), 1)
+    first = F.try_element_at(F.split(F.trim(col(c)), r"\s+"), F.lit(1))
     return F.coalesce(first.try_cast("double") * F.lit(0.44704), F.lit(0.0))
 
 
@@ -163,12 +163,29 @@ def add_hours(ts: Column | str, hours: Column | int) -> Column:
     return col(ts) + F.make_dt_interval(F.lit(0), h.cast("int"))
 
 
+def _second_of_day(c: Column) -> Column:
+    return F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+
+
+def seconds_between(start: Column | str, end: Column | str) -> Column:
+    """Whole seconds from start to end, independent of the session time zone."""
+    a, b = col(start), col(end)
+    days = F.date_diff(b.cast("date"), a.cast("date"))
+    return days.cast("long") * 86400 + (_second_of_day(b) - _second_of_day(a))
+
+
 def minutes_between(start: Column | str, end: Column | str) -> Column:
-    return F.timestamp_diff("SECOND", col(start), col(end)) / F.lit(60.0)
+    return seconds_between(start, end) / F.lit(60.0)
 
 
 def hours_between(start: Column | str, end: Column | str) -> Column:
-    return F.timestamp_diff("SECOND", col(start), col(end)) / F.lit(3600.0)
+    return seconds_between(start, end) / F.lit(3600.0)
+
+
+def hour_number(origin: Column | str, hour: Column | str) -> Column:
+    """Running number of an hour start, 0 at `origin` (also an hour start)."""
+    a, b = col(origin), col(hour)
+    return (F.date_diff(b.cast("date"), a.cast("date")) * 24 + F.hour(b) - F.hour(a)).cast("int")
 
 
 def clock(c: Column | str) -> Column:
@@ -203,7 +220,7 @@ def tier_order(delay: Column | str) -> Column:
 
 
 def tier_label(order: Column | str) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in TIER_LABELS]), col(order).cast("int") + 1)
+    return F.try_element_at(F.array(*[F.lit(x) for x in TIER_LABELS]), col(order).cast("int") + 1)
 
 
 def horizon_label(h: Column | str) -> Column:

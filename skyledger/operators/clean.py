@@ -87,12 +87,11 @@ def _known(df: DataFrame) -> DataFrame:
 
 
 def _table(df: DataFrame, extra: Sequence = ()) -> DataFrame:
-    calendar = {"Year": F.year, "Month": F.month, "DayofMonth": F.dayofmonth}
-    for name, part in calendar.items():
-        if name not in df.columns:
-            df = df.withColumn(name, part("FlightDate"))
-    if "DayOfWeek" not in df.columns:
-        df = df.withColumn("DayOfWeek", F.weekday("FlightDate") + 1)
+    day = F.col("FlightDate")
+    calendar = {"Year": F.year(day), "Month": F.month(day), "DayofMonth": F.dayofmonth(day), "DayOfWeek": F.weekday(day) + 1}
+    for name, known in calendar.items():
+        given = F.col(name).try_cast("int") if name in df.columns else F.lit(None).cast("int")
+        df = df.withColumn(name, F.coalesce(given, known))
     names = [f.name for f in FLIGHTS.fields if f.name != "flight_id"]
     schema = type(FLIGHTS)([f for f in FLIGHTS.fields if f.name in names])
     return conform(df, schema, keep_extra=bool(extra)).select(*names, *extra)

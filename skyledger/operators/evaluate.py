@@ -53,7 +53,7 @@ def error_by_actual_delay(pred: DataFrame, model: str) -> DataFrame:
     rows = pred.where("actual is not null").groupBy(tier_order("actual").alias("b")).agg(
         F.count(F.lit(1)).alias("n"), _mae(), _rmse(), F.avg(F.col("pred") - F.col("actual")).alias("mean_signed_err"),
         F.avg("actual").alias("mean_actual"), F.avg("pred").alias("mean_pred"))
-    bucket = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("b") + 1)
+    bucket = F.try_element_at(F.array(*[F.lit(x) for x in names]), F.col("b") + 1)
     return rows.select(bucket.alias("actual_bucket"), "n", "mae", "rmse", "mean_signed_err", "mean_actual",
                        "mean_pred", F.lit(model).alias("model"))
 

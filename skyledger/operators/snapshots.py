@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions.expr import (
-    add_hours, ceil_hour, clip, cyclic, floor_hour, horizon_band, hours_between, mask_by_horizon,
+    add_hours, ceil_hour, clip, cyclic, floor_hour, horizon_band, hour_number, hours_between, mask_by_horizon,
 )
 from skyledger.operators.clean import between_airports
 
@@ -39,11 +39,6 @@ def hours(flights: DataFrame) -> DataFrame:
     return span.select(F.col("col").alias("snapshot_time"), F.col("pos").alias("snap_idx"))
 
 
-def snap_idx(t: Column | str, flights: DataFrame) -> Column:
-    t = F.col(t) if isinstance(t, str) else t
-    return F.timestamp_diff("HOUR", _first(flights), t).cast("int")
-
-
 # ---------------------------------------------------------------- airports
 
 
@@ -97,15 +92,16 @@ def flight_keys(flights: DataFrame, *, window_h: int = 8) -> DataFrame:
     hour of the grid are left out.
     """
     first = _first(flights)
-    rows = flights.where("dep_datetime is not null").select(
-        "flight_id", "dep_datetime", "DepDelay",
-        F.explode(F.sequence(F.lit(0), F.lit(window_h - 1))).alias("k"), floor_hour("dep_datetime").alias("h"),
-    ).select("flight_id", "dep_datetime", "DepDelay", add_hours("h", -F.col("k")).alias("snapshot_time")).where(
-        F.col("snapshot_time") >= first)
-    h2dep = hours_between("snapshot_time", "dep_datetime")
+    hour = floor_hour("dep_datetime")
+    # Everything about the hour is worked out once per flight, before it is repeated.
+    per_flight = flights.where("dep_datetime is not null").select(
+        "flight_id", "DepDelay", hour.alias("h"), hour_number(first, hour).alias("n"),
+        (F.minute("dep_datetime") * 60 + F.second("dep_datetime")).alias("rest"))
+    rows = per_flight.select("*", F.explode(F.sequence(F.lit(0), F.lit(window_h - 1))).alias("k")).where("n >= k")
+    h2dep = (F.col("k") * 3600 + F.col("rest")) / F.lit(3600.0)
     valid = F.col("DepDelay").isNotNull()
     return rows.select(
-        "flight_id", "snapshot_time", F.timestamp_diff("HOUR", first, F.col("snapshot_time")).cast("int").alias("snap_idx"),
+        "flight_id", add_hours("h", -F.col("k")).alias("snapshot_time"), (F.col("n") - F.col("k")).alias("snap_idx"),
         h2dep.alias("h2dep"), F.when(valid, F.col("DepDelay")).otherwise(F.lit(0.0)).alias("y"),
         F.when(valid, horizon_band(h2dep)).alias("horizon_h"),
     )
@@ -185,7 +181,7 @@ def flight_table(
         "hist_std": F.coalesce(clip(F.col("hist_std") / MAX_DELAY, 0.0, 1.0), zero),
     }
     return rows.select(
-        "snapshot_time", F.timestamp_diff("HOUR", first, F.col("snapshot_time")).cast("int").alias("snap_idx"),
+        "snapshot_time", hour_number(first, "snapshot_time").alias("snap_idx"),
         "flight_id", "is_support", "ORIGIN", "DEST", "Tail_Number", "dep_datetime", "arr_datetime",
         *[v.alias(f"f_{k}") for k, v in features.items()],
         F.when(valid, F.col("DepDelay")).otherwise(zero).alias("y"),

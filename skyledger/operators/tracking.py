@@ -19,7 +19,7 @@ def nearest_snapshot(dep: Column | str, hours: int) -> Column:
     """
     target = add_hours(dep, -hours)
     base = floor_hour(target)
-    past = F.timestamp_diff("SECOND", base, target)
+    past = F.minute(target) * 60 + F.second(target)
     return F.when(past > 1800, base + F.expr("INTERVAL 1 HOUR")).otherwise(base)
 
 
