@@ -1,7 +1,8 @@
 """Neighbour rows and running totals along an ordered key.
 
-A plain window puts every row of one key into one task. Here a key with more
-than `hot_rows` rows is cut into time slots first: the window runs inside each
+A plain window puts every row of one key into one task. Here the keys are counted
+first; without a key of more than `hot_rows` rows the plain window is used, and
+otherwise such keys are cut into time slots: the window runs inside each
 (key, slot), one summary row per slot carries the edge rows and totals, and a
 second window over those summaries links the slots. The result is the same as
 the plain window for every row.
@@ -14,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyledger.plans.staging import stage
+
 HOT_ROWS = 1_000_000
 
 
@@ -40,20 +43,21 @@ def along_key(
     totals = dict(totals or {})
     keys, order = list(keys), list(order)
 
-    # At most rows/hot_rows keys can pass this filter, so the list stays small
-    # whatever the data: that is the bound that makes the broadcast safe.
-    hot = (
+    # One narrow pass decides whether any key needs slots. At most rows/hot_rows keys can
+    # pass the filter, and the list is written, so its size is known before it is joined.
+    hot = stage(
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
-        .select(*keys, F.lit(True).alias("__hot"))
-    )
-    # Cold keys keep a single slot.
-    rows = df.join(F.broadcast(hot), keys, "left").withColumn(
-        "__slot", F.when(F.col("__hot"), slot).otherwise(F.lit("1970-01-01").cast("timestamp_ntz"))
-    )
+        .select(*keys, F.lit(True).alias("__hot")), "hot-keys")
+    skewed = not hot.isEmpty()
+    rows = df
+    if skewed:
+        # Cold keys keep a single slot.
+        rows = df.join(hot, keys, "left").withColumn(
+            "__slot", F.when(F.col("__hot"), slot).otherwise(F.lit("1970-01-01").cast("timestamp_ntz")))
     for name, expr in totals.items():
         rows = rows.withColumn(f"__add_{name}", F.coalesce(expr.cast("double"), F.lit(0.0)))
 
-    w = Window.partitionBy(*keys, "__slot").orderBy(*order)
+    w = Window.partitionBy(*keys, *(["__slot"] if skewed else [])).orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     inside = rows
     if following:
@@ -65,6 +69,17 @@ def along_key(
     if position:
         inside = inside.withColumn("__pos", F.row_number().over(w) - 1)
 
+    if not skewed:
+        out = [F.col(c) for c in df.columns]
+        if following:
+            out.append(F.col("__next").alias("next_row"))
+        if preceding:
+            out.append(F.col("__prev").alias("prev_row"))
+        out += [F.coalesce(f"__sum_{n}", F.lit(0.0)).alias(n) for n in totals]
+        if position:
+            out.append(F.col("__pos").cast("long").alias(position))
+        return inside.select(*out)
+
     # Per-slot summaries of the hot keys: partial aggregation, no full group anywhere.
     aggs = [F.count(F.lit(1)).alias("__rows")]
     if following:

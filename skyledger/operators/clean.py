@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skyledger.functions.conform import ISO_FORMATS, conform, parse_timestamp
 from skyledger.functions.expr import add_minutes, floor_hour, hhmm_minutes
-from skyledger.plans.staging import new_folder
+from skyledger.plans.staging import new_folder, stage
 from skyledger.sources.schemas import FLIGHTS, MONTHLY_NAMES, RAW_YEARLY
 
 # Tail numbers that stand for "unknown".
@@ -114,11 +114,14 @@ def assign_flight_id(
 
     Rows are range-partitioned and sorted in the JVM and written with their position
     inside the partition; the offsets are the running sum of partition sizes (one row
-    per partition). No row passes through Python and no window spans the table.
+    per partition). No row passes through Python and no window spans the table. The
+    input is written first: its scan order then breaks ties, so copies of one row are
+    spread over partitions and keep their place when a task is repeated.
     """
     spark = df.sparkSession
-    tie = F.xxhash64(*df.columns)
-    ordered = df.repartitionByRange(*order, tie).sortWithinPartitions(*order, tie)
+    written = stage(df, "unnumbered").withColumn("__row", F.monotonically_increasing_id())
+    ties = [F.xxhash64(*df.columns), "__row"]
+    ordered = written.repartitionByRange(*order, *ties).sortWithinPartitions(*order, *ties).drop("__row")
     spot = F.monotonically_increasing_id()  # partition number in the upper bits, position in the lower 33
     path = new_folder(spark, "flight-id")
     ordered.withColumn("__at", spot).write.parquet(path)

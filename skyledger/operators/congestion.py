@@ -36,10 +36,10 @@ def taxi_anomaly_edges(
     A route congested both ways appears twice per direction, once forward, once as the
     reverse of the other; self loops are removed.
     """
-    route_hour = flights.where(
+    route_hour = stage(flights.where(
         "ORIGIN is not null and DEST is not null and dep_datetime is not null and TaxiOut is not null"
     ).groupBy("ORIGIN", "DEST", floor_hour("dep_datetime").alias("dep_hour")).agg(
-        F.sum("TaxiOut").alias("taxi_sum"), F.count(F.lit(1)).alias("n"))
+        F.sum("TaxiOut").alias("taxi_sum"), F.count(F.lit(1)).alias("n")), "route-hours")
     hour = route_hour.groupBy("ORIGIN", "dep_hour").agg((F.sum("taxi_sum") / F.sum("n")).alias("avg_taxi"))
     scored = hour.join(baseline.withColumnRenamed("airport", "ORIGIN"), "ORIGIN").withColumn(
         "z", (F.col("avg_taxi") - F.col("taxi_mean")) / F.col("taxi_std"))

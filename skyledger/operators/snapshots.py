@@ -42,6 +42,22 @@ def hours(flights: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- airports
 
 
+def airport_hours(airports: DataFrame, flights: DataFrame) -> DataFrame:
+    """Every airport in every hour of the grid.
+
+    Days are spread over the cluster before hours are produced: a short airport list
+    would otherwise sit in one partition and produce the whole grid in one task.
+    """
+    first, last = _first(flights), _last(flights)
+    days = F.sequence(first.cast("date"), last.cast("date"))
+    parts = int(airports.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = airports.select("airport").distinct().select("airport", F.explode(days).alias("day")).repartition(parts, "airport", "day")
+    hour = F.explode(F.sequence(F.lit(0), F.lit(23)))
+    return spread.select("airport", "day", hour.alias("h")).select(
+        "airport", add_hours(F.col("day").cast("timestamp_ntz"), F.col("h")).alias("snapshot_time")
+    ).where(F.col("snapshot_time").between(first, last))
+
+
 def airport_table(
     flights: DataFrame, airports: DataFrame, priors: DataFrame, state: DataFrame, traffic: DataFrame,
     forecast: DataFrame,
@@ -51,8 +67,7 @@ def airport_table(
     Hour-level inputs are already aggregated by (airport, hour), the key of the grid,
     so the joins reuse that partitioning.
     """
-    span = F.sequence(_first(flights), _last(flights), F.expr("INTERVAL 1 HOUR"))
-    grid = airports.select("airport").distinct().select("airport", F.explode(span).alias("snapshot_time"))
+    grid = airport_hours(airports, flights)
     label = state.where(F.col("departures") > 0).select(
         "airport", add_hours("snapshot_time", -1).alias("snapshot_time"), F.col("avg_dep_delay").alias("y"))
     keys = ["airport", "snapshot_time"]

@@ -379,12 +379,12 @@ _ROT = ["turnaround_min", "edge_weight"]
     avg(CASE WHEN leg2_dep_delay > 15 THEN CAST(1 AS DOUBLE) ELSE 0 END) AS propagated_share, count(*) AS n
   FROM v_rotation WHERE leg1_arr_delay > 15 GROUP BY 1""", "propagated_share")
 def propagation_by_turnaround(s, d):
-    return rotation.propagation_by_turnaround(rotation.rotation_edges(td.flights(s, d)), (0, 60, 240, 721))
+    return rotation.propagation_by_turnaround(rotation.rotation_edges(_flights(s, d)), (0, 60, 240, 721))
 
 
 @query("SELECT * FROM v_rotation", *_ROT)
 def rotation_edges(s, d):
-    return rotation.rotation_edges(td.flights(s, d))
+    return rotation.rotation_edges(_flights(s, d))
 
 
 @query("""
@@ -393,7 +393,7 @@ def rotation_edges(s, d):
     quantile_cont(CASE WHEN ok THEN gap_min END, 0.5) AS gap_median, quantile_cont(CASE WHEN ok THEN gap_min END, 0.75) AS gap_p75
   FROM (SELECT *, coalesce(gap_min BETWEEN 0 AND 180, FALSE) AS ok FROM v_next)""", "gap_mean", "gap_p25", "gap_median", "gap_p75")
 def rotation_candidates(s, d):
-    return rotation.rotation_candidates(td.flights(s, d))
+    return rotation.rotation_candidates(_flights(s, d))
 
 
 @query("""
@@ -401,7 +401,7 @@ def rotation_candidates(s, d):
     avg(edge_weight) AS weight_mean, stddev_samp(edge_weight) AS weight_std, CAST(count_if(leg1_arr_delay > 15) AS BIGINT) AS late_inbound
   FROM v_rotation""", "turnaround_mean", "weight_mean", "weight_std")
 def rotation_stats(s, d):
-    return rotation.rotation_stats(rotation.rotation_edges(td.flights(s, d)))
+    return rotation.rotation_stats(rotation.rotation_edges(_flights(s, d)))
 
 
 @query("""
@@ -410,12 +410,12 @@ def rotation_stats(s, d):
     UNION ALL SELECT 'delayed', leg2_dep_delay FROM v_rotation WHERE leg1_arr_delay > 15
     UNION ALL SELECT 'severe', leg2_dep_delay FROM v_rotation WHERE leg1_arr_delay > 60) GROUP BY 1""", "mean_leg2_dep_delay")
 def propagation_by_class(s, d):
-    return rotation.propagation_by_class(rotation.rotation_edges(td.flights(s, d)))
+    return rotation.propagation_by_class(rotation.rotation_edges(_flights(s, d)))
 
 
 @query("SELECT flight_id, CAST(cumul_delay AS DOUBLE) AS cumul_delay, CAST(legs_done AS BIGINT) AS legs_done, CAST(immed_inbound AS DOUBLE) AS immed_inbound FROM v_tailprop")
 def tail_propagation(s, d):
-    return rotation.tail_propagation(td.flights(s, d)).select("flight_id", "cumul_delay", "legs_done", "immed_inbound")
+    return rotation.tail_propagation(_flights(s, d)).select("flight_id", "cumul_delay", "legs_done", "immed_inbound")
 
 
 # ---------------------------------------------------------------- congestion and network
@@ -620,7 +620,7 @@ def flight_rotation_edges(s, d):
   SELECT date_trunc('hour', leg2_dep) AS snapshot_time, src_airport, mid_airport AS dst_airport, least(turnaround_min, 90) / 90 AS turnaround_norm
   FROM v_rotation""", "turnaround_norm")
 def airport_rotation_edges(s, d):
-    return rotation.by_hour(rotation.rotation_edges(td.flights(s, d)), td.airports(s, d))
+    return rotation.by_hour(rotation.rotation_edges(_flights(s, d)), td.airports(s, d))
 
 
 @query("SELECT * FROM v_departs")
@@ -1057,7 +1057,7 @@ def date_profile(s, d):
     avg(CASE WHEN leg1_arr_delay > 15 THEN CAST(1 AS DOUBLE) ELSE 0 END) AS share_late_inbound, quantile_cont(turnaround_min, 0.5) AS median FROM v_rotation""",
        "mean", "share_20", "share_45", "share_late_inbound", "median")
 def rotation_profile(s, d):
-    return quality.rotation_profile(_rotation(td.flights(s, d)))
+    return quality.rotation_profile(_rotation(_flights(s, d)))
 
 
 @query("""
