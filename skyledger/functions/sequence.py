@@ -131,3 +131,9 @@ def exact_percentiles(
         F.percentile(value, F.array(*[F.lit(float(points[n])) for n in names]), F.col("__n")).alias("__p")
     )
     return found.select(*keys, *[F.try_element_at("__p", F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
+
+
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table to every row, as one scalar subquery."""
+    value = row.select(F.struct(*row.columns).alias("r")).scalar()
+    return df.withColumn("__row", value).select(*df.columns, *[F.col(f"__row.{c}").alias(c) for c in row.columns])

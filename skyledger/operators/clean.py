@@ -52,11 +52,15 @@ def with_times(raw: DataFrame, dep: str, arr: str, policy: str = "clamp") -> Dat
     )
 
 
-def flights(raw: DataFrame, *, hhmm_policy: str = "clamp") -> DataFrame:
-    """Yearly files to the flights table (without flight_id)."""
+def flights(raw: DataFrame, *, hhmm_policy: str = "clamp", time_basis: str = "actual") -> DataFrame:
+    """Yearly files to the flights table (without flight_id).
+
+    `time_basis` "actual" takes the flown clock times, "scheduled" the planned ones.
+    """
+    dep, arr = {"actual": ("DepTime", "ArrTime"), "scheduled": ("CRSDepTime", "CRSArrTime")}[time_basis]
     kept = conform(flown(raw, "not_true"), RAW_YEARLY)
     dated = kept.withColumn("FlightDate", parse_timestamp("FlightDate", ISO_FORMATS).cast("date"))
-    timed = with_times(dated, "DepTime", "ArrTime", hhmm_policy)
+    timed = with_times(dated, dep, arr, hhmm_policy)
     named = timed.withColumnsRenamed({"Origin": "ORIGIN", "Dest": "DEST"})
     return _table(_known(named))
 

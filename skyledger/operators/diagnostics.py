@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions.expr import pearson, share
-from skyledger.functions.sequence import exact_percentiles
+from skyledger.functions.sequence import exact_percentiles, with_row
 from skyledger.plans.staging import stage
 
 
@@ -25,10 +25,9 @@ def volume_quartiles(flights: DataFrame, *, min_pair: int = 50) -> DataFrame:
     """Routes in quartiles of volume (right-closed, lowest included) and their mean delay."""
     routes = stage(route_volume(flights, min_pair=min_pair), "route-volume")
     cuts = exact_percentiles(routes, [], "flight_count", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
-    q1, q2, q3 = [cuts.select(c).scalar() for c in ("q1", "q2", "q3")]
-    n = F.col("flight_count")
+    q1, q2, q3, n = F.col("q1"), F.col("q2"), F.col("q3"), F.col("flight_count")
     quartile = F.when(n <= q1, "Q1 (low)").when(n <= q2, "Q2").when(n <= q3, "Q3").otherwise("Q4 (high)")
-    return routes.groupBy(quartile.alias("volume_quartile")).agg(
+    return with_row(routes, cuts).groupBy(quartile.alias("volume_quartile")).agg(
         F.count(F.lit(1)).alias("n_routes"), F.avg("flight_count").alias("avg_flights"),
         F.avg("avg_arr_delay").alias("avg_arr_delay"), F.avg("pct_delayed").alias("pct_delayed"))
 

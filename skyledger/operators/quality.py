@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.functions.expr import minutes_between, pearson, share, us_tail
-from skyledger.functions.sequence import exact_percentiles
+from skyledger.functions.sequence import exact_percentiles, with_row
+from skyledger.operators.clean import between_airports
 from skyledger.sources.flights import path_exists
 from skyledger.sources.weather import list_files
 
@@ -79,7 +80,7 @@ def delay_profile(flights: DataFrame) -> DataFrame:
         pearson("DepDelay", "ArrDelay").alias("dep_arr_corr"))
     points = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
     q = exact_percentiles(flights, [], "ArrDelay", points)
-    return row.select("*", *[q.select(c).scalar().alias(c) for c in points])
+    return with_row(row, q)
 
 
 def delays(flights: DataFrame) -> DataFrame:
@@ -98,8 +99,6 @@ def airports(
     flights: DataFrame, expected: DataFrame, *, min_rows: int = 8_000_000, min_per_airport: int = 10_000
 ) -> DataFrame:
     """Coverage of the expected airports; takes them as a table with column `airport`."""
-    from skyledger.operators.clean import between_airports
-
     per = between_airports(flights, expected).groupBy(F.col("ORIGIN").alias("airport")).agg(F.count(F.lit(1)).alias("n"))
     both = expected.select("airport").distinct().join(per, "airport", "left")
     row = both.agg(
@@ -135,8 +134,7 @@ def tail_profile(flights: DataFrame) -> DataFrame:
     row = flights.agg(
         F.count_distinct("Tail_Number").alias("tails"), share(F.col("Tail_Number").isNull()).alias("null_rate"),
         share(us_tail("Tail_Number")).alias("us_format"))
-    return row.select("*", *[legs.select(c).scalar().alias(c) for c in ("legs_mean", "legs_max", "over_6")],
-                      median.select("legs_median").scalar().alias("legs_median"))
+    return with_row(with_row(row, legs), median)
 
 
 def tails(flights: DataFrame, *, distinct: tuple[int, int] = (3000, 20000)) -> DataFrame:
@@ -167,7 +165,7 @@ def temporal(flights: DataFrame) -> DataFrame:
     by = monthly_delay(flights).withColumn("season", season)
     mean = lambda s: F.avg(F.when(F.col("season") == s, F.col("mean_arr_delay")))
     seasons = by.agg(mean("summer").alias("summer"), mean("winter").alias("winter"))
-    row = duration_profile(flights).select("*", *[seasons.select(s).scalar().alias(s) for s in ("summer", "winter")])
+    row = with_row(duration_profile(flights), seasons)
     p = F.col
     return as_rows(row, [
         check("No negative durations", p("negative") / p("n") < 0.001, _fmt("%d", p("negative")), warn_only=True),
@@ -209,7 +207,7 @@ def rotation_profile(edges: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("edges"), F.avg(t).alias("mean"), share(t < 20).alias("share_20"), share(t < 45).alias("share_45"),
         share(F.coalesce(F.col("leg1_arr_delay") > 15, F.lit(False))).alias("share_late_inbound"))
     q = exact_percentiles(edges, [], "turnaround_min", {"median": 0.5})
-    return row.select("*", q.select("median").scalar().alias("median"))
+    return with_row(row, q)
 
 
 def rotation(edges: DataFrame) -> DataFrame:
@@ -236,8 +234,8 @@ def audit(flights: DataFrame) -> DataFrame:
         F.count_distinct("ORIGIN").alias("origins"), F.count_distinct("DEST").alias("destinations"),
         F.count_distinct("Operating_Airline").alias("airlines"), F.count_distinct("Tail_Number").alias("tails"))
     both = flights.select(F.explode(F.array("ORIGIN", "DEST")).alias("a")).where("a is not null").distinct().agg(
-        F.count(F.lit(1)).alias("n"))
-    return row.select("*", both.select("n").scalar().alias("airports"))
+        F.count(F.lit(1)).alias("airports"))
+    return with_row(row, both)
 
 
 def missing_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions.expr import floor_hour, hours_between, minutes_between, rotation_risk, share
-from skyledger.functions.sequence import HOT_ROWS, along_key, exact_percentiles
+from skyledger.functions.sequence import HOT_ROWS, along_key, exact_percentiles, with_row
+from skyledger.operators.clean import between_airports
 
 _NEXT = ["flight_id", "ORIGIN", "DEST", "dep_datetime", "arr_datetime", "DepDelay", "ArrDelay"]
 
@@ -58,9 +59,7 @@ def rotation_candidates(flights: DataFrame, *, max_gap_hours: float = 3.0) -> Da
         F.avg(F.when(ok, F.col("gap_min"))).alias("gap_mean"),
     )
     spread = exact_percentiles(pairs.where(ok), [], "gap_min", {"gap_p25": 0.25, "gap_median": 0.5, "gap_p75": 0.75})
-    return counts.select(
-        "*", *[spread.select(c).scalar().alias(c) for c in ("gap_p25", "gap_median", "gap_p75")]
-    )
+    return with_row(counts, spread)
 
 
 def rotation_stats(edges: DataFrame) -> DataFrame:
@@ -140,8 +139,6 @@ def tail_propagation(flights: DataFrame, *, max_gap_hours: float = 8.0, landed_o
 
 def by_hour(edges: DataFrame, airports: DataFrame) -> DataFrame:
     """Airport-to-airport rotation edges per departure hour of leg 2."""
-    from skyledger.operators.clean import between_airports
-
     known = between_airports(edges, airports, "src_airport", "mid_airport")
     return known.select(
         floor_hour("leg2_dep").alias("snapshot_time"), "src_airport", F.col("mid_airport").alias("dst_airport"),

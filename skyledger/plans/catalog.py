@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyledger.functions import expr as X
+from skyledger.functions.sequence import with_row
 from skyledger.operators import (
     clean, congestion, diagnostics, evaluate, learn, network, priors, quality, replay, rotation, snapshots, tracking,
     weather,
@@ -240,7 +241,7 @@ def flight_lookup(s, d):
   FROM v_volume r JOIN (SELECT airport, row_number() OVER (ORDER BY airport) - 1 AS i FROM v_airports) s ON s.airport = r.src_airport
   JOIN (SELECT airport, row_number() OVER (ORDER BY airport) - 1 AS i FROM v_airports) t ON t.airport = r.dst_airport""")
 def edges_with_node_numbers(s, d):
-    edges = congestion.volume_edges(congestion.route_counts(td.flights(s, d)), min_pair=10)
+    edges = congestion.volume_edges(stage(congestion.route_counts(td.flights(s, d)), "routes"), min_pair=10)
     return clean.with_endpoints(edges, clean.airport_index(td.airports(s, d))).select(
         "src_airport", "dst_airport", "src_idx", "dst_idx", "flight_count")
 
@@ -439,7 +440,7 @@ def taxi_anomaly_edges(s, d):
 
 @query("SELECT * FROM v_volume", "edge_weight")
 def volume_edges(s, d):
-    return congestion.volume_edges(congestion.route_counts(td.flights(s, d)), min_pair=10)
+    return congestion.volume_edges(stage(congestion.route_counts(td.flights(s, d)), "routes"), min_pair=10)
 
 
 @query("SELECT * FROM v_hubs")
@@ -567,6 +568,21 @@ def flights_with_route_prior(s, d):
         "flight_id", "hist_avg", "hist_std")
 
 
+@query("""
+  SELECT f.flight_id, coalesce(a.hist_avg, b.hist_avg, c.hist_avg, (SELECT avg(DepDelay) FROM v_train)) AS hist_avg
+  FROM v_flights f
+  LEFT JOIN v_fine a ON a.ORIGIN = f.ORIGIN AND a.DEST = f.DEST AND a.dep_hour = hour(f.dep_datetime) AND a.dow = isodow(f.dep_datetime) - 2
+  LEFT JOIN v_mid b ON b.ORIGIN = f.ORIGIN AND b.DEST = f.DEST AND b.dep_hour = hour(f.dep_datetime)
+  LEFT JOIN v_coarse c ON c.ORIGIN = f.ORIGIN AND c.DEST = f.DEST""", "hist_avg")
+def flights_with_route_prior_shifted(s, d):
+    """The same lookup under the weekday numbering that runs one day late."""
+    fl = _flights(s, d)
+    routes = priors.route_stats(_train(fl), min_fine=2, min_hour=2)
+    return priors.with_route_prior(
+        fl.select("flight_id", "ORIGIN", "DEST", "dep_datetime"), routes, priors.global_stats(_train(fl)), shifted_weekday=True
+    ).select("flight_id", "hist_avg")
+
+
 # ---------------------------------------------------------------- snapshots
 
 
@@ -882,6 +898,22 @@ def delay_forecast_log(s, d):
     return learn.forecast(model, rows.where(F.col("snapshot_time") >= cut))
 
 
+@query("""
+  SELECT a.loss AS airport_loss, 0.25 * a.loss + 0.75 * f.loss + 0.15 * c.loss AS total_loss FROM
+    (SELECT avg(CASE WHEN abs(avg_dep_delay - y) <= 20 THEN CAST(0.5 AS DOUBLE) * (avg_dep_delay - y) * (avg_dep_delay - y) / 20 ELSE abs(avg_dep_delay - y) - 10 END) AS loss
+     FROM v_airport_rows WHERE y IS NOT NULL) a,
+    (SELECT 0.1 * avg(l) FILTER (horizon_h = 0) + 0.2 * avg(l) FILTER (horizon_h = 1) + 0.3 * avg(l) FILTER (horizon_h = 3) + 0.4 * avg(l) FILTER (horizon_h = 6) AS loss FROM (%s)) f,
+    (SELECT 0.1 * avg(l) FILTER (horizon_h = 0) + 0.2 * avg(l) FILTER (horizon_h = 1) + 0.3 * avg(l) FILTER (horizon_h = 3) + 0.4 * avg(l) FILTER (horizon_h = 6) AS loss
+     FROM (SELECT horizon_h, (%s) / 6 AS l FROM v_pred)) c""" % (_LOSS, _BCE), "airport_loss", "total_loss")
+def composite_loss(s, d):
+    """The three losses together, the current hour's delay standing in for an airport forecast."""
+    pred = _predictions(s, d)
+    airport = evaluate.airport_loss(_airport_rows(_flights(s, d), s, d).withColumn("pred", F.col("avg_dep_delay")))
+    flight, ordinal = evaluate.asymmetric_loss(pred).select("flight_loss"), evaluate.ordinal_loss(pred).select("class_loss")
+    return with_row(with_row(airport, flight), ordinal).select(
+        "airport_loss", evaluate.total_loss(F.col("airport_loss"), F.col("flight_loss"), F.col("class_loss")).alias("total_loss"))
+
+
 # ---------------------------------------------------------------- tracking
 
 _TRACK = ["pred_6h", "pred_3h", "pred_1h", "error_6h", "error_3h", "error_1h"]

@@ -7,7 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from skyledger.functions.conform import DAY_FIRST_FORMATS, clean_header, parse_timestamp
+from skyledger.functions.conform import DAY_FIRST_FORMATS, clean_header, conform, parse_timestamp
+from skyledger.sources.schemas import PREDICTIONS
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -65,3 +66,11 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     if path_exists(spark, path):
         return spark.read.parquet(path)
     return spark.createDataFrame([], schema)
+
+
+def read_predictions(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """A prediction log from CSV or parquet; filters on it reach the scan."""
+    fmt = fmt or ("csv" if path.rstrip("/").lower().endswith((".csv", ".csv.gz")) else "parquet")
+    if fmt == "csv":
+        return conform(spark.read.csv(path, header=True, inferSchema=False), PREDICTIONS, keep_extra=True)
+    return spark.read.format(fmt).load(path)
