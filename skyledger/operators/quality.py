@@ -16,12 +16,6 @@ from skyledger.operators.clean import between_airports
 from skyledger.sources.flights import path_exists
 from skyledger.sources.weather import list_files
 
-# The airports the full data set must cover.
-EXPECTED_AIRPORTS = [
-    "ANC", "ATL", "BNA", "BOS", "BWI", "CLE", "CLT", "CMH", "DEN", "DFW", "DTW", "EWR",
-    "FLL", "HOU", "IAD", "IAH", "IND", "JFK", "LAS", "LAX", "LGA", "MCI", "MCO", "MIA",
-    "MKE", "MSP", "ORD", "PHL", "PHX", "PIT", "SAN", "SEA", "SFO", "SJC", "SLC", "TPA",
-]
 REQUIRED = ["ORIGIN", "DEST", "DepDelay", "ArrDelay", "dep_datetime", "arr_datetime", "Tail_Number"]
 
 
@@ -98,7 +92,7 @@ def delays(flights: DataFrame) -> DataFrame:
 def airports(
     flights: DataFrame, expected: DataFrame, *, min_rows: int = 8_000_000, min_per_airport: int = 10_000
 ) -> DataFrame:
-    """Coverage of the expected airports; takes them as a table with column `airport`."""
+    """Coverage of the expected airports, a table with column `airport` such as `sources.airports.airports`."""
     per = between_airports(flights, expected).groupBy(F.col("ORIGIN").alias("airport")).agg(F.count(F.lit(1)).alias("n"))
     both = expected.select("airport").distinct().join(per, "airport", "left")
     row = both.agg(

@@ -150,57 +150,54 @@ def flight_table(
     propagation until the inbound leg is in.
     """
     first, last = _first(flights), _last(flights)
+    zero = F.lit(0.0)
     base = enriched.where("dep_datetime is not null").withColumn("__h", floor_hour("dep_datetime"))
-    hour = F.expr("INTERVAL 1 HOUR")
-    window = F.transform(
-        F.sequence(F.lit(0), F.lit(window_h - 1)),
-        lambda k: F.struct((F.col("__h") - hour * k).alias("t"), F.lit(False).alias("support"), (k == 0).alias("now")))
-    s = F.col("support_time")
+    s, hour = F.col("support_time"), F.expr("INTERVAL 1 HOUR")
     in_window = (F.col("__h") >= s) & (F.col("dep_datetime") < s + hour * window_h)
-    support = F.when(
-        s.isNotNull() & (F.col("arr_datetime") < s) & ~in_window & s.between(first, last),
-        F.array(F.struct(s.alias("t"), F.lit(True).alias("support"), F.lit(False).alias("now"))),
-    ).otherwise(F.array().cast("array<struct<t:timestamp_ntz,support:boolean,now:boolean>>"))
-    rows = base.withColumn("__e", F.explode(F.concat(window, support))).withColumns({
-        "snapshot_time": F.col("__e.t"), "is_support": F.col("__e.support"), "__now": F.col("__e.now"),
-    }).where(F.col("snapshot_time") >= first)
+    supports = s.isNotNull() & (F.col("arr_datetime") < s) & ~in_window & s.between(first, last)
+    dep_sin, dep_cos = cyclic(F.hour("dep_datetime"), 24)
+    arr_sin, arr_cos = cyclic(F.coalesce(F.hour("arr_datetime"), F.lit(0)), 24)
+    dow_sin, dow_cos = cyclic(F.weekday("dep_datetime"), 7)
+    # What does not change from snapshot to snapshot is worked out once per flight.
+    per_flight = base.withColumns({
+        "__n": hour_number(first, "__h"), "__ns": F.when(supports, hour_number(first, s)),
+        "__rest": F.minute("dep_datetime") * 60 + F.second("dep_datetime"),
+        "__sh": F.when(supports, F.greatest(hours_between(s, "dep_datetime"), zero)),
+        "f_dep_delay_now": zero, "f_dep_hour_sin": dep_sin, "f_dep_hour_cos": dep_cos, "f_taxi_out_now": zero,
+        "f_distance": clip(F.coalesce("Distance", zero) / MAX_DISTANCE, 0.0, 1.0),
+        "f_dow_sin": dow_sin, "f_dow_cos": dow_cos, "f_hub_origin": F.coalesce("hub_origin", zero), "f_carrier_delay_now": zero,
+        "f_arr_hour_sin": arr_sin, "f_arr_hour_cos": arr_cos,
+        "f_hist_avg": F.coalesce(clip(F.col("hist_avg") / MAX_DELAY, -1.0, 1.0), zero),
+        "f_hist_std": F.coalesce(clip(F.col("hist_std") / MAX_DELAY, 0.0, 1.0), zero),
+        "__inbound_now": clip(F.col("rot_inbound") / MAX_DELAY, 0.0, 1.0),
+        "__turn_now": clip(F.col("rot_turnaround") / MAX_TURNAROUND, 0.0, 1.0),
+    })
+    # Hours before the departure hour; -1 stands for the support row.
+    steps = F.concat(
+        F.array(*[F.lit(k) for k in range(window_h)]),
+        F.when(F.col("__ns").isNotNull(), F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")))
+    rows = per_flight.withColumn("__k", F.explode(steps)).where("__k < 0 or __n >= __k")
+    k, support = F.col("__k"), F.col("__k") < 0
+    rows = rows.withColumn("snapshot_time", F.when(support, s).otherwise(add_hours("__h", -k)))
 
     cumul, legs, immed = F.col("cumul_delay"), F.col("legs_done").cast("double"), F.col("immed_inbound")
     if landed_only:
         seen = F.coalesce(F.col("inbound_arr") < F.col("snapshot_time"), F.lit(False))
-        cumul, legs, immed = [F.when(seen, c).otherwise(F.lit(0.0)) for c in (cumul, legs, immed)]
-    override = F.col("__now") & F.coalesce("has_inbound", F.lit(False))
-    raw_hours = hours_between("snapshot_time", "dep_datetime")
-    h2dep = F.greatest(raw_hours, F.lit(0.0))
-    dep_sin, dep_cos = cyclic(F.hour("dep_datetime"), 24)
-    arr_sin, arr_cos = cyclic(F.coalesce(F.hour("arr_datetime"), F.lit(0)), 24)
-    dow_sin, dow_cos = cyclic(F.weekday("dep_datetime"), 7)
-    zero = F.lit(0.0)
-    valid = ~F.col("is_support") & F.col("DepDelay").isNotNull()
-    features = {
-        "dep_delay_now": zero,
-        "dep_hour_sin": dep_sin, "dep_hour_cos": dep_cos,
-        "turnaround": F.when(override, clip(F.col("rot_turnaround") / MAX_TURNAROUND, 0.0, 1.0)).otherwise(zero),
-        "inbound": clip(F.when(override, F.col("rot_inbound")).otherwise(immed) / MAX_DELAY, 0.0, 1.0),
-        "distance": clip(F.coalesce("Distance", zero) / MAX_DISTANCE, 0.0, 1.0),
-        "is_first": F.when(override, zero).otherwise(((cumul == 0) & (immed == 0)).cast("double")),
-        "taxi_out_now": zero,
-        "dow_sin": dow_sin, "dow_cos": dow_cos,
-        "hub_origin": F.coalesce("hub_origin", zero),
-        "carrier_delay_now": zero,
-        "arr_hour_sin": arr_sin, "arr_hour_cos": arr_cos,
-        "h2dep": F.least(h2dep / 24, F.lit(1.0)),
-        "cumul": clip(cumul / MAX_CUMUL, 0.0, 1.0),
-        "legs": F.least(legs / MAX_LEGS, F.lit(1.0)),
-        "hist_avg": F.coalesce(clip(F.col("hist_avg") / MAX_DELAY, -1.0, 1.0), zero),
-        "hist_std": F.coalesce(clip(F.col("hist_std") / MAX_DELAY, 0.0, 1.0), zero),
-    }
+        cumul, legs, immed = [F.when(seen, c).otherwise(zero) for c in (cumul, legs, immed)]
+    override = (k == 0) & F.coalesce("has_inbound", F.lit(False))
+    h2dep = F.when(support, F.col("__sh")).otherwise((k * 3600 + F.col("__rest")) / F.lit(3600.0))
+    valid = ~support & F.col("DepDelay").isNotNull()
     return rows.select(
-        "snapshot_time", hour_number(first, "snapshot_time").alias("snap_idx"),
-        "flight_id", "is_support", "ORIGIN", "DEST", "Tail_Number", "dep_datetime", "arr_datetime",
-        *[v.alias(f"f_{k}") for k, v in features.items()],
-        F.when(valid, F.col("DepDelay")).otherwise(zero).alias("y"),
-        F.when(valid, horizon_band(raw_hours)).alias("horizon_h"),
+        "snapshot_time", F.when(support, F.col("__ns")).otherwise(F.col("__n") - k).alias("snap_idx"),
+        "flight_id", support.alias("is_support"), "ORIGIN", "DEST", "Tail_Number", "dep_datetime", "arr_datetime",
+        "f_dep_delay_now", "f_dep_hour_sin", "f_dep_hour_cos",
+        F.when(override, F.col("__turn_now")).otherwise(zero).alias("f_turnaround"),
+        F.when(override, F.col("__inbound_now")).otherwise(clip(immed / MAX_DELAY, 0.0, 1.0)).alias("f_inbound"),
+        "f_distance", F.when(override, zero).otherwise(((cumul == 0) & (immed == 0)).cast("double")).alias("f_is_first"),
+        "f_taxi_out_now", "f_dow_sin", "f_dow_cos", "f_hub_origin", "f_carrier_delay_now", "f_arr_hour_sin", "f_arr_hour_cos",
+        F.least(h2dep / 24, F.lit(1.0)).alias("f_h2dep"), clip(cumul / MAX_CUMUL, 0.0, 1.0).alias("f_cumul"),
+        F.least(legs / MAX_LEGS, F.lit(1.0)).alias("f_legs"), "f_hist_avg", "f_hist_std",
+        F.when(valid, F.col("DepDelay")).otherwise(zero).alias("y"), F.when(valid, horizon_band(h2dep)).alias("horizon_h"),
         immed.alias("immed_inbound"),
     )
 

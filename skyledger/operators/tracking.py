@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.functions.expr import actual_status, add_hours, add_minutes, clock, floor_hour, share
+from skyledger.functions.expr import actual_status, add_hours, add_minutes, clip, clock, cyclic, floor_hour, share
 from skyledger.operators.clean import on_date
 
 LEADS = (6, 3, 1)
@@ -110,6 +110,24 @@ def point_requests(requests: DataFrame) -> DataFrame:
     })
 
 
+def point_features(requests: DataFrame) -> DataFrame:
+    """Flight features of asked-for departures: only what is known without the aircraft.
+
+    `requests` comes from `point_requests` over flights with hist_avg and hist_std; the
+    leg counts as the tail's first and its origin as a hub.
+    """
+    hour_sin, hour_cos = cyclic(F.hour("dep_datetime"), 24)
+    dow_sin, dow_cos = cyclic(F.weekday("dep_datetime"), 7)
+    zeros = ["dep_delay_now", "turnaround", "inbound", "distance", "taxi_out_now", "carrier_delay_now",
+             "arr_hour_sin", "arr_hour_cos", "cumul", "legs"]
+    return requests.withColumns({
+        "f_dep_hour_sin": hour_sin, "f_dep_hour_cos": hour_cos, "f_dow_sin": dow_sin, "f_dow_cos": dow_cos,
+        "f_is_first": F.lit(1.0), "f_hub_origin": F.lit(1.0), "f_h2dep": F.least(F.col("lead_h") / 24, F.lit(1.0)),
+        "f_hist_avg": clip(F.col("hist_avg") / 300.0, -1.0, 1.0), "f_hist_std": clip(F.col("hist_std") / 300.0, 0.0, 1.0),
+        **{f"f_{c}": F.lit(0.0) for c in zeros},
+    })
+
+
 def predicted_arrival(dep: Column | str, pred: Column | str) -> Column:
     """Clock time of departure plus predicted delay, to the minute."""
     c = F.col(pred) if isinstance(pred, str) else pred

@@ -975,10 +975,11 @@ def actuals_by_natural_key(s, d):
 @query("""
   SELECT f.flight_id, CAST(h.lead_h AS INTEGER) AS lead_h, f.dep_datetime - to_hours(h.lead_h) AS snapshot_time,
     CASE h.lead_h WHEN 1 THEN 'High' WHEN 3 THEN 'Medium' ELSE 'Low' END AS confidence, p.hist_avg, p.hist_std,
-    w.wind_speed_ms, w.visibility_m, w.precip_depth_mm
+    w.wind_speed_ms, w.visibility_m, w.precip_depth_mm, h.lead_h / CAST(24 AS DOUBLE) AS f_h2dep, least(greatest(p.hist_avg / 300, -1), 1) AS f_hist_avg,
+    cos(2 * pi() * (isodow(f.dep_datetime) - 1) / 7) AS f_dow_cos
   FROM v_flights f CROSS JOIN (SELECT unnest([6, 3, 1]) AS lead_h) h JOIN v_prior p ON p.flight_id = f.flight_id
   LEFT JOIN v_wx w ON w.airport = f.ORIGIN AND w.obs_hour = date_trunc('hour', f.dep_datetime - to_hours(h.lead_h))""",
-       "hist_avg", "hist_std", "wind_speed_ms", "visibility_m", "precip_depth_mm")
+       "hist_avg", "hist_std", "wind_speed_ms", "visibility_m", "precip_depth_mm", "f_h2dep", "f_hist_avg", "f_dow_cos")
 def point_requests(s, d):
     """Route prior and weather at 6, 3 and 1 hours before each departure asked for."""
     fl = _flights(s, d)
@@ -986,8 +987,9 @@ def point_requests(s, d):
         fl.select("flight_id", "ORIGIN", "DEST", "dep_datetime"), priors.route_stats(_train(fl), min_fine=2, min_hour=2), priors.global_stats(_train(fl))))
     wx = weather.hourly(td.weather(s, d)).select(
         F.col("airport").alias("ORIGIN"), F.col("obs_hour").alias("h"), "wind_speed_ms", "visibility_m", "precip_depth_mm")
-    return asked.withColumn("h", X.floor_hour("snapshot_time")).join(wx, ["ORIGIN", "h"], "left").select(
-        "flight_id", "lead_h", "snapshot_time", "confidence", "hist_avg", "hist_std", "wind_speed_ms", "visibility_m", "precip_depth_mm")
+    return tracking.point_features(asked).withColumn("h", X.floor_hour("snapshot_time")).join(wx, ["ORIGIN", "h"], "left").select(
+        "flight_id", "lead_h", "snapshot_time", "confidence", "hist_avg", "hist_std", "wind_speed_ms", "visibility_m", "precip_depth_mm",
+        "f_h2dep", "f_hist_avg", "f_dow_cos")
 
 
 # ---------------------------------------------------------------- data quality

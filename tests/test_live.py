@@ -76,3 +76,10 @@ def test_recent_and_registry(spark):
     recent = feeds.recent_departures(feed, now)
     assert as_set(feeds.with_tail(recent, spark.createDataFrame([("abc", "N77")], "icao24 string, registration string")), "dep_airport", "Tail_Number") == {("ATL", "N77")}
     assert as_set(feeds.with_tail(feed.where("dep_airport = 'BOS'"), spark.createDataFrame([("abc", "N77")], "icao24 string, registration string")), "Tail_Number") == {("",)}
+
+
+def test_airport_list(spark):
+    from skyledger.sources.airports import airports
+
+    got = {r.airport: r.icao for r in airports(spark).collect()}
+    assert len(got) == 36 and got["ANC"] == "PANC" and got["ATL"] == "KATL"
