@@ -1,7 +1,8 @@
 """The batch jobs from files to tables, in the order they depend on each other.
 
 Every job reads tables, writes tables and returns nothing, so any of them can be run
-again after a failure. Between jobs the tables are the only state.
+again after a failure. Between jobs the tables are the only state; what a job stages
+for itself is removed when it ends.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.operators import clean, congestion, evaluate, learn, network, priors, quality, replay, rotation, snapshots, weather
+from skyledger.plans.staging import scoped
 from skyledger.sources import flights as flight_files
 from skyledger.sources import sinks
 from skyledger.sources.schemas import ROTATION
@@ -29,6 +31,7 @@ class Folder:
         return f"{self.root.rstrip('/')}/{name}"
 
 
+@scoped
 def ingest_flights(spark: SparkSession, paths: Iterable[str], out: str, *, layout: str = "yearly") -> None:
     """On-time CSV files to the flights table, numbered in departure order."""
     raw = flight_files.read_csv_files(spark, paths)
@@ -36,6 +39,7 @@ def ingest_flights(spark: SparkSession, paths: Iterable[str], out: str, *, layou
     sinks.write_table(clean.assign_flight_id(cleaned), Folder(out).flights)
 
 
+@scoped
 def build_weather(spark: SparkSession, folder: str, out: str, *, radius_km: float = 35.0) -> None:
     """Station files to airport positions, same-metro edges and flights with weather."""
     f = Folder(out)
@@ -54,10 +58,12 @@ def _flights(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(flight_files.first_available(spark, [f.weather_node_features, f.flights]))
 
 
+@scoped
 def build_rotation(spark: SparkSession, out: str, *, min_gap: float = 0, max_gap: float = 720) -> None:
     sinks.write_table(rotation.rotation_edges(_flights(spark, out), min_gap=min_gap, max_gap=max_gap), Folder(out).rotation_edges)
 
 
+@scoped
 def build_congestion(spark: SparkSession, out: str, *, min_pair: int = 50, hubs: int = 30, z: float = 1.3, min_hours: int = 10) -> None:
     f, fl = Folder(out), _flights(spark, out)
     sinks.write_table(congestion.congestion_edges(fl, min_pair=min_pair, hubs=hubs, z=z, min_hours=min_hours), f.congestion_edges)
@@ -65,6 +71,7 @@ def build_congestion(spark: SparkSession, out: str, *, min_pair: int = 50, hubs:
     sinks.write_table(congestion.airport_stats(fl, hubs=hubs), f.airport_congestion_stats)
 
 
+@scoped
 def build_snapshots(
     spark: SparkSession, out: str, *, is_train: Column, hubs: int = 30, window_h: int = 8, min_fine: int = 10, min_hour: int = 5,
     min_r: float = 0.30,
@@ -115,6 +122,7 @@ def dynamic_congestion(spark: SparkSession, out: str, date: str) -> DataFrame:
     return congestion.dynamic_weights(spark.read.parquet(f.congestion_edges), state)
 
 
+@scoped
 def build_predictions(spark: SparkSession, out: str, *, is_train: Column, max_iter: int = 30) -> None:
     """Forecaster fitted on the training snapshots; log of the others."""
     f = Folder(out)
@@ -124,6 +132,7 @@ def build_predictions(spark: SparkSession, out: str, *, is_train: Column, max_it
     sinks.write_snapshots(learn.forecast(model, rows.where(~is_train)), f.predictions)
 
 
+@scoped
 def evaluate_predictions(spark: SparkSession, out: str, *, checkpoint: str, split: str, thresholds: Sequence[float] = (0.5, 0.6, 0.7, 0.8, 0.9)) -> None:
     f = Folder(out)
     pred = spark.read.parquet(f.predictions)
@@ -133,6 +142,7 @@ def evaluate_predictions(spark: SparkSession, out: str, *, checkpoint: str, spli
     sinks.append_comparison(evaluate.comparison_row(pred, checkpoint=checkpoint, split=split), f.model_comparison)
 
 
+@scoped
 def rerank_predictions(spark: SparkSession, out: str, *, is_train: Column, **options) -> None:
     """Reranker tuned on part of the log; scores, sweeps and report of the rest."""
     f = Folder(out)
@@ -146,13 +156,17 @@ def rerank_predictions(spark: SparkSession, out: str, *, is_train: Column, **opt
     sinks.write_json(learn.report(scored, ranker), f.reranker_report)
 
 
+@scoped
 def export_replay(spark: SparkSession, out: str, date: str, *, split: str = "val", threshold: float = 0.60) -> None:
     f = Folder(out)
     fl = spark.read.parquet(f.flight_lookup)
+    day = F.lit(date).cast("date")
+    # A day's flights are predicted in that day's snapshots and the evening before: two folders.
+    pred = spark.read.parquet(f.predictions).where(F.col("snapshot_date").between(F.date_sub(day, 1), day))
     table = replay.day(
-        spark.read.parquet(f.predictions), fl, snapshots.hours(fl), spark.read.parquet(f.airport_locations), date, threshold=threshold)
+        pred, fl, snapshots.hours(fl), spark.read.parquet(f.airport_locations), date, threshold=threshold)
     replay.write_day(table, f.replay_days)
-    replay.write_bundle(spark.read.parquet(f.replay_days).where(F.col("replay_date") == F.lit(date).cast("date")).drop("replay_date"),
+    replay.write_bundle(spark.read.parquet(f.replay_days).where(F.col("replay_date") == day).drop("replay_date"),
                         f"{f.replay_bundle}/{split}_{date}", date, split, threshold)
 
 

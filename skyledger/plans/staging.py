@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def session(app: str = "skyledger", **conf: str) -> SparkSession:
@@ -18,6 +22,9 @@ def session(app: str = "skyledger", **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # Split skewed sides even where that costs one more exchange afterwards.
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        # Streaming state on disk rather than in executor memory.
+        .config("spark.sql.streaming.stateStore.providerClass",
+                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -41,7 +48,31 @@ def new_folder(spark: SparkSession, label: str) -> str:
     root = shared_folder(spark)
     if root is None:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are removed at the end; results must have been written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def scoped(job: Callable) -> Callable:
+    """Run a job (spark, ...) that writes its results inside a scope of its own."""
+    @functools.wraps(job)
+    def run(spark: SparkSession, *args, **kwargs):
+        with scope(spark):
+            return job(spark, *args, **kwargs)
+    return run
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
