@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import mixing, quality, simhash, tokenfiles
+from skyledger.llm import decontam, hmm, mixing, quality, simhash, tokenfiles, toxicity
+from skyledger.llm.text import crc_remainder
 from skyledger.plans.staging import new_folder
 from skyledger.sources.testdata import table
 
@@ -33,6 +34,23 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfiles.read(spark, path).withColumnRenamed("id", "doc_id")
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontam.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), F.col("at").alias("first_word"), "n_words", "edits")
+
+
+def op6_hmm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    found = hmm.score(table(spark, folder, "documents"), crc_remainder(F.col("doc_id"), 7) != 2)
+    return found.select(F.col("id").alias("doc_id"), (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    params = toxicity.train(docs, labels, crc_remainder(F.col("doc_id"), 5) != 0)
+    return toxicity.score(docs, params).select(
+        F.col("id").alias("doc_id"), (crc_remainder(F.col("id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -41,12 +59,15 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
+    "op5_decontamination": op5_decontamination,
+    "op6_hmm_scoring": op6_hmm_scoring,
+    "op7_toxicity": op7_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-SQL = {
+SQL = {  # the learned, approximate and file-writing operators have none
     "op1_mixing": f"""
 WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, sha256(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source),
