@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import mixing, quality, simhash, tokenfiles
+from skyledger.llm import decontam, mixing, quality, simhash, tokenfiles
 from skyledger.llm.queries import tokenizer_path
 from skyledger.plans.staging import new_folder, stage
 from skyledger.sources.testdata import table
@@ -23,6 +23,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.drop_copies(docs)
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, as often as their source's target asks for."""
     return mixing.mix(docs)
@@ -38,6 +43,7 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality_rules),
     ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
     ("mixing sources to target weights", mixing_sources),
     ("token-ID / binary output", token_files),
 ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import decontam, hmm, mixing, quality, simhash, tokenfiles, toxicity
+from skyledger.llm import attribution, decontam, extract, hmm, mixing, quality, simhash, tokenfiles, toxicity, warc
 from skyledger.llm.text import crc_remainder
 from skyledger.plans.staging import new_folder
 from skyledger.sources.testdata import table
@@ -22,6 +22,10 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.assign(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.extract(table(spark, folder, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
@@ -51,17 +55,29 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("doc_id"), (crc_remainder(F.col("id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.derivatives(warc.responses(table(spark, folder, "pages")))
+    return found.withColumnRenamed("id", "page_id").withColumn("record", F.decode("record", "UTF-8"))
+
+
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return attribution.sections(table(spark, folder, "documents"), tokenizer=tokenizer_path()).withColumnRenamed("id", "doc_id")
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_html_extraction": op2_html_extraction,
     "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
     "op5_decontamination": op5_decontamination,
     "op6_hmm_scoring": op6_hmm_scoring,
     "op7_toxicity": op7_toxicity,
+    "op8_warc": op8_warc,
+    "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
 

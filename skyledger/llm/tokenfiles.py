@@ -47,6 +47,8 @@ class Encoder:
     """Ids of whole texts as bytes. The tokenizer cuts at blanks and never looks across them, so each word is
     encoded once and remembered; past `memo_words` words the memory starts anew."""
 
+    width = 4
+
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
@@ -59,20 +61,28 @@ class Encoder:
         for k in range(0, len(new), 4096):
             part = new[k:k + 4096]
             got = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, "<u4").tobytes()
-            at = (np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1)) * 4).tolist()
-            self.memo.update(zip(part, (ids[a:b] for a, b in zip(at, at[1:]))))
+            packed = self.packed(got)
+            at = (np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1)) * self.width).tolist()
+            self.memo.update(zip(part, (packed[a:b] for a, b in zip(at, at[1:]))))
+
+    def packed(self, got) -> bytes:
+        """What is remembered of an encoding, `width` bytes a token."""
+        return np.array(got.ids, "<u4").tobytes()
+
+    def pieces(self, raw: bytes) -> Iterator[bytes]:
+        """What is remembered of each word of the text, in order."""
+        words = raw.split()
+        new = [w for w in set(words) if w not in self.memo]
+        if new:
+            if len(self.memo) + len(new) > self.memo_words:
+                self.memo.clear()
+                new = list(set(words))
+            self._learn(new)
+        return map(self.memo.__getitem__, words)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         for raw in texts:
-            words = raw.split()
-            new = [w for w in set(words) if w not in self.memo]
-            if new:
-                if len(self.memo) + len(new) > self.memo_words:
-                    self.memo.clear()
-                    new = list(set(words))
-                self._learn(new)
-            yield b"".join(map(self.memo.__getitem__, words))
+            yield b"".join(self.pieces(raw))
 
 
 _encoders: dict[str, Encoder] = {}
