@@ -31,9 +31,9 @@ from skyledger.llm import text as X
 
 MAX_EDITS = 0.2  # share of the item's words
 RECALL = 0.98
-AGREEMENT = 0.45  # places of two embeddings that agree at the most edits, as tests/llm measure it
+AGREEMENT = 0.35  # places of two embeddings that agree in the less lucky pairs at the most edits
 SAMPLED = 3  # places in a key
-WALKS = 8
+WALKS = 12
 ANCHORS = 5
 BLOCK_BYTES = 8 << 20
 
