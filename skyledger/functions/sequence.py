@@ -1,11 +1,9 @@
 """Neighbour rows and running totals along an ordered key.
 
-A plain window puts every row of one key into one task. Here the keys are counted
-first; without a key of more than `hot_rows` rows the plain window is used, and
-otherwise such keys are cut into time slots: the window runs inside each
-(key, slot), one summary row per slot carries the edge rows and totals, and a
-second window over those summaries links the slots. The result is the same as
-the plain window for every row.
+A plain window puts every row of one key into one task. Here every key is cut into slots of time:
+the window runs inside each (key, slot), one summary row per slot carries the edge rows and totals,
+and a second window over those summaries links the slots. The result is the same as the plain
+window for every row, and the plan is the same whatever the size of a key.
 """
 
 from __future__ import annotations
@@ -15,10 +13,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.plans.staging import stage
-
-HOT_ROWS = 1_000_000
-
 
 def along_key(
     df: DataFrame,
@@ -30,34 +24,23 @@ def along_key(
     preceding: Sequence[str] = (),
     totals: Mapping[str, Column] | None = None,
     position: str | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add `next_<c>` / `prev_<c>` structs' fields, totals over earlier rows and 0-based position.
 
-    `order` must be a unique ordering within the key, and `slot` (timestamp_ntz)
-    must rise with it. Added columns: `next_row` (struct of `following`, null on
-    the last row), `prev_row` (struct of `preceding`, null on the first row), one
-    column per entry of `totals` (sum over strictly earlier rows, 0 when none)
-    and `position`.
+    `order` must be a unique ordering within the key, and `slot` must rise with it, with a grain (an hour,
+    a day) that leaves few rows of a key in a slot and few slots in a key. Keys and slot must not be null. Added columns: `next_row` (struct of
+    `following`, null on the last row), `prev_row` (struct of `preceding`, null on the first row), one
+    column per entry of `totals` (sum over strictly earlier rows, 0 when none) and `position`.
+    Raw rows are exchanged once, by key and slot; what is joined to them is one row per key and slot.
     """
     totals = dict(totals or {})
     keys, order = list(keys), list(order)
 
-    # One narrow pass decides whether any key needs slots. At most rows/hot_rows keys can
-    # pass the filter, and the list is written, so its size is known before it is joined.
-    hot = stage(
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
-        .select(*keys, F.lit(True).alias("__hot")), "hot-keys")
-    skewed = not hot.isEmpty()
-    rows = df
-    if skewed:
-        # Cold keys keep a single slot.
-        rows = df.join(hot, keys, "left").withColumn(
-            "__slot", F.when(F.col("__hot"), slot).otherwise(F.lit("1970-01-01").cast("timestamp_ntz")))
+    rows = df.withColumn("__slot", slot)
     for name, expr in totals.items():
         rows = rows.withColumn(f"__add_{name}", F.coalesce(expr.cast("double"), F.lit(0.0)))
 
-    w = Window.partitionBy(*keys, *(["__slot"] if skewed else [])).orderBy(*order)
+    w = Window.partitionBy(*keys, "__slot").orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     inside = rows
     if following:
@@ -69,18 +52,7 @@ def along_key(
     if position:
         inside = inside.withColumn("__pos", F.row_number().over(w) - 1)
 
-    if not skewed:
-        out = [F.col(c) for c in df.columns]
-        if following:
-            out.append(F.col("__next").alias("next_row"))
-        if preceding:
-            out.append(F.col("__prev").alias("prev_row"))
-        out += [F.coalesce(f"__sum_{n}", F.lit(0.0)).alias(n) for n in totals]
-        if position:
-            out.append(F.col("__pos").cast("long").alias(position))
-        return inside.select(*out)
-
-    # Per-slot summaries of the hot keys: partial aggregation, no full group anywhere.
+    # Per-slot summaries: partial aggregation, no full group anywhere.
     aggs = [F.count(F.lit(1)).alias("__rows")]
     if following:
         aggs.append(F.min(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
@@ -89,7 +61,7 @@ def along_key(
         aggs.append(F.max(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
                                    F.struct(*preceding).alias("row"))).alias("__last"))
     aggs += [F.sum(f"__add_{name}").alias(f"__add_{name}") for name in totals]
-    slots = rows.where("__hot").groupBy(*keys, "__slot").agg(*aggs)
+    slots = rows.groupBy(*keys, "__slot").agg(*aggs)
     ws = Window.partitionBy(*keys).orderBy("__slot")
     ws_before = ws.rowsBetween(Window.unboundedPreceding, -1)
     link = [*keys, "__slot"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions.expr import floor_hour, hours_between, minutes_between, rotation_risk, share
-from skyledger.functions.sequence import HOT_ROWS, along_key, exact_percentiles, with_row
+from skyledger.functions.sequence import along_key, exact_percentiles, with_row
 from skyledger.operators.clean import between_airports
 
 _NEXT = ["flight_id", "ORIGIN", "DEST", "dep_datetime", "arr_datetime", "DepDelay", "ArrDelay"]
@@ -16,22 +16,19 @@ def _usable(flights: DataFrame) -> DataFrame:
     return flights.dropna(subset=["Tail_Number", "dep_datetime", "arr_datetime"])
 
 
-def next_legs(flights: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+def next_legs(flights: DataFrame) -> DataFrame:
     """Each leg with the tail's next leg (null on the last one) and the gap between them."""
     legs = _usable(flights).select("Tail_Number", *_NEXT)
     paired = along_key(
-        legs, ["Tail_Number"], ["dep_datetime", "flight_id"], F.col("dep_datetime"),
-        following=_NEXT, hot_rows=hot_rows,
+        legs, ["Tail_Number"], ["dep_datetime", "flight_id"], F.to_date("dep_datetime"), following=_NEXT,
     )
     return paired.withColumn("gap_min", minutes_between("arr_datetime", "next_row.dep_datetime"))
 
 
-def rotation_edges(
-    flights: DataFrame, *, min_gap: float = 0, max_gap: float = 720, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def rotation_edges(flights: DataFrame, *, min_gap: float = 0, max_gap: float = 720) -> DataFrame:
     """Leg N to leg N+1 when the gap is in range and N+1 leaves where N arrived."""
     n = "next_row."
-    pairs = next_legs(flights, hot_rows=hot_rows).where(
+    pairs = next_legs(flights).where(
         F.col("gap_min").between(min_gap, max_gap) & (F.col("DEST") == F.col(n + "ORIGIN"))
     )
     turnaround = F.bround("gap_min", 2)
@@ -100,8 +97,7 @@ def propagation_by_turnaround(edges: DataFrame, bounds: tuple[int, ...] = (0, 30
     )
 
 
-def tail_propagation(flights: DataFrame, *, max_gap_hours: float = 8.0, landed_only: bool = False,
-                     hot_rows: int = HOT_ROWS) -> DataFrame:
+def tail_propagation(flights: DataFrame, *, max_gap_hours: float = 8.0, landed_only: bool = False) -> DataFrame:
     """Delay carried by the tail earlier the same day.
 
     Every flight gets cumul_delay (positive arrival delays of earlier legs),
@@ -112,9 +108,9 @@ def tail_propagation(flights: DataFrame, *, max_gap_hours: float = 8.0, landed_o
     legs = flights.withColumn("__date", F.to_date("dep_datetime"))
     usable = F.col("Tail_Number").isNotNull() & F.col("dep_datetime").isNotNull() & F.col("arr_datetime").isNotNull()
     ordered = along_key(
-        legs.where(usable), ["Tail_Number", "__date"], ["dep_datetime", "flight_id"], F.col("dep_datetime"),
+        legs.where(usable), ["Tail_Number", "__date"], ["dep_datetime", "flight_id"], floor_hour("dep_datetime"),
         preceding=["arr_datetime", "ArrDelay"],
-        totals={"__cumul": F.greatest(F.col("ArrDelay"), F.lit(0.0))}, position="__legs", hot_rows=hot_rows,
+        totals={"__cumul": F.greatest(F.col("ArrDelay"), F.lit(0.0))}, position="__legs",
     )
     gap = hours_between("prev_row.arr_datetime", "dep_datetime")
     ok = F.col("prev_row").isNotNull() & gap.between(0, max_gap_hours) & F.col("prev_row.ArrDelay").isNotNull()

@@ -38,7 +38,7 @@ def flights(spark: SparkSession, folder: str) -> DataFrame:
         ((i * 7 + F.col("user_id") * 3) % 25).alias("o_key"),
     )
     legs = along_key(
-        events, ["user_id"], ["ts", "event_id"], F.col("dep_datetime"), following=["o_key"]
+        events, ["user_id"], ["ts", "event_id"], F.to_date("dep_datetime"), following=["o_key"]
     )
     nxt = F.col("next_row.o_key")
     stray = nxt.isNull() | (i % 10 == 0) | (nxt == F.col("o_key"))

@@ -71,8 +71,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Raw record lines, gzip or plain, decoded; the airport comes from the file name."""
     lines = spark.read.text(path).withColumn("source_path", F.input_file_name())
     # One gzip file is one task whatever its size, so spread the lines before decoding.
-    if path.endswith(".gz"):
-        lines = lines.repartition(spark.sparkContext.defaultParallelism)
+    lines = lines.repartition(spark.sparkContext.defaultParallelism)
     airport = F.upper(F.regexp_extract("source_path", r"(?i)(?:^|/)([A-Z]{3,4})_(\d{4})\.", 1))
     return decode_records(lines.withColumn("airport", F.when(airport != "", airport)), "value")
 
@@ -124,7 +123,7 @@ def decode_records(lines: DataFrame, value: str = "value") -> DataFrame:
     numbers |= {f"__{n}": _number(F.substring(line, p, k)) for n, (p, k, _, _) in MANDATORY.items()}
     kept = [c for c in lines.columns if c != value]
     out = lines.where(F.length(line) >= 60).withColumns(numbers).dropna(subset=list(numbers))
-    out = out.withColumn("__extra", F.trim(F.substring(line, 106, 1_000_000)))
+    out = out.withColumn("__extra", F.trim(F.substr(line, F.lit(106), F.length(line))))
 
     columns = {n: _measure(F.col(f"__{n}"), s, d) for n, (_, _, s, d) in MANDATORY.items()}
     for name, (tag, shortest, first, size, sentinel, divisor) in OPTIONAL.items():
@@ -161,8 +160,6 @@ def station_candidates(history: DataFrame, order: str) -> DataFrame:
     ).where("usaf is not null and wban is not null")
     default = listed.select("usaf", F.lit("99999").alias("wban")).distinct().withColumn("__at", F.lit(None).cast("long"))
     every = default.unionByName(listed.where("wban <> '99999'").withColumn("__at", F.col("__at").cast("long")))
-    slot = F.timestamp_seconds(F.coalesce(F.floor(F.col("__at") / 100000), F.lit(-1))).cast("timestamp_ntz")
     ranked = along_key(
-        every.withColumn("__at", F.coalesce("__at", F.lit(-1))), ["usaf"], ["__at"], slot, position="rank"
-    )
+        every.withColumn("__at", F.coalesce("__at", F.lit(-1))), ["usaf"], ["__at"], F.floor(F.col("__at") / 100000), position="rank")
     return ranked.select("usaf", "rank", "wban")

@@ -2,11 +2,6 @@
 from pyspark.sql import Window, functions as F
 
 from skyledger.functions.sequence import along_key, exact_percentiles
-from skyledger.operators import rotation
-from skyledger.sources import testdata as td
-
-D = "/root/testdata/sf0.001"
-
 
 def skewed(spark):
     """One key with a third of all rows, the rest small; equal times within the hot key."""
@@ -19,7 +14,7 @@ def skewed(spark):
 
 def test_hot_keys_equal_plain_window(spark):
     df = skewed(spark)
-    got = along_key(df, ["k"], ["t", "n"], F.col("t"), following=["n"], preceding=["n", "x"], totals={"s": F.col("x")}, position="p", hot_rows=100)
+    got = along_key(df, ["k"], ["t", "n"], F.date_trunc("minute", "t"), following=["n"], preceding=["n", "x"], totals={"s": F.col("x")}, position="p")
     w = Window.partitionBy("k").orderBy("t", "n")
     want = df.select(
         "k", "n", F.lead("n").over(w).alias("nx"), F.lag("n").over(w).alias("pn"), F.lag("x").over(w).alias("px"),
@@ -28,21 +23,22 @@ def test_hot_keys_equal_plain_window(spark):
     assert a == {tuple(r) for r in want.collect()}
 
 
-def test_rotation_is_the_same_with_every_key_hot(spark):
-    fl = td.flights(spark, D)
-    a = {tuple(r) for r in rotation.rotation_edges(fl).select("leg1_flight_id", "leg2_flight_id", "turnaround_min").collect()}
-    b = {tuple(r) for r in rotation.rotation_edges(fl, hot_rows=1).select("leg1_flight_id", "leg2_flight_id", "turnaround_min").collect()}
-    assert a and a == b
-    p = {tuple(r) for r in rotation.tail_propagation(fl).select("flight_id", "cumul_delay", "legs_done", "immed_inbound").collect()}
-    q = {tuple(r) for r in rotation.tail_propagation(fl, hot_rows=1).select("flight_id", "cumul_delay", "legs_done", "immed_inbound").collect()}
-    assert p == q
+def test_many_rows_at_one_time(spark):
+    """A third of all rows under one key, all at the same moment but two."""
+    i = F.col("id")
+    df = spark.range(900).select(
+        F.when(i % 3 == 0, "hot").otherwise(i.cast("string")).alias("k"), i.alias("n"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.when(i == 0, -1).when(i == 897, 1).otherwise(0))).alias("t"))
+    got = along_key(df, ["k"], ["t", "n"], F.to_date("t"), following=["n"], position="p").where("k = 'hot'").orderBy("p").collect()
+    assert [r.n for r in got] == list(range(0, 900, 3)) and [r.next_row.n if r.next_row else None for r in got] == [*range(3, 900, 3), None]
 
 
-def test_hot_key_spreads_over_tasks(spark):
-    """No window task sees more than a slot of the hot key."""
-    out = along_key(skewed(spark), ["k"], ["t", "n"], F.col("t"), following=["n"], hot_rows=100)
+def test_raw_rows_are_exchanged_once_by_key_and_slot(spark):
+    out = along_key(skewed(spark), ["k"], ["t", "n"], F.date_trunc("minute", "t"), following=["n"], preceding=["x"])
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "__slot" in plan and "hashpartitioning(k" in plan.replace("#", " #").replace("k #", "k#")
+    exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert sum("__slot" in line for line in exchanges) <= 2  # the rows, and their partly aggregated summaries
+    assert plan.count("Window") >= 2 and "CartesianProduct" not in plan
 
 
 def test_percentiles(spark):
