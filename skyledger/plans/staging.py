@@ -31,24 +31,21 @@ def session(app: str = "skyledger", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The cluster's checkpoint folder; only a local session without one gets its own."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a local session without one gets a folder of its own, a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
-    if spark.sparkContext.master.startswith("local"):
-        app = spark.sparkContext.applicationId
-        if app not in _local_roots:
-            _local_roots[app] = tempfile.mkdtemp(prefix="skyledger-")
-        return _local_roots[app]
-    return None
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="skyledger-")
+    return _local_roots[app]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    root = shared_folder(spark)
-    if root is None:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     if _scopes:
         _scopes[-1].append(path)
     return path
@@ -81,11 +78,8 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     The table survives the loss of executors, is computed once however often it is
     used, and has a known size, so Spark itself decides from that size whether a
     join with it may be broadcast (spark.sql.autoBroadcastJoinThreshold).
-    Without a shared folder the plan is returned as it is.
     """
     spark = df.sparkSession
-    if shared_folder(spark) is None:
-        return df
     path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

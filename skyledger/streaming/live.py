@@ -18,7 +18,7 @@ from skyledger.functions.expr import (
 from skyledger.operators.clean import between_airports
 
 REFRESH = "30 minutes"
-LATE_BY = "1 day"  # rows later than this behind the newest one are dropped by the stateful operators
+LATE_BY = "1 day"  # default of `late_by`: rows later than this behind the newest one are dropped by the stateful operators
 
 # Origins treated as hubs in live flight rows.
 LIVE_HUBS = ["ATL", "BOS", "CLT", "DEN", "DFW", "EWR", "IAD", "IAH", "JFK", "LAX", "LGA", "MIA", "ORD", "SFO"]
@@ -57,41 +57,46 @@ def replace(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def late_rows(query) -> int:
+    """Rows that the stateful operators of a streaming query have dropped as too late, as far as its progress is kept."""
+    return sum(o.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for o in p["stateOperators"])
+
+
 # ---------------------------------------------------------------- state over streams
 
 
-def first_reports(movements: DataFrame, *, time: str = "event_time") -> DataFrame:
+def first_reports(movements: DataFrame, *, time: str = "event_time", late_by: str = LATE_BY) -> DataFrame:
     """Each flight once, however many polls repeat it."""
-    return movements.withWatermark(time, LATE_BY).dropDuplicatesWithinWatermark(["flight_number", "dep_scheduled"])
+    return movements.withWatermark(time, late_by).dropDuplicatesWithinWatermark(["flight_number", "dep_scheduled"])
 
 
 def landed_late(movements: DataFrame) -> DataFrame:
     return movements.where("flight_status = 'landed' and arr_delay_min > 0 and Tail_Number is not null and Tail_Number <> ''")
 
 
-def tail_state(movements: DataFrame, *, time: str = "event_time") -> DataFrame:
+def tail_state(movements: DataFrame, *, time: str = "event_time", late_by: str = LATE_BY) -> DataFrame:
     """Per tail and UTC day: accumulated delay, late legs and the last delay.
 
     The day reset is the one-day window itself. The sums combine before the exchange,
     so a tail reported very often costs one state row.
     """
-    late = landed_late(movements).withWatermark(time, LATE_BY)
+    late = landed_late(movements).withWatermark(time, late_by)
     return late.groupBy(F.window(time, "1 day").alias("w"), "Tail_Number").agg(
         F.sum("arr_delay_min").alias("cumul"), F.count(F.lit(1)).alias("legs"),
         F.max_by("arr_delay_min", F.struct(time, "flight_number")).alias("immed"),
     ).select(F.to_date("w.start").alias("day"), "Tail_Number", "cumul", "legs", "immed")
 
 
-def hourly_departures(flights: DataFrame, *, time: str = "dep_datetime") -> DataFrame:
+def hourly_departures(flights: DataFrame, *, time: str = "dep_datetime", late_by: str = LATE_BY) -> DataFrame:
     """Mean delay, taxi time and count per origin and hour."""
-    return flights.withWatermark(time, LATE_BY).groupBy(F.window(time, "1 hour").alias("w"), "ORIGIN").agg(
+    return flights.withWatermark(time, late_by).groupBy(F.window(time, "1 hour").alias("w"), "ORIGIN").agg(
         F.avg("DepDelay").alias("avg_dep_delay"), F.avg("TaxiOut").alias("avg_taxi_out"), F.count("DepDelay").alias("dep_count"),
     ).select(F.col("w.start").alias("hour"), F.col("ORIGIN").alias("airport"), "avg_dep_delay", "avg_taxi_out", "dep_count")
 
 
-def lookahead(flights: DataFrame, *, hours: int = 3, time: str = "dep_datetime") -> DataFrame:
+def lookahead(flights: DataFrame, *, hours: int = 3, time: str = "dep_datetime", late_by: str = LATE_BY) -> DataFrame:
     """Departures in the `hours` full hours after each hour, as sliding windows over scheduled times."""
-    return flights.withWatermark(time, LATE_BY).groupBy(
+    return flights.withWatermark(time, late_by).groupBy(
         F.window(time, f"{hours} hours", "1 hour").alias("w"), "ORIGIN").agg(F.count(F.lit(1)).alias("departures")).select(
         (F.col("w.start") - F.expr("INTERVAL 1 HOUR")).alias("snapshot_time"), F.col("ORIGIN").alias("airport"), "departures")
 
