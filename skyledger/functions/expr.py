@@ -310,9 +310,12 @@ def bucket_column(lo: float | None = None, hi: float | None = None) -> str:
 
 
 def monotone_probs(columns: Sequence[Column | str]) -> list[Column]:
-    """Clip to [0, 1] and force non-increasing order by a running minimum."""
+    """Clip to [0, 1] and force non-increasing order by a running minimum; after a null all are null."""
     clipped = [clip(c, 0.0, 1.0) for c in columns]
-    return [clipped[0]] + [F.least(*clipped[: i + 1]) for i in range(1, len(clipped))]
+    known = [F.lit(True)]
+    for c in clipped:
+        known.append(known[-1] & c.isNotNull())
+    return [clipped[0]] + [F.when(known[i + 1], F.least(*clipped[: i + 1])) for i in range(1, len(clipped))]
 
 
 def bucket_masses(columns: Sequence[Column | str], edges: Sequence[float] = DELAY_EDGES) -> dict[str, Column]:

@@ -233,8 +233,12 @@ def window_scores(scores: DataFrame, size: int) -> DataFrame:
 
 
 def sample_window(windows: DataFrame, *, seed: int = 42) -> DataFrame:
-    """One start per split, drawn with probability proportional to window_score + 1."""
-    key = -F.ln(1 - F.rand(seed)) / (F.col("window_score") + 1)
+    """One start per split, drawn with probability proportional to window_score + 1.
+
+    The draw is a hash of seed, split and start, so it does not depend on how rows are dealt to tasks.
+    """
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "split", F.col("start").cast("string"))), 1, 8), 16, 10).cast("long")
+    key = -F.ln(1 - drawn / float(1 << 32)) / (F.col("window_score") + 1)
     return windows.withColumn("__k", key).groupBy("split").agg(
         F.min_by("start", "__k").alias("start"), F.min_by("window_score", "__k").alias("window_score"))
 

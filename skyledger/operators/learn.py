@@ -54,14 +54,14 @@ def training_sample(
     pred: DataFrame, *, severe: float = SEVERE_MINUTES, keep_negatives: float = 0.03, max_rows: int | None = 1_000_000,
     seed: int = 42,
 ) -> DataFrame:
-    """All severe rows and a share of the others; the share shrinks when about `max_rows` would be passed."""
+    """Severe rows and a share of the others, about `max_rows` at most; severe ones fill at most half of a full sample."""
     target = F.coalesce(F.col("actual") >= severe, F.lit(False))
-    share = keep_negatives
+    share, severe_share = keep_negatives, 1.0
     if max_rows is not None:
         n = pred.agg(F.count_if(target).alias("pos"), F.count_if(~target).alias("neg")).head()
-        if n.neg:
-            share = min(share, max(max_rows - n.pos, 0) / n.neg)
-    kept = target | (draw(seed, "flight_id", "snap_idx", "horizon_h") < share)
+        others = min(share * n.neg, max(max_rows - n.pos, max_rows / 2))
+        share, severe_share = others / max(n.neg, 1), min(1.0, (max_rows - others) / max(n.pos, 1))
+    kept = draw(seed, "flight_id", "snap_idx", "horizon_h") < F.when(target, severe_share).otherwise(share)
     return pred.where(kept).withColumn("target_severe", target.cast("int"))
 
 
@@ -112,7 +112,7 @@ def fit_reranker(
     """Fit on a sample with whole snapshots held out, tune, refit, and set the threshold on the full log."""
     sample = stage(rerank_features(
         training_sample(train, severe=severe, keep_negatives=keep_negatives, max_rows=max_rows, seed=seed), lookup), "rerank")
-    modes = sample.agg(*[F.mode(F.col(c).cast("string")).alias(c) for c in CATEGORICAL]).head()
+    modes = sample.agg(*[F.mode(F.col(c).cast("string"), True).alias(c) for c in CATEGORICAL]).head()
     fill = {c: modes[c] or "UNK" for c in CATEGORICAL}
     held_out = F.col("snap_idx") % 5 == 0
     first = _fit(sample.where(~held_out), fill, max_iter)

@@ -60,12 +60,12 @@ def severe_flags(
 
 
 def locations(obs: DataFrame) -> DataFrame:
-    """Airport position: median of its observations."""
-    out = None
-    for source, name in (("latitude", "lat"), ("longitude", "lon"), ("elevation_m", "elevation_m")):
-        part = exact_percentiles(obs, ["airport"], source, {name: 0.5})
-        out = part if out is None else out.join(part, "airport", "full_outer")
-    return out
+    """Airport position: median of its observations, all three from one scan."""
+    measures = {"lat": "latitude", "lon": "longitude", "elevation_m": "elevation_m"}
+    values = obs.select("airport", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("measure"), F.col(c).cast("double").alias("value")) for n, c in measures.items()])).alias("m")).select("airport", "m.*")
+    medians = exact_percentiles(values, ["airport", "measure"], "value", {"middle": 0.5})
+    return medians.groupBy("airport").agg(*[F.max(F.when(F.col("measure") == n, F.col("middle"))).alias(n) for n in measures])
 
 
 def override_locations(locs: DataFrame, overrides: Mapping[str, tuple[float, float]] = COORDINATE_OVERRIDES) -> DataFrame:

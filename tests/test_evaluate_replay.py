@@ -158,3 +158,17 @@ def test_reranker_ranks_and_is_repeatable(spark):
     again = {r.flight_id for r in learn.training_sample(pred, keep_negatives=0.1).collect()}
     moved = {r.flight_id for r in learn.training_sample(pred.repartition(7), keep_negatives=0.1).collect()}
     assert again == moved
+
+
+def test_sample_is_bounded_when_severe_rows_pass_the_limit(spark):
+    pred = spark.range(4000).select(
+        F.col("id").alias("flight_id"), F.lit(1).alias("snap_idx"), F.lit(6).alias("horizon_h"), F.when(F.col("id") < 3000, 900.0).otherwise(0.0).alias("actual"))
+    for limit in (200, 2000):
+        n = {r.target_severe: r["count"] for r in learn.training_sample(pred, keep_negatives=0.5, max_rows=limit).groupBy("target_severe").count().collect()}
+        assert 0.7 * limit < n[0] + n[1] < 1.3 * limit and min(n.values()) > 0.2 * min(limit, 1000)
+
+
+def test_window_sample_does_not_depend_on_partitions(spark):
+    windows = spark.range(100).select(F.lit("a").alias("split"), F.col("id").alias("start"), (F.col("id") % 7).cast("double").alias("window_score"))
+    got = {evaluate.sample_window(windows.repartition(n)).first().start for n in (1, 2, 3, 7)}
+    assert len(got) == 1
