@@ -168,14 +168,13 @@ def flights_cleaned(s, d):
 @query(f"""
   SELECT *, date_trunc('hour', dep_datetime) AS weather_time FROM (
     SELECT Tail_Number, dep_datetime, CASE WHEN arr_datetime < dep_datetime THEN arr_datetime + INTERVAL 1 DAY ELSE arr_datetime END AS arr_datetime FROM (
-      SELECT 'N' || user_id AS Tail_Number,
+      SELECT CASE WHEN event_id % 101 = 0 THEN 'UNKNOW' ELSE 'N' || user_id END AS Tail_Number,
         CAST(CAST(ts AS DATE) AS TIMESTAMP) + to_minutes({_RAW_DEP} // 100 * 60 + {_RAW_DEP} % 100) AS dep_datetime,
         CAST(CAST(ts AS DATE) AS TIMESTAMP) + to_minutes({_ARR0} // 100 * 60 + {_ARR0} % 100) AS arr_datetime
-      FROM events WHERE event_id % 13 <> 0 AND event_id % 11 <> 0 AND event_id % 17 <> 0 AND event_id % 103 <> 0 AND event_id % 101 <> 0
+      FROM events WHERE event_id % 13 <> 0 AND event_id % 11 <> 0 AND event_id % 17 <> 0 AND (event_id % 103 <> 0 OR event_id % 101 = 0)
         AND event_id % 29 <> 0 AND {_RAW_DEP} // 100 < 24 AND {_RAW_DEP} % 100 < 60 AND {_ARR0} // 100 < 24 AND {_ARR0} % 100 < 60))""")
 def flights_cleaned_strict(s, d):
-    known = clean.flights_strict(_raw_yearly(s, d)).where("Tail_Number <> 'UNKNOW'")
-    return known.select("Tail_Number", "dep_datetime", "arr_datetime", "weather_time")
+    return clean.flights_strict(_raw_yearly(s, d)).select("Tail_Number", "dep_datetime", "arr_datetime", "weather_time")
 
 
 @query("""
@@ -681,18 +680,23 @@ def _scored(s, d):
     return scores.withColumn("split", clean.date_split("snapshot_time", "2024-01-16", "2024-01-23"))
 
 
-@query(f"""
+_WINDOWS = f"""
   SELECT split, start, window_score FROM (
     SELECT split, CAST(row_number() OVER w - 1 AS INTEGER) AS start,
       sum(tail_score) OVER (PARTITION BY split ORDER BY snap_idx ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS window_score,
       count(*) OVER (PARTITION BY split) AS n
     FROM (SELECT *, CASE WHEN snapshot_time < TIMESTAMP '2024-01-16' THEN 'train' WHEN snapshot_time < TIMESTAMP '2024-01-23' THEN 'val' ELSE 'test' END AS split
-          FROM ({_SCORE})) WINDOW w AS (PARTITION BY split ORDER BY snap_idx)) WHERE start <= greatest(n - 16, 0)""")
+          FROM ({_SCORE})) WINDOW w AS (PARTITION BY split ORDER BY snap_idx)) WHERE start <= greatest(n - 16, 0)"""
+
+
+@query(_WINDOWS)
 def severity_window_scores(s, d):
     return evaluate.window_scores(_scored(s, d), 16)
 
 
-@query(None)
+@query(f"""
+  SELECT split, arg_min(start, k) AS start, arg_min(window_score, k) AS window_score FROM (
+    SELECT *, -ln(1 - CAST(concat('0x', substr(md5('42|' || split || '|' || start), 1, 8)) AS BIGINT) / 4294967296) / (window_score + 1) AS k FROM ({_WINDOWS})) GROUP BY split""")
 def severity_window_sample(s, d):
     return evaluate.sample_window(evaluate.window_scores(_scored(s, d), 16))
 
@@ -1096,10 +1100,10 @@ def rotation_profile(s, d):
 
 @query("""
   SELECT airport, CASE WHEN f AND w THEN 'both' WHEN f THEN 'flights_only' ELSE 'weather_only' END AS coverage FROM (
-    SELECT airport, airport IN (SELECT ORIGIN FROM v_flights WHERE Distance > 2000) AS f, airport IN (SELECT airport FROM v_obs WHERE temp_c > 20) AS w FROM v_airports) WHERE f OR w""")
+    SELECT airport, airport IN (SELECT ORIGIN FROM v_flights) AS f, airport IN (SELECT airport FROM v_obs) AS w FROM v_airports) WHERE f OR w""")
 def weather_coverage(s, d):
     return quality.weather_coverage(
-        td.flights(s, d).where("Distance > 2000").select(F.col("ORIGIN").alias("airport")), td.weather(s, d).where("temp_c > 20"))
+        td.flights(s, d).select(F.col("ORIGIN").alias("airport")), td.weather(s, d))
 
 
 @query("SELECT ORIGIN, DEST, flight_count AS flights FROM v_routes ORDER BY flights DESC, ORIGIN, DEST LIMIT 10")
@@ -1323,37 +1327,43 @@ def feed_aircraft_states(s, d):
     return feeds.aircraft_states(payload).select("icao24", "callsign", "time_position", "longitude", "latitude", "on_ground")
 
 
-@query("""SELECT 'E' || event_id AS airport, CASE WHEN event_id % 3 = 0 THEN 0 ELSE value / 10 END AS wind_speed_ms, CASE WHEN event_id % 5 = 0 THEN 10000 ELSE value * 10 END AS visibility_m,
-    CAST(0 AS DOUBLE) AS precip_mm, CAST(20 AS DOUBLE) AS temperature_c FROM events""", "wind_speed_ms", "visibility_m")
+_NEWEST = "event_id IN (SELECT max(event_id) FROM events GROUP BY event_id % 25)"
+
+
+@query(f"""SELECT 'A' || (event_id % 25) AS airport, CASE WHEN event_id % 3 = 0 THEN 0 ELSE value / 10 END AS wind_speed_ms, CASE WHEN event_id % 5 = 0 THEN 10000 ELSE value * 10 END AS visibility_m,
+    CAST(0 AS DOUBLE) AS precip_mm, CAST(20 AS DOUBLE) AS temperature_c FROM events WHERE {_NEWEST}""", "wind_speed_ms", "visibility_m")
 def feed_observations(s, d):
+    """Every airport is polled many times; the newest observation counts."""
     i, v = F.col("event_id"), F.col("value")
     val = lambda c: F.struct(c.alias("value"))
     props = F.struct(val(F.when(i % 3 != 0, v / 10)).alias("windSpeed"), val(F.when(i % 5 != 0, v * 10)).alias("visibility"),
-                     val(F.lit(None).cast("double")).alias("precipitationLastHour"))
-    payload = td.table(s, d, "events").select(F.concat(F.lit("E"), i.cast("string")).alias("airport"), F.to_json(F.struct(props.alias("properties"))).alias("payload"))
+                     val(F.lit(None).cast("double")).alias("precipitationLastHour"),
+                     F.date_format(F.timestamp_seconds(i), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"))
+    payload = td.table(s, d, "events").select(F.concat(F.lit("A"), (i % 25).cast("string")).alias("airport"), F.to_json(F.struct(props.alias("properties"))).alias("payload"))
     return feeds.current_weather(payload).drop("timestamp")
 
 
-@query("""SELECT 'E' || event_id AS airport, CASE WHEN event_id % 4 = 0 THEN 0 ELSE (event_id % 30 + 3) * CAST(0.44704 AS DOUBLE) END AS wind_3h,
+@query(f"""SELECT 'A' || (event_id % 25) AS airport, CASE WHEN event_id % 4 = 0 THEN 0 ELSE (event_id % 30 + 3) * CAST(0.44704 AS DOUBLE) END AS wind_3h,
     CASE WHEN event_id % 4 <> 0 AND (event_id % 50) + 3 > 40 THEN CAST(1 AS DOUBLE) ELSE 0 END AS precip_3h,
     CASE WHEN event_id % 4 = 0 THEN 0 ELSE (event_id % 30 + 6) * CAST(0.44704 AS DOUBLE) END AS wind_6h,
-    CASE WHEN event_id % 4 <> 0 AND (event_id % 50) + 6 > 40 THEN CAST(1 AS DOUBLE) ELSE 0 END AS precip_6h, CAST(10000 AS DOUBLE) AS vis_6h FROM events""", "wind_3h", "wind_6h")
+    CASE WHEN event_id % 4 <> 0 AND (event_id % 50) + 6 > 40 THEN CAST(1 AS DOUBLE) ELSE 0 END AS precip_6h, CAST(10000 AS DOUBLE) AS vis_6h FROM events WHERE {_NEWEST}""", "wind_3h", "wind_6h")
 def feed_forecast(s, d):
-    """Every fourth payload has too few hours and gives the defaults."""
+    """Every airport is polled many times; every fourth payload has too few hours and gives the defaults."""
     i = F.col("event_id")
     hours = F.sequence(F.lit(0), F.when(i % 4 == 0, 5).otherwise(8))
     periods = F.transform(hours, lambda h: F.struct(
         F.concat((i % 30 + h).cast("string"), F.lit(" mph")).alias("windSpeed"), F.struct((i % 50 + h).cast("double").alias("value")).alias("probabilityOfPrecipitation")))
     payload = td.table(s, d, "events").select(
-        F.concat(F.lit("E"), i.cast("string")).alias("airport"), F.to_json(F.struct(F.struct(periods.alias("periods")).alias("properties"))).alias("payload"))
-    return feeds.forecast_weather(payload).select("airport", "wind_3h", "precip_3h", "wind_6h", "precip_6h", "vis_6h")
+        "event_id", F.concat(F.lit("A"), (i % 25).cast("string")).alias("airport"), F.to_json(F.struct(F.struct(periods.alias("periods")).alias("properties"))).alias("payload"))
+    return feeds.forecast_weather(payload, time="event_id").select("airport", "wind_3h", "precip_3h", "wind_6h", "precip_6h", "vis_6h")
 
 
 @query("""SELECT event_id, airport, CAST(CASE event_id % 4 WHEN 0 THEN 60 + event_id % 50 WHEN 1 THEN event_id % 70 WHEN 2 THEN event_id % 45 ELSE event_id % 90 END AS DOUBLE) AS avg_delay_min,
     CASE WHEN event_id % 4 = 3 THEN 'Delay' ELSE 'GDP' END AS type FROM events JOIN (SELECT 'A' || key AS airport, key FROM (
-      SELECT CASE WHEN n_nationkey < 10 THEN '0' || n_nationkey ELSE '' || n_nationkey END AS key FROM nation)) ON key = CASE WHEN event_id % 30 < 10 THEN '0' || (event_id % 30) ELSE '' || (event_id % 30) END""")
+      SELECT CASE WHEN n_nationkey < 10 THEN '0' || n_nationkey ELSE '' || n_nationkey END AS key FROM nation)) ON key = CASE WHEN event_id % 30 < 10 THEN '0' || (event_id % 30) ELSE '' || (event_id % 30) END
+    QUALIFY row_number() OVER (PARTITION BY airport ORDER BY event_id DESC) = 1""")
 def feed_airport_status(s, d):
-    """Lists, wrapped lists, single objects and XML in one feed; unknown airports are dropped."""
+    """Lists, wrapped lists, single objects and XML in one feed polled many times; unknown airports are dropped."""
     i = F.col("event_id")
     code = F.concat(F.lit("KA"), _pad(i % 30, 2))
     item = lambda text, key: F.struct(code.alias(key), text.alias("avgDelay"), F.lit("GDP").alias("type"))
@@ -1364,7 +1374,7 @@ def feed_airport_status(s, d):
     xml = F.concat(F.lit("<Info><List><Delay><ARPT>"), code, F.lit("</ARPT><Reason>fog</Reason><Avg>"), t(i % 90), F.lit("</Avg></Delay></List></Info>"))
     payload = F.when(i % 4 == 0, listed).when(i % 4 == 1, wrapped).when(i % 4 == 2, single).otherwise(xml)
     known = td.table(s, d, "nation").select(F.concat(F.lit("A"), _pad(F.col("n_nationkey"), 2)).alias("airport"))
-    return feeds.airport_status(td.table(s, d, "events").select("event_id", payload.alias("payload")), known).drop("reason")
+    return feeds.airport_status(td.table(s, d, "events").select("event_id", payload.alias("payload")), known, time="event_id").drop("reason")
 
 
 # ---------------------------------------------------------------- live tracking

@@ -3,6 +3,8 @@ text payloads and returns named, typed columns; polling the services is not done
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,7 +115,7 @@ def with_tail(flights: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def current_weather(payloads: DataFrame, *, payload: str = "payload", airports: DataFrame | None = None) -> DataFrame:
-    """Latest observation per airport; missing values, and airports without one, get defaults."""
+    """Latest observation per airport, by its timestamp; missing values, and airports without one, get defaults."""
     p = F.from_json(F.col(payload), OBSERVATION_FEED)["properties"]
     seen = payloads.select(
         "airport",
@@ -121,6 +123,9 @@ def current_weather(payloads: DataFrame, *, payload: str = "payload", airports:
         p["precipitationLastHour"]["value"].alias("precip_mm"), p["temperature"]["value"].alias("temperature_c"),
         p["timestamp"].alias("timestamp"),
     )
+    values = [c for c in seen.columns if c != "airport"]
+    newest = F.struct(F.try_to_timestamp(F.col("timestamp")), *values)
+    seen = seen.groupBy("airport").agg(F.max_by(F.struct(*values), newest).alias("o")).select("airport", "o.*")
     if airports is not None:
         seen = airports.select("airport").join(seen, "airport", "left")
     return seen.select(
@@ -129,8 +134,19 @@ def current_weather(payloads: DataFrame, *, payload: str = "payload", airports:
     )
 
 
-def forecast_weather(payloads: DataFrame, *, payload: str = "payload", airports: DataFrame | None = None) -> DataFrame:
-    """Wind and rain at +3 h and +6 h from the hourly periods; fewer than 7 periods give defaults."""
+def latest(payloads: DataFrame, keys: Sequence[str], time: str | None, payload: str = "payload") -> DataFrame:
+    """The newest payload of each key; without a time column there must be one. Equal times are settled by the payload's text."""
+    if time is None:
+        return payloads
+    return payloads.groupBy(*keys).agg(F.max_by(payload, F.struct(time, payload)).alias(payload))
+
+
+def forecast_weather(payloads: DataFrame, *, payload: str = "payload", airports: DataFrame | None = None, time: str | None = None) -> DataFrame:
+    """Wind and rain at +3 h and +6 h from the hourly periods; fewer than 7 periods give defaults.
+
+    `time` names the column that says when a payload was polled; the newest of an airport counts.
+    """
+    payloads = latest(payloads, ["airport"], time, payload)
     periods = F.from_json(F.col(payload), FORECAST_FEED)["properties"]["periods"]
     got = payloads.select("airport", F.when(F.size(periods) >= 7, periods).alias("p"))
 
@@ -150,8 +166,12 @@ def forecast_weather(payloads: DataFrame, *, payload: str = "payload", airports:
     ])
 
 
-def airport_status(payloads: DataFrame, airports: DataFrame, *, payload: str = "payload") -> DataFrame:
-    """Average delay per airport from a JSON or XML status payload, known airports only."""
+def airport_status(payloads: DataFrame, airports: DataFrame, *, payload: str = "payload", time: str | None = None) -> DataFrame:
+    """Average delay per airport from a JSON or XML status payload, known airports only.
+
+    With `time`, the column that says when a payload was polled, an airport has the row of the newest payload that
+    lists it; of several rows in one payload the longest delay counts.
+    """
     text = F.trim(F.col(payload))
     item = STATUS_ITEM.simpleString()
     listed = F.from_json(F.when(text.startswith("["), text), f"array<{item}>")
@@ -182,6 +202,10 @@ def airport_status(payloads: DataFrame, airports: DataFrame, *, payload: str = "
         F.regexp_extract("b", r"^<(\w+)", 1).alias("type"), child("Reason").alias("reason"),
     )
     every = from_json_items.unionByName(from_xml_items)
-    return every.join(airports.select("airport"), "airport", "left_semi").select(
+    found = every.join(airports.select("airport"), "airport", "left_semi").select(
         *keep, "airport", F.col("minutes").cast("double").alias("avg_delay_min"), "type", "reason"
     )
+    if time is None:
+        return found
+    row = F.struct(*[c for c in found.columns if c != "airport"])
+    return found.groupBy("airport").agg(F.max_by(row, F.struct(time, "avg_delay_min", "type", "reason")).alias("r")).select("airport", "r.*").select(*found.columns)
