@@ -142,24 +142,25 @@ def airport_stats(flights: DataFrame, *, hubs: int = 30) -> DataFrame:
 
 
 def dynamic_weights(
-    edges: DataFrame, airport_hour: DataFrame, *, z: float = 1.3, dep_delay: float = 15.0
+    edges: DataFrame, airport_hour: DataFrame, day: str, *, z: float = 1.3, dep_delay: float = 15.0
 ) -> DataFrame:
-    """Weight of each congestion edge in each hour: the base scaled by the source airport's state.
+    """Weight of each congestion edge in each hour of a day: the base scaled by the source airport's state.
 
-    weight = base * (0.3 + 0.7 * max(taxi signal, delay signal)), both in [0, 1]. Only
-    airport-hours present in `airport_hour` (airport, snapshot_time, avg_taxi_out,
-    avg_dep_delay) are expanded; in any other hour the weight is 0.3 * base when the
-    taxi mean is positive.
+    weight = base * (0.3 + 0.7 * max(taxi signal, delay signal)), both in [0, 1]. An hour without a row in
+    `airport_hour` (airport, snapshot_time, avg_taxi_out, avg_dep_delay) counts as zero taxi and zero delay. All days
+    together are edges times hours, so one day is made at a time.
     """
-    hour = airport_hour.select(
-        F.col("airport").alias("src_airport"), "snapshot_time",
-        F.coalesce("avg_taxi_out", F.lit(0.0)).alias("taxi"), F.coalesce("avg_dep_delay", F.lit(0.0)).alias("delay"))
+    start = F.lit(day).cast("timestamp_ntz")
+    grid = F.explode(F.sequence(start, start + F.expr("INTERVAL 23 HOURS"), F.expr("INTERVAL 1 HOUR")))
+    hour = airport_hour.where(F.to_date("snapshot_time") == F.lit(day).cast("date")).select(
+        F.col("airport").alias("src_airport"), "snapshot_time", "avg_taxi_out", "avg_dep_delay")
+    rows = edges.withColumn("snapshot_time", grid).join(hour, ["src_airport", "snapshot_time"], "left")
     mean = F.coalesce("taxi_mean", F.lit(19.0))
     std = F.greatest(F.coalesce("taxi_std", F.lit(5.0)), F.lit(1.0))
-    taxi_signal = clip((F.col("taxi") - mean) / std / (z * 2), 0.0, 1.0)
-    delay_signal = clip(F.col("delay") / (dep_delay * 3), 0.0, 1.0)
+    taxi_signal = clip((F.coalesce("avg_taxi_out", F.lit(0.0)) - mean) / std / (z * 2), 0.0, 1.0)
+    delay_signal = clip(F.coalesce("avg_dep_delay", F.lit(0.0)) / (dep_delay * 3), 0.0, 1.0)
     base = F.coalesce("edge_weight", F.lit(0.0))
-    return edges.join(hour, "src_airport").select(
+    return rows.select(
         "snapshot_time", "src_airport", "dst_airport", "sub_type",
         (base * (F.lit(0.3) + F.lit(0.7) * F.greatest(taxi_signal, delay_signal))).alias("dynamic_weight"),
         base.alias("base_weight"),

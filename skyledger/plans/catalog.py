@@ -469,16 +469,19 @@ def airport_congestion_stats(s, d):
     return congestion.airport_stats(_flights(s, d), hubs=5)
 
 
-@query("""
-  SELECT s.snapshot_time, e.src_airport, e.dst_airport, e.sub_type,
+@query(f"""
+  SELECT h.t AS snapshot_time, e.src_airport, e.dst_airport, e.sub_type,
     e.edge_weight * (0.3 + 0.7 * greatest(
       least(greatest((coalesce(s.avg_taxi_out, 0) - coalesce(e.taxi_mean, 19)) / greatest(coalesce(e.taxi_std, 5), 1) / 2.6, 0), 1),
       least(greatest(coalesce(s.avg_dep_delay, 0) / 45, 0), 1))) AS dynamic_weight, e.edge_weight AS base_weight
-  FROM v_congestion e JOIN v_state s ON s.airport = e.src_airport""", "dynamic_weight", "base_weight")
+  FROM (SELECT * FROM v_congestion WHERE src_airport IN (SELECT airport FROM v_airports WHERE lat < 40) AND dst_airport IN (SELECT airport FROM v_airports WHERE lat < 40)) e
+  CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '{DAY}', TIMESTAMP '{DAY}' + INTERVAL 23 HOUR, INTERVAL 1 HOUR)) AS t) h
+  LEFT JOIN v_state s ON s.airport = e.src_airport AND s.snapshot_time = h.t""", "dynamic_weight", "base_weight")
 def congestion_dynamic_weights(s, d):
     fl = _flights(s, d)
     edges = congestion.congestion_edges(fl, min_pair=10, hubs=5, min_hours=2)
-    return congestion.dynamic_weights(edges, priors.airport_hour_state(fl))
+    listed = clean.between_airports(edges, td.airports(s, d).where("lat < 40"), "src_airport", "dst_airport")
+    return congestion.dynamic_weights(listed, priors.airport_hour_state(fl), DAY)
 
 
 @query("""

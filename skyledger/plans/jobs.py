@@ -116,10 +116,10 @@ def build_snapshots(
 
 
 def dynamic_congestion(spark: SparkSession, out: str, date: str) -> DataFrame:
-    """Congestion weights of one day, made on demand: all days together are edges times hours."""
+    """Congestion weights of one day between known airports, made on demand."""
     f = Folder(out)
-    state = clean.on_date(spark.read.parquet(f.airport_hours), date, "snapshot_time")
-    return congestion.dynamic_weights(spark.read.parquet(f.congestion_edges), state)
+    edges = clean.between_airports(spark.read.parquet(f.congestion_edges), spark.read.parquet(f.airport_locations), "src_airport", "dst_airport")
+    return congestion.dynamic_weights(edges, spark.read.parquet(f.airport_hours), date)
 
 
 @scoped

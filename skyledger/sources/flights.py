@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyledger.functions.conform import DAY_FIRST_FORMATS, clean_header, conform, parse_timestamp
@@ -22,6 +24,17 @@ def existing(spark: SparkSession, paths: Iterable[str]) -> list[str]:
     return [p for p in paths if path_exists(spark, p)]
 
 
+def headers(spark: SparkSession, paths: Iterable[str]) -> dict[str, list[str]]:
+    """First line of every text file and the files that begin with it, in one job whatever their number."""
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("n"))
+    first = lines.where("at = 0").groupBy("path").agg(F.min_by("value", "n").alias("header")).orderBy("path")
+    found: dict[str, list[str]] = {}
+    for row in first.toLocalIterator():
+        found.setdefault(row.header, []).append(unquote(row.path))
+    return found
+
+
 def read_csv_files(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     """All given CSV files that exist, as strings under their own headers.
 
@@ -31,7 +44,8 @@ def read_csv_files(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     found = existing(spark, paths)
     if not found:
         raise FileNotFoundError("none of the flight files exists")
-    frames = [clean_header(spark.read.csv(p, header=True, inferSchema=False)) for p in found]
+    # Files that share a header are one scan.
+    frames = [clean_header(spark.read.csv(own, header=True, inferSchema=False)) for own in headers(spark, found).values()]
     first, *rest = frames
     for frame in rest:
         first = first.unionByName(frame, allowMissingColumns=True)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from skyledger.functions.conform import DAY_FIRST_FORMATS, clean_header, conform, parse_timestamp
 from skyledger.functions.expr import relative_humidity
 from skyledger.functions.sequence import along_key
+from skyledger.sources.flights import headers
 from skyledger.sources.schemas import WEATHER, WEATHER_ALIASES
 
 # Fixed value: AIRPORT_YEAR file names, with the common misspelt extension.
@@ -40,19 +41,15 @@ def read_weather(spark: SparkSession, folder: str) -> DataFrame:
     lines only.
     """
     named = list_files(spark, folder).where("airport is not null").select("path").orderBy("path")
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for row in named.toLocalIterator():
-        header = tuple(spark.read.csv(row.path, header=True, inferSchema=False).columns)
-        groups.setdefault(header, []).append(row.path)
-    if not groups:
+    paths = [row.path for row in named.toLocalIterator()]
+    if not paths:
         raise FileNotFoundError(f"no weather files in {folder}")
-    parts = [_one_header(spark, header, paths) for header, paths in groups.items()]
+    parts = [_one_header(spark, own) for own in headers(spark, paths).values()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def _one_header(spark: SparkSession, header: tuple[str, ...], paths: list[str]) -> DataFrame:
-    text = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    raw = spark.read.schema(text).csv(paths, header=True).withColumn("source_path", F.input_file_name())
+def _one_header(spark: SparkSession, paths: list[str]) -> DataFrame:
+    raw = spark.read.csv(paths, header=True, inferSchema=False).withColumn("source_path", F.input_file_name())
     raw = clean_header(raw, lower=True)
     when = next((c for c in raw.columns if "datetime" in c), None)
     if when is None:

@@ -126,3 +126,18 @@ def test_same_metro_needs_no_cross_join(spark):
     assert as_set(edges, "src_airport", "dst_airport") == {("JFK", "LGA"), ("EWR", "JFK"), ("EWR", "LGA"), ("E", "W"), ("P", "Q")}
     plan = edges._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner, (" in plan
+
+
+def test_headers_are_read_in_one_job_whatever_the_number_of_files(spark, tmp_path):
+    counts = []
+    for n in (2, 12):
+        folder = tmp_path / f"f{n}"
+        folder.mkdir()
+        for k in range(n):
+            (folder / f"y {k}.csv").write_text(("a,b\n1,2\n" if k % 2 else "b,c\n3,4\n"))
+        spark.sparkContext.setJobGroup(f"files-{n}", "")
+        df = ff.read_csv_files(spark, [str(folder / f"y {k}.csv") for k in range(n)])
+        counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"files-{n}")))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert df.columns == ["b", "c", "a"] and df.count() == n and df.where("a = 1 and b = 2").count() == n // 2
+    assert counts[0] == counts[1]
