@@ -33,7 +33,7 @@ from skyledger.plans.staging import new_folder, stage
 STATES = 8
 CLASSES = 8192
 ITERATIONS = 4
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 4_000_000
 SEGMENT = 128  # tokens; training restarts from the initial distribution at each, scoring does not
 END = b""  # no word is empty, so the empty word is the end token
 STAY = 0.9
