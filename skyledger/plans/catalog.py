@@ -1387,9 +1387,14 @@ _LANDED = """SELECT 'N' || user_id AS Tail_Number, CAST(ts AS DATE) AS day, ts,
 _TAILS = f"""SELECT day, Tail_Number, sum(delay) AS cumul, count(*) AS legs, arg_max(delay, ts) AS immed FROM ({_LANDED}) GROUP BY 1, 2"""
 
 
+_LATE = "400 days"  # files come in any order here, so no row may be late
+
+
 def _events_stream(s, d):
-    schema = td.table(s, d, "events").schema
-    raw = live.read_folder(s, d, schema, "parquet", files="events.parquet")
+    """The events as eight files or more that land in a folder, read two at a time."""
+    events, landed = td.table(s, d, "events"), new_folder(s, "landed")
+    events.repartition(8).write.parquet(landed)
+    raw = live.read_folder(s, landed, events.schema, "parquet", max_files=2)
     i = F.col("event_id")
     return raw.select(
         F.concat(F.lit("F"), i.cast("string")).alias("flight_number"), F.concat(F.lit("N"), F.col("user_id").cast("string")).alias("Tail_Number"),
@@ -1408,15 +1413,15 @@ def stream_first_reports(s, d):
     """A feed that repeats every report, reduced to the first of each."""
     out = new_folder(s, "first-reports")
     twice = _events_stream(s, d).select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("poll"))
-    _run(live.first_reports(twice), live.append_to(f"{out}/table"), out, "append")
+    _run(live.first_reports(twice, late_by=_LATE), live.append_to(f"{out}/table"), out, "append")
     return s.read.parquet(f"{out}/table").select("flight_number", "Tail_Number", "arr_delay_min")
 
 
 @query(_TAILS)
 def stream_tail_state(s, d):
     out = new_folder(s, "tail-state")
-    _run(live.tail_state(_events_stream(s, d)), live.replace(f"{out}/table"), out, "complete")
-    return s.read.parquet(f"{out}/table")
+    _run(live.tail_state(_events_stream(s, d), late_by=_LATE), live.append_to(f"{out}/table"), out, "update")
+    return live.current(s, f"{out}/table", ["day", "Tail_Number"])
 
 
 @query("""SELECT date_trunc('hour', ts) AS hour, 'A' || (event_id % 25) AS airport, avg(floor(value * 2 - 60)) AS avg_dep_delay, avg(8 + (event_id * 13) % 30) AS avg_taxi_out,
@@ -1424,8 +1429,8 @@ def stream_tail_state(s, d):
 def stream_hourly_departures(s, d):
     out = new_folder(s, "hourly")
     source = _events_stream(s, d).withColumnRenamed("arr_delay_min", "DepDelay").withColumnRenamed("dep_scheduled", "dep_datetime")
-    _run(live.hourly_departures(source), live.replace(f"{out}/table"), out, "complete")
-    return s.read.parquet(f"{out}/table").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+    _run(live.hourly_departures(source, late_by=_LATE), live.append_to(f"{out}/table"), out, "update")
+    return live.current(s, f"{out}/table", ["hour", "airport"]).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
 @query("""SELECT h - to_hours(CAST(k AS INTEGER)) AS snapshot_time, airport, count(*) AS departures FROM (SELECT date_trunc('hour', ts) AS h, 'A' || (event_id % 25) AS airport FROM events)
@@ -1433,8 +1438,8 @@ def stream_hourly_departures(s, d):
 def stream_lookahead(s, d):
     out = new_folder(s, "lookahead")
     source = _events_stream(s, d).withColumnRenamed("dep_scheduled", "dep_datetime")
-    _run(live.lookahead(source, hours=3), live.replace(f"{out}/table"), out, "complete")
-    return s.read.parquet(f"{out}/table").withColumn("snapshot_time", F.col("snapshot_time").cast("timestamp_ntz"))
+    _run(live.lookahead(source, hours=3, late_by=_LATE), live.append_to(f"{out}/table"), out, "update")
+    return live.current(s, f"{out}/table", ["snapshot_time", "airport"]).withColumn("snapshot_time", F.col("snapshot_time").cast("timestamp_ntz"))
 
 
 _NOW = "2024-01-10 12:00:00"

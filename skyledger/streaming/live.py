@@ -50,11 +50,11 @@ def append_to(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def replace(path: str) -> Callable[[DataFrame, int], None]:
-    """For complete-mode output: the latest batch is the whole result."""
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
-    return write
+def current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The result of an update-mode query from the folders of `append_to`: each key's row of the latest batch that has one."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in keys and c != "batch"]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("r")).select(*keys, "r.*")
 
 
 def late_rows(query) -> int:

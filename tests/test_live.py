@@ -27,8 +27,8 @@ def test_tail_state_over_files_survives_a_restart(spark, tmp_path):
         stream = live.read_folder(spark, str(feed), SCHEMA)
         live.start(live.first_reports(stream), live.append_to(str(out / "first")), str(out / "c1"), mode="append", once=True).awaitTermination()
         again = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(str(out / "first"))
-        live.start(live.tail_state(again), live.replace(str(out / "state")), str(out / "c2"), mode="complete", once=True).awaitTermination()
-        return as_set(spark.read.parquet(str(out / "state")), F.col("day").cast("string"), "Tail_Number", "cumul", "legs", "immed")
+        live.start(live.tail_state(again), live.append_to(str(out / "state")), str(out / "c2"), mode="update", once=True).awaitTermination()
+        return as_set(live.current(spark, str(out / "state"), ["day", "Tail_Number"]), F.col("day").cast("string"), "Tail_Number", "cumul", "legs", "immed")
 
     assert run() == {("2022-01-01", "N1", 20.0, 1, 20.0)}
     (feed / "b.json").write_text("\n".join([
@@ -36,6 +36,23 @@ def test_tail_state_over_files_survives_a_restart(spark, tmp_path):
     assert run() == {("2022-01-01", "N1", 25.0, 2, 5.0), ("2022-01-02", "N1", 7.0, 1, 7.0)}
 
 
+def test_state_is_let_go_and_late_rows_are_counted(spark, tmp_path):
+    """Days that the watermark has passed leave the state; a report of such a day is dropped and counted."""
+    feed, out, sizes, late = tmp_path / "feed", tmp_path / "out", [], 0
+    feed.mkdir()
+    for day in (1, 2, 5, 8, 9):
+        rows = [report(f"F{day}", f"N{k}", f"2022-01-{day:02d}T10:00:00Z", 20.0) for k in range(5)]
+        rows += [report("OLD", "N1", "2022-01-01T11:00:00Z", 9.0)] * (day == 9)
+        (feed / f"{day}.json").write_text("\n".join(rows))
+        query = live.start(live.tail_state(live.read_folder(spark, str(feed), SCHEMA), late_by="12 hours"), live.append_to(str(out / "t")), str(out / "c"), once=True)
+        query.awaitTermination()
+        late += live.late_rows(query)
+        sizes.append(query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"])
+    assert max(sizes) <= 10 and late == 1
+    got = live.current(spark, str(out / "t"), ["day", "Tail_Number"])
+    assert got.count() == 25 and got.where("cumul <> 20").count() == 0
+
+
 def test_departures_fall_back_to_active(spark):
     def flight(n, status, t):
         return {"flight_status": status, "departure": {"iata": "ATL", "scheduled": t, "delay": None}, "arrival": {"iata": "BOS", "scheduled": "bad"},
