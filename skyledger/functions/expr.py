@@ -234,6 +234,7 @@ def horizon_band(hours: Column | str) -> Column:
     return F.when(h >= 6, 6).when(h >= 3, 3).when(h >= 1, 1).when(h >= 0, 0)
 
 
+# Status, cause and alert labels of the next four functions.
 def predicted_status(pred: Column | str) -> Column:
     p = col(pred)
     return (

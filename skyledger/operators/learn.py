@@ -19,6 +19,7 @@ from skyledger.functions.expr import (
 from skyledger.operators.evaluate import best_threshold, linspace, sweep
 from skyledger.plans.staging import stage
 
+# Names that files and tables share.
 NUMERIC = [
     "pred", "pred_abs", "pred_clip", "severe_prob", "pred_minus_120", "pred_minus_240", "pred_minus_720",
     "sev_x_pred", "sev_x_pred120", "sev_x_h6", "pred_ge_120", "pred_ge_240", "pred_ge_720",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions.expr import (
@@ -107,11 +109,30 @@ def _order(name: str):
     return [spec[i](spec[i + 1]) for i in range(0, len(spec), 2)] + [F.asc(c) for c in _TAIL]
 
 
+def _behind(sort: str, seen: Mapping[str, object]) -> Column:
+    """Rows that a sort order puts behind the row with those values; nulls come first ascending and last descending."""
+    spec = SORTS.get(sort, SORTS["severity"])
+    parts = [(spec[i + 1], spec[i] is F.asc) for i in range(0, len(spec), 2)] + [(c, True) for c in _TAIL]
+    found, same = F.lit(False), F.lit(True)
+    for name, rising in parts:
+        c, v = F.col(name), seen[name]
+        if v is None:
+            beyond = c.isNotNull() if rising else F.lit(False)
+        else:
+            beyond = c > F.lit(v) if rising else (c < F.lit(v)) | c.isNull()
+        found = found | (same & F.coalesce(beyond, F.lit(False)))
+        same = same & c.eqNullSafe(F.lit(v))
+    return found
+
+
 def browse(
     table: DataFrame, *, snapshot=None, horizon: int | None = None, severity: str = "all", search: str = "",
-    sort: str = "severity", page: int = 1, page_size: int | None = None,
+    sort: str = "severity", after: Mapping[str, object] | None = None, page_size: int | None = None,
 ) -> DataFrame:
-    """Filtered, sorted and optionally paged rows."""
+    """Filtered, sorted and optionally paged rows.
+
+    `after` holds the sort columns of the last row seen: the next page is a filter and a top-k of one page, however deep it is.
+    """
     rows = table
     if snapshot is not None:
         rows = rows.where(F.col("snapshot_time") == F.lit(snapshot).cast("timestamp_ntz"))
@@ -121,10 +142,10 @@ def browse(
         rows = rows.where(F.col("pred_tier_order") >= SEVERITY_FILTERS[severity])
     if search:
         rows = rows.where(matches_text(search.strip(), "flight_id", "Operating_Airline", "Tail_Number", "route"))
+    if after is not None:
+        rows = rows.where(_behind(sort, after))
     rows = rows.orderBy(*_order(sort))
-    if page_size:
-        rows = rows.offset((page - 1) * page_size).limit(page_size)
-    return rows
+    return rows.limit(page_size) if page_size else rows
 
 
 def top_per_snapshot(table: DataFrame, k: int = 45) -> DataFrame:
@@ -177,7 +198,7 @@ def expand(rows: DataFrame, coords: DataFrame) -> DataFrame:
     )
 
 
-def bundle_meta(table: DataFrame, date: str, split: str, threshold: float) -> DataFrame:
+def bundle_meta(table: DataFrame, date: str, split: str, threshold: float, *, title: str = "Delays of one day") -> DataFrame:
     """The head of the exported bundle as one JSON document: labels, positions, snapshot summaries.
 
     Only lists that grow with hours and airports are collected into it; the rows
@@ -202,7 +223,7 @@ def bundle_meta(table: DataFrame, date: str, split: str, threshold: float) -> Da
     labels = [F.lit(x) for x in TIER_LABELS]
     horizons = [F.lit(str(x)) for kv in HORIZON_LABELS.items() for x in kv]
     meta = F.struct(
-        F.lit("Flight Delay Replay Demo").alias("title"), F.lit(date).alias("date"), F.lit(split).alias("split"),
+        F.lit(title).alias("title"), F.lit(date).alias("date"), F.lit(split).alias("split"),
         F.lit(threshold).alias("severeThreshold"), "rows", "snapshots", F.array(*labels).alias("tierLabels"),
         F.create_map(*horizons).alias("horizonLabels"), coords.select("m").scalar().alias("airportCoords"))
     doc = F.struct(

@@ -1226,12 +1226,27 @@ def replay_kpis(s, d):
     return replay.kpis(_replay(s, d), severity="heavy_plus")
 
 
-@query("""
-  SELECT flight_id, snapshot_time, route, pred, abs_err FROM v_replay WHERE horizon_h = 3 AND pred_tier_order >= 3 AND contains(lower(route), 'nation_1')
-  ORDER BY abs_err DESC, pred DESC, flight_id, snapshot_time LIMIT 25 OFFSET 25""", "pred", "abs_err")
+_ORDERS = {
+    "severity": "pred_tier_order DESC, severe_prob DESC, pred DESC", "severe_prob_desc": "severe_prob DESC, pred DESC", "abs_err_desc": "abs_err DESC, pred DESC",
+    "actual_desc": "actual DESC, pred DESC", "route_az": "route, pred DESC", "airline_az": "Operating_Airline, route",
+}
+
+
+@query(" UNION ALL ".join(f"""
+  SELECT * FROM (SELECT '{name}' AS sort, flight_id, snapshot_time, route, pred, abs_err FROM v_replay WHERE horizon_h = 3 AND pred_tier_order >= 3 AND contains(lower(route), 'nation_1')
+  ORDER BY {order}, flight_id, snapshot_time LIMIT 25 OFFSET 25)""" for name, order in _ORDERS.items()), "pred", "abs_err")
 def replay_page(s, d):
-    return replay.browse(_replay(s, d), horizon=3, severity="heavy_plus", search="Nation_1", sort="abs_err_desc", page=2, page_size=25).select(
-        "flight_id", "snapshot_time", "route", "pred", "abs_err")
+    """The second page under every sort order, from the last row of the first."""
+    table, pages = stage(_replay(s, d), "replay"), []
+    for name in replay.SORTS:
+        page = dict(horizon=3, severity="heavy_plus", search="Nation_1", sort=name, page_size=25)
+        first = replay.browse(table, **page).collect()
+        rest = replay.browse(table, after=first[-1].asDict(), **page) if first else table.limit(0)
+        pages.append(rest.select(F.lit(name).alias("sort"), "flight_id", "snapshot_time", "route", "pred", "abs_err"))
+    out = pages[0]
+    for page in pages[1:]:
+        out = out.unionByName(page)
+    return out
 
 
 @query("""

@@ -13,6 +13,7 @@ def _table(**columns: T.DataType) -> T.StructType:
 
 
 # Yearly on-time file, as published.
+# Names that files and tables share.
 RAW_YEARLY = _table(
     FlightDate=_S, Operating_Airline=_S, Tail_Number=_S, Origin=_S, Dest=_S,
     DepDelay=_S, ArrDelay=_S, TaxiOut=_S, TaxiIn=_S, AirTime=_S, Distance=_S,
@@ -27,6 +28,7 @@ FLIGHTS = _table(
 )
 
 # Header of the monthly on-time file -> our column.
+# Names that files and tables share.
 MONTHLY_NAMES = {
     "FL_DATE": "FlightDate", "UNIQUE_CARRIER": "Operating_Airline", "TAIL_NUM": "Tail_Number",
     "FL_NUM": "FlightNum", "DEP_DELAY": "DepDelay", "ARR_DELAY": "ArrDelay", "TAXI_OUT": "TaxiOut",
@@ -43,6 +45,7 @@ WEATHER = _table(
     precip_depth_mm=_D, snow_depth_mm=_D, station_id=_S, wban=_S,
 )
 # Accepted headers per weather column, best first.
+# Names that files and tables share.
 WEATHER_ALIASES = {
     "wind_speed_ms": ["wind_speed_ms", "wind_speed", "wspd"],
     "wind_gust_ms": ["wind_gust_ms", "wind_gust", "wgst"],
@@ -60,6 +63,7 @@ PREDICTIONS = _table(
     flight_id=_L, snap_idx=_I, horizon_h=_I, pred=_D, severe_prob=_D, actual=_D, abs_err=_D, sq_err=_D,
 )
 
+# Names that files and tables share.
 ROTATION = _table(
     edge_type=_S, tail_number=_S, leg1_flight_id=_L, leg2_flight_id=_L,
     src_airport=_S, mid_airport=_S, dst_airport=_S, airport_match=_B,
@@ -67,6 +71,7 @@ ROTATION = _table(
     leg1_arr_delay=_D, leg1_dep_delay=_D, leg2_dep_delay=_D, leg2_arr_delay=_D, edge_weight=_D,
 )
 
+# Names that files and tables share.
 MODEL_COMPARISON = _table(
     checkpoint=_S, split=_S, epoch=_S, overall_mae=_D, overall_rmse=_D,
     mae_0h=_D, rmse_0h=_D, mae_1h=_D, rmse_1h=_D, mae_3h=_D, rmse_3h=_D, mae_6h=_D, rmse_6h=_D,
@@ -85,6 +90,7 @@ DEPARTURES_FEED = T.StructType([T.StructField("data", T.ArrayType(_table(
 
 STATES_FEED = T.StructType([T.StructField("states", T.ArrayType(T.ArrayType(_S)))])
 # Order of the values in one aircraft state.
+# Names that files and tables share.
 STATE_FIELDS = [
     "icao24", "callsign", "origin_country", "time_position", "last_contact", "longitude", "latitude",
     "geo_altitude", "on_ground", "velocity", "true_track", "vertical_rate", "sensors",
