@@ -100,16 +100,17 @@ def plan(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SH
 def _assign(rows: DataFrame, carried: list[str], *, weights: Sequence[float], share: float, cap: int, tilt: float, slot_digits: int) -> DataFrame:
     """rows: id, source, size and carried columns. Adds source_size, target, taken and uses: (position, words) of each use."""
     order = F.sha2(F.coalesce(F.col("id").cast("string"), F.lit("")), 256)
-    keyed = rows.withColumn("order", order).withColumn("slot", F.substring("order", 1, slot_digits))
-    per_slot = stage(keyed.groupBy("source", "slot").agg(F.sum("size").alias("size")), "slots")
+    # A source under a name that is never null, so that window and join share one shuffle.
+    name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
+    keyed = rows.withColumns({"order": order, "name": name}).withColumn("slot", F.substring("order", 1, slot_digits))
+    per_slot = stage(keyed.groupBy("name", "slot").agg(F.first("source").alias("source"), F.sum("size").alias("size")), "slots")
     sources = plan(per_slot, weights, share, cap, tilt)
-    before = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_slot.select("source", "slot", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
+    before = Window.partitionBy("name").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_slot.select("name", "slot", "source", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
     starts = stage(starts.alias("s").join(sources.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).select(
-        F.col("s.source").alias("of_source"), F.col("s.slot").alias("of_slot"), "base", "source_size", "target", "parts"), "starts")
-    inside = Window.partitionBy("source", "slot").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = keyed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = ranked.join(starts, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("slot") == F.col("of_slot")))
+        "s.name", "s.slot", "base", "source_size", "target", "parts"), "starts")
+    inside = Window.partitionBy("name", "slot").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["name", "slot"])
     at = F.col("base") + F.col("inside")
     goal = F.floor("target").cast("long")
     whole = F.element_at("parts", -1)["upto"]
