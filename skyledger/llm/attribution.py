@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from skyledger.llm import text as X
 from skyledger.llm.tokenfiles import Encoder
 
+MEMO_WORDS = 700_000
 RULES = ("start", "end", "longest")
 OUTSIDE = -1
 
@@ -71,6 +72,9 @@ class Offsets(Encoder):
     def packed(self, got) -> bytes:
         return np.array(got.offsets, "<i4").tobytes()
 
+    def _learn(self, new: list[bytes]) -> None:
+        self._encode(new)  # a stem's spans do not fit what follows it
+
 
 _encoders: dict[str, Offsets] = {}
 
@@ -81,8 +85,8 @@ def spans_of(raw: bytes, path: str) -> tuple[np.ndarray, np.ndarray]:
     The tokenizer never looks across blanks, so a token's span is its span in its word, moved by the word's start.
     """
     if path not in _encoders:
-        _encoders[path] = Offsets(path)
-    parts = list(_encoders[path].pieces(raw))
+        _encoders[path] = Offsets(path, MEMO_WORDS)
+    parts = next(_encoders[path].pieces([raw]))
     table = np.frombuffer(b"".join(parts), "<i4").reshape(-1, 2).astype(np.int64)
     chars = np.frombuffer(raw, np.uint8)
     solid = (chars != 32) & ((chars < 9) | (chars > 13))

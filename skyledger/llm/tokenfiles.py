@@ -39,7 +39,7 @@ FOOTER_MAGIC = 0x8F92EAB1
 CHECKSUMS = 0x80
 
 FRAME_IDS = 1 << 16
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_500_000
 END_ID = 1
 
 
@@ -58,6 +58,20 @@ class Encoder:
         self.memo_words = memo_words
 
     def _learn(self, new: list[bytes]) -> None:
+        # Case does not count, and full stops and commas behind a letter are tokens of their own: such words share a stem.
+        stems, split = set(), []
+        for word in new:
+            stem = word.rstrip(b".,")
+            if not stem[-1:].isalpha():
+                stem = word
+            low = stem.lower()
+            stems.update((low, word[len(stem):]))
+            split.append((word, low, word[len(stem):]))
+        self._encode([s for s in stems if s not in self.memo])
+        for word, low, rest in split:
+            self.memo[word] = self.memo[low] + self.memo[rest]
+
+    def _encode(self, new: list[bytes]) -> None:
         for k in range(0, len(new), 4096):
             part = new[k:k + 4096]
             got = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
@@ -69,20 +83,23 @@ class Encoder:
         """What is remembered of an encoding, `width` bytes a token."""
         return np.array(got.ids, "<u4").tobytes()
 
-    def pieces(self, raw: bytes) -> Iterator[bytes]:
-        """What is remembered of each word of the text, in order."""
-        words = raw.split()
-        new = [w for w in set(words) if w not in self.memo]
-        if new:
-            if len(self.memo) + len(new) > self.memo_words:
-                self.memo.clear()
-                new = list(set(words))
-            self._learn(new)
-        return map(self.memo.__getitem__, words)
+    def pieces(self, texts: list[bytes]) -> Iterator[list[bytes]]:
+        """What is remembered of each word of each text, in order. New words of some texts are learned together."""
+        for k in range(0, len(texts), 32):
+            group = [raw.split() for raw in texts[k:k + 32]]
+            found = [list(map(self.memo.get, words)) for words in group]
+            new = {w for words, parts in zip(group, found) if None in parts for w, part in zip(words, parts) if part is None}
+            if new:
+                if len(self.memo) + len(new) > self.memo_words:
+                    self.memo.clear()
+                self._learn(list(new))
+                for words, parts in zip(group, found):
+                    if None in parts:
+                        parts[:] = [self.memo[w] if part is None else part for w, part in zip(words, parts)]
+            yield from found
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        for raw in texts:
-            yield b"".join(self.pieces(raw))
+        return map(b"".join, self.pieces(texts))
 
 
 _encoders: dict[str, Encoder] = {}
