@@ -18,8 +18,9 @@ other columns are ignored by `matches` and passed on by `clean`.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -171,18 +172,26 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int)
         yield [(r.id, ws) for r in part if (ws := tokens(r.text.encode()))]
 
 
+_made: dict[str, Index] = {}
+
+
 def _shared(spark, items: list[tuple], max_edits: float, recall: float):
-    """The items at every executor, and the index made from them once a Python worker."""
-    sent = spark.sparkContext.broadcast(items)
-    made: dict[str, Index] = {}
+    """The items at every executor; a Python worker makes the index from them once, however many tasks it runs."""
+    sent, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def index() -> Index:
-        if "index" not in made:
-            made["index"] = Index(sent.value, max_edits, recall)
-        return made["index"]
+        return kept_index(name, lambda: Index(sent.value, max_edits, recall))
     return index
 
 
+def kept_index(name: str, make: Callable[[], Index]) -> Index:
+    """One index a worker; that of another block or query takes its place."""
+    if name not in _made:
+        _made.clear()
+        _made[name] = make()
+    return _made[name]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
             item_text_col: str = "text", max_edits: float = MAX_EDITS, recall: float = RECALL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id, item, at (first word of the window), n_words (of the item), edits: one row for each item found in a document."""
