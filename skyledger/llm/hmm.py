@@ -47,6 +47,15 @@ def class_of(word: bytes, classes: int = CLASSES) -> int:
 # ---------------------------------------------------------------- coding
 
 
+def pack(codes: np.ndarray) -> bytes:
+    """Codes as four planes of bytes: the high planes are mostly zeros, which Parquet and shuffles compress away."""
+    return np.ascontiguousarray(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def code(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES,
          chunk_tokens: int = CHUNK_TOKENS) -> tuple[DataFrame, DataFrame]:
     """Texts as word codes and classes, and the words of each chunk with their training counts; both written."""
@@ -73,7 +82,7 @@ def code(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col:
             for k in range(0, len(held), 1024):
                 part, codes = held[k:k + 1024], coded[k:k + 1024]
                 yield _filled(schema, len(part), kind=["text"] * len(part), chunk=[here] * len(part), id=[h[0] for h in part], training=[h[2] for h in part],
-                              codes=[c.tobytes() for c in codes], classes=[shape[c].tobytes() for c in codes])
+                              codes=[pack(c) for c in codes], classes=[shape[c].tobytes() for c in codes])
             words = [w.decode() for w in number]
             for k in range(0, len(words), 1 << 16):
                 part = words[k:k + (1 << 16)]
@@ -279,7 +288,7 @@ def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col
         of_code = np.zeros(len(place), np.int64)
         of_code[place] = shape
         inside = np.log10(known + 1.0)
-        coded = [np.frombuffer(b, np.int32) for b in left.column("codes").to_pylist()]
+        coded = [unpack(b) for b in left.column("codes").to_pylist()]
         states_part = log_likelihoods(model, [of_code[x] for x in coded]) / np.log(10)
         words_part = inside - np.log10(n_class + v_class + 1)[of_code]
         return pa.table({
