@@ -1,7 +1,7 @@
 """Benchmark passages in documents: CGK embedding, bit-sampling LSH, exact edit distance.
 
 Texts are sequences of lower-cased words without punctuation. Around every occurrence of one of an
-item's anchors (its longest words) stands a window of the item's size. The CGK walk reads a window with a pointer that moves
+item's anchors (its rarest words, at more places than edits are allowed, so one is always left) stands a window of the item's size. The CGK walk reads a window with a pointer that moves
 on or stays by a random function of the step and the word it stands on, and writes the words it sees: two sequences k edits
 apart fall back into step after each edit, so their embeddings agree in most places. Each LSH repetition samples some
 places of one walk as a key; a window and an item that share a key in any repetition are a candidate pair, and a
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,7 +35,7 @@ RECALL = 0.98
 AGREEMENT = 0.35  # places of two embeddings that agree in the less lucky pairs at the most edits
 SAMPLED = 3  # places in a key
 WALKS = 12
-ANCHORS = 5
+ANCHORS = 5  # words at least; more where more edits are allowed
 BLOCK_BYTES = 8 << 20
 
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -110,13 +110,19 @@ class Index:
         self.edits = [int(max_edits * len(ws)) for _, ws in items]
         self.anchors: dict[bytes, set[tuple[int, int]]] = defaultdict(set)  # word: (size, place in the item)
         sizes: dict[int, list[int]] = defaultdict(list)
+        common = Counter(w for _, ws in items for w in ws)
         for k, (_, ws) in enumerate(items):
             sizes[len(ws)].append(k)
             places: dict[bytes, list[int]] = defaultdict(list)
             for place, w in enumerate(ws):
                 places[w].append(place)
-            for w in sorted(places, key=lambda w: (-len(w), w))[:ANCHORS]:
+            # An edit takes away one place of the item at most: of more places than edits, one is left as it was.
+            held = 0
+            for rank, w in enumerate(sorted(places, key=lambda w: (common[w], -len(w), w))):
+                if rank >= ANCHORS and held > self.edits[k]:
+                    break
                 self.anchors[w].update((len(ws), place) for place in places[w])
+                held += len(places[w])
         self.tables: dict[int, dict[tuple[int, int], list[int]]] = {}
         for n, own in sizes.items():
             table = self.tables[n] = defaultdict(list)

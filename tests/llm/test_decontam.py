@@ -65,6 +65,22 @@ def test_recall_reaches_its_target_at_every_edit_rate():
             assert slow_distance(items[i][1], D.tokens(texts[t])) <= int(D.MAX_EDITS * len(items[i][1]))
 
 
+def test_edits_aimed_at_the_anchors_are_found():
+    items = [(k, ws) for k, t in enumerate(item_texts(120, 3)) if len(ws := D.tokens(t.encode())) >= 25]
+    index = D.Index(items, D.MAX_EDITS, D.RECALL)
+    common = {w: sum(ws.count(w) for _, ws in items) for _, ws in items for w in ws}
+    for aim in (lambda w: (-len(w), w), lambda w: (common[w], -len(w), w)):
+        texts = []
+        for k, ws in items:
+            out, left = list(ws), int(D.MAX_EDITS * len(ws))
+            for at in sorted(range(len(ws)), key=lambda at: aim(ws[at]))[:left]:
+                out[at] = b"zzz%d" % at
+            around = [w.encode() for w in prose(k, 150).split()]
+            texts.append(b" ".join(around[:90] + out + around[90:]))
+        got = {(t, i) for t, i, _, _ in index.find(texts)}
+        assert sum((k, k) in got for k in range(len(items))) >= D.RECALL * len(items)
+
+
 def test_rows_equal_brute_force(spark):
     items = item_texts(15, 4)
     texts = [prose(k, 200) for k in range(20)]
