@@ -29,8 +29,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, as often as their source's target asks for."""
-    return mixing.mix(docs)
+    """Whole documents in training order, as often as their source's target asks for."""
+    return mixing.mix(docs, whole=True)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,7 +121,7 @@ def _assign(rows: DataFrame, carried: list[str], *, weights: Sequence[float], sh
         return F.struct(time_of(start / F.nullif(F.col("target"), F.lit(0.0)) * whole, F.col("parts")).alias("position"), words.alias("words"))
 
     uses = F.filter(F.transform(F.sequence(F.lit(0), F.lit(max(cap, 1) - 1)), lambda e: use(e.cast("long"))), lambda u: u["words"] > 0)
-    found = placed.withColumn("uses", uses)
+    found = placed.withColumns({"uses": uses, "at": at})
     taken = F.aggregate("uses", F.lit(0).cast("long"), lambda acc, u: acc + u["words"])
     return found.select(*carried, "id", "order", "size", "source_size", "target", taken.alias("taken"), "uses")
 
@@ -139,12 +139,34 @@ def assign(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source
     return found.orderBy(F.col("position").asc_nulls_last(), "order", "id").drop("order")
 
 
+def _whole(found: DataFrame) -> DataFrame:
+    """Uses of whole documents only; a source's words before a document (`at`) tell it from the source's others."""
+    full = F.filter("uses", lambda u: u["words"] == F.col("size"))
+    early = F.try_element_at(F.filter("uses", lambda u: u["words"] < F.col("size")), F.lit(1))
+    slim = stage(found.select("name", "at", "size", F.size(full).alias("round"), early.alias("early")), "whole")
+    # At most one a source, and at most one pick for it.
+    ends = stage(slim.where("early is not null").select("name", "round", "early"), "ends")
+    near = slim.drop("early").join(F.broadcast(ends), ["name", "round"]).groupBy("name").agg(
+        F.min(F.struct(F.abs(F.col("size") - F.col("early.words")).alias("off"), "at", "early")).alias("pick"))
+    picks = stage(near.where("pick.off < pick.early.words").select("name", "pick.at", "pick.early.position"), "picks")
+    last = F.when(F.col("position").isNotNull(), F.array(F.struct("position", F.col("size").alias("words")))).otherwise(F.array())
+    return found.join(F.broadcast(picks), ["name", "at"], "left").withColumn("uses", F.concat(full, last))
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-        weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = CAP, tilt: float = 0.5, slot_digits: int = SLOT_DIGITS) -> DataFrame:
-    """The rows of `docs` in training order, one for each use; a use that ends early has the first words of the text only."""
+        weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = CAP, tilt: float = 0.5, slot_digits: int = SLOT_DIGITS,
+        whole: bool = False) -> DataFrame:
+    """The rows of `docs` in training order, one for each use; a use that ends early has the first words of the text only.
+
+    With `whole` no text is cut: instead of a use that would end early, the source gets the document whose size is nearest
+    to the words left, of those not yet used in that round, or none if that is nearer to its target.
+    """
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
     rows = docs.select(row.alias("row"), docs[id_col].alias("id"), docs[source_col].alias("source"), n_words(docs[text_col]).alias("size"))
-    found = _assign(rows, ["row"], weights=weights, share=share, cap=cap, tilt=tilt, slot_digits=slot_digits).where("taken > 0")
+    found = _assign(rows, ["row", "name", "at"], weights=weights, share=share, cap=cap, tilt=tilt, slot_digits=slot_digits)
+    found = found.where("size > 0" if whole else "taken > 0")
+    if whole:
+        found = _whole(found)
     uses = found.select("row", "id", "order", "size", F.explode("uses").alias("use"))
     text = F.col("row").getField(text_col)
     # A use that ends early is its first words with one space between them.

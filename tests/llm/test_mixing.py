@@ -78,6 +78,29 @@ def test_mix_repeats_whole_rows_and_cuts_the_last_use(spark):
     assert {k: sum(v) for k, v in got.items()} == {k: r.taken for k, r in assigned.items() if r.taken}
 
 
+def test_mix_of_whole_documents_ends_near_the_targets(spark):
+    sources = ["a"] * 20 + ["b"] * 9 + [None]
+    docs = table(spark, [prose(k, 40 + 7 * k) for k in range(30)], sources=sources)
+    text, assigned = {r.doc_id: r.text for r in docs.collect()}, {r.id: r for r in M.assign(docs).collect()}
+    mixed = M.mix(docs, whole=True).collect()
+    assert mixed and all(r.text == text[r.doc_id] for r in mixed)
+    uses = {k: 0 for k in text}
+    for r in mixed:
+        uses[r.doc_id] += 1
+    cut = [k for k, r in assigned.items() if r.size and r.taken % r.size]
+    assert cut
+    for k, e in assigned.items():
+        own = [r for r in assigned.values() if sources[r.id] == sources[k]]
+        ends = [r for r in own if r.id in cut]
+        full = {r.id: r.taken // r.size for r in own}
+        more = [r for r in own if uses[r.id] > full[r.id]]
+        assert len(more) <= len(ends) <= 1 and all(uses[r.id] - full[r.id] in (0, 1) for r in own)
+        for end in ends:  # the nearest document of those not used in the last round, or none
+            left = end.taken % end.size
+            offs = [abs(r.size - left) for r in own if full[r.id] == full[end.id]]
+            assert abs(sum(r.size for r in more) - left) == min(left, *offs)
+
+
 def test_native_plan(spark):
     plan = M.assign(table(spark, ["a b", "c"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InArrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan

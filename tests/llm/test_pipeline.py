@@ -75,6 +75,13 @@ def test_pipeline_equals_plain_python(spark, folder):
     assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
 
 
+def test_mixed_texts_are_the_originals(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("length(text) > 300")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    mixed = P.mixing_sources(spark, docs, folder).collect()
+    assert mixed and all(r.text == text[r.doc_id] for r in mixed)
+
+
 def test_empty_table_through_every_stage(spark, folder, tmp_path):
     path = str(tmp_path)
     spark.createDataFrame([], KINDS).write.parquet(f"{path}/documents.parquet")
