@@ -28,6 +28,10 @@ SIDE_WORDS = frozenset(
     " subscription tags teaser toolbar tracking widget widgets".split())
 
 
+#: A class such as no-sidebar or with-sidebar says how a wrapper is laid out, not what it is.
+LAYOUT_WORDS = frozenset("no non not without with has have".split())
+
+
 @dataclass
 class Block:
     text: str
@@ -40,7 +44,9 @@ class Block:
 class Element:
     tag: str
     name: str
-    side: bool
+    hard: bool  # side by its tag, role or being hidden, or inside such an element
+    soft: bool  # side by a word of its class or id, or inside such an element
+    inner: bool  # the same, from the innermost article or main on
     main: bool
 
 
@@ -51,18 +57,27 @@ def attributes(raw: str) -> dict[str, str]:
 def _open(tag: str, raw: str, parent: Element | None) -> Element:
     own = attributes(raw)
     label = f"{own.get('class', '')} {own.get('id', '')}".lower()
-    words = set(_WORD.findall(label))
-    main = bool(parent and parent.main) or tag in ("article", "main") or own.get("role") == "main"
+    words = {w for name in label.split() if (ws := _WORD.findall(name)) and ws[0] not in LAYOUT_WORDS for w in ws}
+    starts = tag in ("article", "main") or own.get("role") == "main"
+    main = bool(parent and parent.main) or starts
     hidden = "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
-    side = (bool(parent and parent.side) or hidden or tag in SIDE_TAGS or own.get("role", "").lower() in SIDE_ROLES
-            or bool(words & SIDE_WORDS) and tag not in ("html", "body", "main")
-            or not main and (tag == "header" or "header" in words and tag not in ("html", "body")))
-    return Element(tag, tag + "".join(f".{w}" for w in sorted(own.get("class", "").lower().split())), side, main)
+    hard = (bool(parent and parent.hard) or hidden or tag in SIDE_TAGS or own.get("role", "").lower() in SIDE_ROLES
+            or not main and tag == "header")
+    said = (bool(words & SIDE_WORDS) and tag not in ("html", "body", "main")
+            or not main and "header" in words and tag not in ("html", "body"))
+    soft = bool(parent and parent.soft) or said
+    inner = not starts and (bool(parent and parent.inner) or said)
+    return Element(tag, tag + "".join(f".{w}" for w in sorted(own.get("class", "").lower().split())), hard, soft, inner, main)
 
 
 def blocks(page: str) -> list[Block]:
-    """All blocks in page order: white space is one space, character references are decoded, scripts and styles are left out."""
+    """All blocks in page order: white space is one space, character references are decoded, scripts and styles are left out.
+
+    Words of a class or id do not make a page empty: where all articles, or all blocks, are side by such words, those of the
+    wrappers and of the articles themselves do not count.
+    """
     found: list[Block] = []
+    tops: list[Element | None] = []
     stack: list[Element] = []
     pieces: list[str] = []
 
@@ -72,7 +87,8 @@ def blocks(page: str) -> list[Block]:
             pieces.clear()
             if text:
                 top = stack[-1] if stack else None
-                found.append(Block(text, tuple(e.name for e in stack), bool(top and top.side), bool(top and top.main)))
+                found.append(Block(text, tuple(e.name for e in stack), bool(top and (top.hard or top.soft)), bool(top and top.main)))
+                tops.append(top)
 
     at, size = 0, len(page)
     while at < size:
@@ -118,6 +134,14 @@ def blocks(page: str) -> list[Block]:
                     break
         stack.append(_open(tag, token[3], stack[-1] if stack else None))
     flush()
+    if any(b.main for b in found):
+        if all(b.side for b in found if b.main):
+            for b, e in zip(found, tops):
+                if b.main:
+                    b.side = e.hard or e.inner
+    elif all(b.side for b in found):
+        for b, e in zip(found, tops):
+            b.side = e.hard
     return found
 
 
