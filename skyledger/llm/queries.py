@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import attribution, decontam, extract, hmm, mixing, quality, simhash, tokenfiles, toxicity, warc
+from skyledger.llm import attribution, bpe, decontam, extract, hmm, mixing, quality, runs, simhash, tokenfiles, toxicity, vectorcodes, warc
 from skyledger.llm.text import crc_remainder
 from skyledger.plans.staging import new_folder
 from skyledger.sources.testdata import table
@@ -68,6 +71,30 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(table(spark, folder, "documents"), tokenizer=tokenizer_path()).withColumnRenamed("id", "doc_id")
+
+
+def _planted(key: int | None, words: np.ndarray) -> np.ndarray:
+    """The contract's periodic tail in one of ten documents."""
+    n, h = len(words), zlib.crc32(b"" if key is None else str(key).encode())
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    k = np.arange(n)
+    return words[np.where(k < a, k, a + (k - a) % p)]
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.report(table(spark, folder, "documents"), rewrite=_planted).withColumnRenamed("id", "doc_id")
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vectorcodes.report(table(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_html_extraction": op2_html_extraction,
@@ -79,6 +106,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
+    "op11_bpe": op11_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -112,3 +142,28 @@ z AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT 10 * n_symbols > n_words AND NOT 10 * n_dup_lines > 6 * n_lines AND word_chars BETWEEN 2 * n_words AND 14 * n_words AS kept FROM z""",
 }
+
+
+def _lloyd_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Each round is one table of nearest entries and one of new codebooks."""
+    steps = [f"""
+d AS (SELECT row_number() OVER (ORDER BY vec_id, [floor(4096 * x::DOUBLE) FOR x IN embedding]) AS r, vec_id, label, [floor(4096 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, k, v[(k * (len(v) // {parts}) + 1)::INT:((k + 1) * (len(v) // {parts}))::INT] AS x FROM d, range({parts}) t(k)),
+b0 AS MATERIALIZED (SELECT k, r - 1 AS e, x AS c FROM p WHERE r <= {entries})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} AS MATERIALIZED (SELECT r, k, min(s).e AS e, min(s).f AS f FROM (SELECT p.r, p.k,
+  {{'f': list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(p.x, b.c)])::BIGINT, 'e': b.e}} AS s FROM p JOIN b{n} b ON p.k = b.k) GROUP BY r, k)""")
+        if n < rounds:
+            steps.append(f"""
+m{n} AS (SELECT k, e, list(c::BIGINT ORDER BY i) AS c FROM (SELECT k, e, i, floor(sum(y)::DOUBLE / count(*)) AS c FROM
+  (SELECT p.k, a.e, unnest(p.x) AS y, unnest(range(1, len(p.x) + 1)) AS i FROM p JOIN a{n} a ON p.r = a.r AND p.k = a.k) GROUP BY k, e, i) GROUP BY k, e),
+b{n + 1} AS MATERIALIZED (SELECT b.k, b.e, coalesce(m.c, b.c) AS c FROM b{n} b LEFT JOIN m{n} m ON b.k = m.k AND b.e = m.e)""")
+    return f"""WITH {",".join(steps)},
+g AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY k) AS code, sum(f)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT d.vec_id, g.code, g.error, (sum(g.error) OVER (PARTITION BY d.label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY k, e)) FROM b{rounds}) AS codebooks_sha256 FROM d JOIN g ON d.r = g.r"""
+
+
+SQL["op13_vector_codes"] = _lloyd_sql()
