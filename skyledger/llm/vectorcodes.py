@@ -1,9 +1,9 @@
 """Short codes for vectors: product quantisation by Lloyd's algorithm whose members stay where they are.
 
 A vector is cut into parts; each part position has a codebook of its own. The rows that are worked on are members, parts
-of vectors, dealt once by (position, entry, salt) into a table in the shared folder. In a round an owner
-compares its resident members with the new codebook, adds up those that stay, and sends on only the parts whose
-nearest entry has changed; the shuffle deals these to their new owners, who add them to the sums and keep them in a
+of vectors, dealt once by (position, entry, salt) into a table in the shared folder. In a round owners add up
+their resident members, which gives the new codebook, compare them with it, and send on only the parts whose
+nearest entry has changed; the shuffle deals these to their new owners, who keep them in a
 table of that round. A member of an earlier round's table is resident as long as the codebooks since have kept its entry, so
 no table is written again. Codebooks are all that the driver holds: entries x dimensions integers a round.
 
@@ -35,10 +35,11 @@ from skyledger.plans.staging import stage
 SCALE, PARTS, ENTRIES, ROUNDS = 4096, 8, 16, 6
 SALT_ROWS = 1024  # vectors to a salt
 
-MEMBERS, SUMS, HEADS = 0, 1, 2  # kinds of rows
-KINDS = "kind int, position int, entry int, base long, since int, places binary, data binary, n long, sums array<long>"
+MEMBERS, HEADS = 0, 1  # kinds of rows
+KINDS = "kind int, position int, entry int, base long, since int, places binary, data binary"
 ARROW = pa.schema([("kind", pa.int32()), ("position", pa.int32()), ("entry", pa.int32()), ("base", pa.int64()), ("since", pa.int32()),
-                   ("places", pa.binary()), ("data", pa.binary()), ("n", pa.int64()), ("sums", pa.list_(pa.int64()))])
+                   ("places", pa.binary()), ("data", pa.binary())])
+SUMS = pa.schema([("position", pa.int32()), ("entry", pa.int32()), ("n", pa.int64()), ("sums", pa.list_(pa.int64()))])
 NAMES = ARROW.names
 
 
@@ -83,23 +84,7 @@ def _blocks(position: np.ndarray, entry: np.ndarray, base: np.ndarray, place: np
     new = (position[1:] != position[:-1]) | (entry[1:] != entry[:-1]) | (base[1:] != base[:-1])
     cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(order)] if len(order) else [0]
     for s, e in zip(cuts, cuts[1:]):
-        yield MEMBERS, int(position[s]), int(entry[s]), int(base[s]), since, place[s:e].astype("<u2").tobytes(), x[s:e].tobytes(), None, None
-
-
-class _Totals:
-    """Sums and counts of the parts under each entry, held for one task: positions x entries x width integers."""
-
-    def __init__(self, shape: Shape, entries: int):
-        self.sums = np.zeros((shape.parts, entries, shape.width), np.int64)
-        self.n = np.zeros((shape.parts, entries), np.int64)
-
-    def add(self, position, entry, x: np.ndarray) -> None:
-        np.add.at(self.sums, (position, entry), x)
-        np.add.at(self.n, (position, entry), 1)
-
-    def rows(self, since: int) -> Iterator[tuple]:
-        for p, e in zip(*np.nonzero(self.n)):
-            yield SUMS, int(p), int(e), None, since, None, None, int(self.n[p, e]), self.sums[p, e].tolist()
+        yield MEMBERS, int(position[s]), int(entry[s]), int(base[s]), since, place[s:e].astype("<u2").tobytes(), x[s:e].tobytes()
 
 
 def _unpacked(rows: list[tuple], shape: Shape):
@@ -173,53 +158,46 @@ def fit_codes(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "
                 heads = piece.select(["id", "label"])
                 with pa.ipc.new_stream(held, heads.schema) as out:
                     out.write_batch(heads)
-                yield HEADS, -1, 0, base, 0, None, held.getvalue().to_pybytes(), n, None
+                yield HEADS, -1, 0, base, 0, None, held.getvalue().to_pybytes()
                 x = shape.integers(piece.column("v")).reshape(n, parts, shape.width)
                 for p in range(parts):
                     entry, _ = shape.nearest(x[:, p], books[0][p])
                     yield from _blocks(np.full(n, p), entry, np.full(n, base), np.arange(n), x[:, p], 0)
                 base += n
 
-    def arrive(found: Iterable[tuple]) -> Iterator[tuple]:
-        """Owners keep what has arrived and add it to the sums of those that stayed."""
-        totals, since = _Totals(shape, n_entries), 0
-        for rows in _gathered(found):
-            members = []
-            for row in rows:
-                since = max(since, row[4])
-                if row[0] == SUMS:
-                    totals.sums[row[1], row[2]] += np.array(row[8], np.int64)
-                    totals.n[row[1], row[2]] += row[7]
-                else:
-                    yield row
-                    if row[0] == MEMBERS:
-                        members.append(row)
-            if members:
-                position, entry, _, _, _, x = _unpacked(members, shape)
-                totals.add(position, entry, x)
-        yield from totals.rows(since)
-
     def leave(history: list[np.ndarray]):
+        """Residents whose nearest entry has changed, on their way to their new owners."""
         def run(found: Iterable[tuple]) -> Iterator[tuple]:
-            totals, since = _Totals(shape, n_entries), len(history) - 1
             for rows in _gathered(found):
                 position, entry, now, _, base, place, x = _resident(rows, shape, history)
                 moves = now != entry
-                totals.add(position[~moves], entry[~moves], x[~moves])
-                yield from _blocks(position[moves], now[moves], base[moves], place[moves], x[moves], since)
-            yield from totals.rows(since)
+                yield from _blocks(position[moves], now[moves], base[moves], place[moves], x[moves], len(history) - 1)
+        return run
+
+    def add_up(history: list[np.ndarray]):
+        """Sums and counts of the residents of each entry, over one task's blocks: positions x entries rows at most."""
+        def run(found: Iterable[tuple]) -> Iterator[tuple]:
+            sums = np.zeros((parts, n_entries, shape.width), np.int64)
+            n = np.zeros((parts, n_entries), np.int64)
+            for rows in _gathered(found):
+                position, entry, now, _, _, _, x = _resident(rows, shape, history)
+                stay = now == entry
+                np.add.at(sums, (position[stay], entry[stay]), x[stay])
+                np.add.at(n, (position[stay], entry[stay]), 1)
+            for p, e in zip(*np.nonzero(n)):
+                yield int(p), int(e), int(n[p, e]), sums[p, e].tolist()
         return run
 
-    def owned(rows: DataFrame, label: str) -> DataFrame:
-        """Rows dealt to their owners, who take them in."""
-        dealt = rows.repartition("position", "entry", F.pmod(F.xxhash64("base"), F.lit(salts)))
-        return stage(X.map_rows(dealt, arrive, NAMES, KINDS, ARROW, 512), label)
+    def owned(rows: DataFrame) -> DataFrame:
+        """Rows dealt to their owners and kept there."""
+        return stage(rows.repartition("position", "entry", F.pmod(F.xxhash64("base"), F.lit(salts))), "members")
 
-    def updated(tables: DataFrame, book: np.ndarray) -> np.ndarray:
-        """Each entry's components from its owners' sums; positions x entries x width rows reach the driver."""
-        new = book.copy()
-        sums = tables.where(F.col("kind") == SUMS).select("position", "entry", "n", F.posexplode("sums").alias("at", "s"))
-        for p, e, k, n, s in sums.groupBy("position", "entry", "at").agg(F.sum("n"), F.sum("s")).toLocalIterator():
+    def updated(tables: list[DataFrame], books: list[np.ndarray]) -> np.ndarray:
+        """New entries from the owners' sums over their residents; positions x entries x width rows reach the driver."""
+        new = books[-1].copy()
+        sums = X.map_rows(_members(tables), add_up(list(books)), NAMES, "position int, entry int, n long, sums array<long>", SUMS)
+        sums = sums.select("position", "entry", "n", F.posexplode("sums").alias("at", "s"))
+        for p, e, k, n, s in sums.groupBy("position", "entry", "at").agg(F.sum("n"), F.sum("s")).collect():
             new[p, e, k] = s // n
         return new
 
@@ -227,12 +205,11 @@ def fit_codes(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "
     if not n_entries:
         return spark.createDataFrame([], schema), []
     start = df.select("id", "label", "v").mapInArrow(lambda batches: X.batched(settle(batches), ARROW, 512), KINDS)
-    tables = [owned(start, "members")]
+    tables = [owned(start)]
     for _ in range(rounds - 1):
-        books.append(updated(tables[-1], books[-1]))
-        residents = _members(tables)
-        tables.append(owned(X.map_rows(residents, leave(list(books)), NAMES, KINDS, ARROW, 512), "members"))
-    books.append(updated(tables[-1], books[-1]))
+        books.append(updated(tables, books))
+        tables.append(owned(X.map_rows(_members(tables), leave(list(books)), NAMES, KINDS, ARROW, 512)))
+    books.append(updated(tables, books))
 
     def final(found: Iterable[tuple]) -> Iterator[tuple]:
         """Of each batch and position the places, last entries and distances."""
@@ -244,16 +221,16 @@ def fit_codes(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "
             cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(order)] if len(order) else [0]
             for s, e in zip(cuts, cuts[1:]):
                 yield (MEMBERS, int(position[s]), 0, int(base[s]), 0, place[s:e].astype("<u2").tobytes(),
-                       now[s:e].astype("<u2").tobytes() + distance[s:e].astype("<i8").tobytes(), None, None)
+                       now[s:e].astype("<u2").tobytes() + distance[s:e].astype("<i8").tobytes())
 
     def whole_batch(table: pa.Table) -> pa.Table:
         """Codes of the vectors of one input batch, 2^14 at most, from their parts' rows."""
-        rows = list(X.rows(table.to_batches(), "kind", "position", "places", "data", "n"))
+        rows = list(X.rows(table.to_batches(), "kind", "position", "places", "data"))
         head = next(r for r in rows if r[0] == HEADS)
         heads = pa.ipc.open_stream(head[3]).read_all()
-        n = head[4]
+        n = heads.num_rows
         entry, error = np.zeros((n, parts), np.int64), np.zeros(n, np.int64)
-        for kind, position, places, data, _ in rows:
+        for kind, position, places, data in rows:
             if kind == MEMBERS:
                 place = np.frombuffer(places, "<u2")
                 entry[place, position] = np.frombuffer(data, "<u2", len(place))
@@ -265,7 +242,7 @@ def fit_codes(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "
 
     ends = X.map_rows(_members(tables), final, NAMES, KINDS, ARROW, 512)
     heads = tables[0].where(F.col("kind") == HEADS)
-    coded = heads.unionByName(ends).select("kind", "position", "base", "places", "data", "n").groupBy("base").applyInArrow(whole_batch, schema)
+    coded = heads.unionByName(ends).select("kind", "position", "base", "places", "data").groupBy("base").applyInArrow(whole_batch, schema)
     return coded, list(books[-1])
 
 
