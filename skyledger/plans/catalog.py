@@ -1409,7 +1409,10 @@ def _events_stream(s, d):
     """The events as eight files or more that land in a folder, read two at a time."""
     events, landed = td.table(s, d, "events"), new_folder(s, "landed")
     events.repartition(8).write.parquet(landed)
-    raw = live.read_folder(s, landed, events.schema, "parquet", max_files=2)
+    return _reports(live.read_folder(s, landed, events.schema, "parquet", max_files=2))
+
+
+def _reports(raw):
     i = F.col("event_id")
     return raw.select(
         F.concat(F.lit("F"), i.cast("string")).alias("flight_number"), F.concat(F.lit("N"), F.col("user_id").cast("string")).alias("Tail_Number"),
@@ -1439,6 +1442,46 @@ def stream_tail_state(s, d):
     return live.current(s, f"{out}/table", ["day", "Tail_Number"])
 
 
+_SLICES = 6
+
+
+def _polls_stream(s, d):
+    """A feed of repeated polls, landed in the order of time in six pieces, one a batch.
+
+    A piece holds its own reports and those of the piece before again; the last one also repeats the whole first piece,
+    days too late.
+    """
+    events, landed = td.table(s, d, "events"), new_folder(s, "polls")
+    span = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(F.struct(F.unix_micros(F.col("a").cast("timestamp")).alias("a"),
+                                                                                     F.unix_micros(F.col("b").cast("timestamp")).alias("b"))).scalar()
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cut = stage(events.withColumn("piece", F.floor(_SLICES * (at - span["a"]) / (span["b"] - span["a"] + 1)).cast("int")), "pieces")
+    for k in range(_SLICES):
+        here = [k, k - 1, *([0] if k == _SLICES - 1 else [])]
+        cut.where(F.col("piece").isin(here)).drop("piece").repartition(2).write.mode("append").parquet(landed)
+    return _reports(live.read_folder(s, landed, events.schema, "parquet", max_files=2))
+
+
+@query(f"""SELECT day, Tail_Number, cumul, legs, immed FROM ({_TAILS}) WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM ({_LANDED})) - INTERVAL 6 HOUR""")
+def stream_closed_tail_days(s, d):
+    """Repeated polls to finished days in one query: landings counted once, then summed by tail and day."""
+    out = new_folder(s, "tail-days")
+    _run(live.closed_tail_days(_polls_stream(s, d), late_by="6 hours"), live.append_to(f"{out}/table"), out, "append")
+    return s.read.parquet(f"{out}/table").drop("batch")
+
+
+@query(_TAILS)
+def stream_tail_days(s, d):
+    """The open and the finished days of the same feed, from batches that are folded into snapshots on the way."""
+    out = new_folder(s, "tail-table")
+    keys = ["day", "Tail_Number"]
+    once = live.first_reports(live.landed_late(_polls_stream(s, d)), late_by="6 hours")
+    _run(once, live.append_to(f"{out}/landed"), out, "append")
+    landed = live.read_folder(s, f"{out}/landed", once.schema, "parquet", nested=True)
+    _run(live.tail_state(landed, late_by=_LATE), live.append_to(f"{out}/table", keys, fold_every=2), f"{out}/second", "update")
+    return live.current(s, f"{out}/table", keys)
+
+
 @query("""SELECT date_trunc('hour', ts) AS hour, 'A' || (event_id % 25) AS airport, avg(floor(value * 2 - 60)) AS avg_dep_delay, avg(8 + (event_id * 13) % 30) AS avg_taxi_out,
     count(*) AS dep_count FROM events GROUP BY 1, 2""", "avg_dep_delay", "avg_taxi_out")
 def stream_hourly_departures(s, d):

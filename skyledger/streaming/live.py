@@ -16,6 +16,7 @@ from skyledger.functions.expr import (
     clip, cyclic, delay_cause, hours_between, predicted_status,
 )
 from skyledger.operators.clean import between_airports
+from skyledger.streaming.tables import batch_writer, current  # noqa: F401
 
 REFRESH = "30 minutes"
 LATE_BY = "1 day"  # default of `late_by`: rows later than this behind the newest one are dropped by the stateful operators
@@ -25,9 +26,9 @@ LIVE_HUBS = ["ATL", "BOS", "CLT", "DEN", "DFW", "EWR", "IAD", "IAH", "JFK", "LAX
 
 
 def read_folder(spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "json", *, files: str | None = None,
-                max_files: int | None = None) -> DataFrame:
-    """Stream of the files that land in a folder."""
-    reader = spark.readStream.format(fmt).schema(schema)
+                max_files: int | None = None, nested: bool = False) -> DataFrame:
+    """Stream of the files that land in a folder, or anywhere under it."""
+    reader = spark.readStream.format(fmt).schema(schema).option("recursiveFileLookup", nested)
     if files:
         reader = reader.option("pathGlobFilter", files)
     if max_files:
@@ -36,25 +37,14 @@ def read_folder(spark: SparkSession, folder: str, schema: T.StructType, fmt: str
 
 
 def start(df: DataFrame, each_batch: Callable[[DataFrame, int], None], checkpoint: str, *, mode: str = "update",
-          once: bool = False):
-    """Run `each_batch` every half hour, or over what is there now and stop."""
+          once: bool = False, every: str = REFRESH):
+    """Run `each_batch` every half hour (or another interval), or over what is there now and stop."""
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each_batch)
-    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=REFRESH)
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
     return writer.start()
 
 
-def append_to(path: str) -> Callable[[DataFrame, int], None]:
-    """A batch writer that can be repeated: each batch owns one folder and replaces it."""
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-    return write
-
-
-def current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The result of an update-mode query from the folders of `append_to`: each key's row of the latest batch that has one."""
-    rows = spark.read.parquet(path)
-    values = [c for c in rows.columns if c not in keys and c != "batch"]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("r")).select(*keys, "r.*")
+append_to = batch_writer  # batches of an update-mode query are folded by key if `keys` are given
 
 
 def late_rows(query) -> int:
@@ -62,6 +52,15 @@ def late_rows(query) -> int:
     return sum(o.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for o in p["stateOperators"])
 
 
+def progress(spark: SparkSession, query) -> DataFrame:
+    """What a query reports of each batch and stateful operator: rows read, rows and bytes of state, rows let go and rows dropped as late."""
+    rows = [(p["batchId"], p["numInputRows"], p.get("eventTime", {}).get("watermark"), k, o["operatorName"], o["numRowsTotal"], o.get("memoryUsedBytes"),
+             o.get("numRowsRemoved"), o.get("numRowsDroppedByWatermark"))
+            for p in query.recentProgress for k, o in enumerate(p["stateOperators"])]
+    return spark.createDataFrame(rows, "batch long, input_rows long, watermark string, step int, operator string, state_rows long, "
+                                       "state_bytes long, removed_rows long, late_rows long")
+
+
 # ---------------------------------------------------------------- state over streams
 
 
@@ -80,13 +79,27 @@ def tail_state(movements: DataFrame, *, time: str = "event_time", late_by: str =
     The day reset is the one-day window itself. The sums combine before the exchange,
     so a tail reported very often costs one state row.
     """
-    late = landed_late(movements).withWatermark(time, late_by)
+    return _by_tail_and_day(landed_late(movements).withWatermark(time, late_by), time)
+
+
+def _by_tail_and_day(late: DataFrame, time: str) -> DataFrame:
     return late.groupBy(F.window(time, "1 day").alias("w"), "Tail_Number").agg(
         F.sum("arr_delay_min").alias("cumul"), F.count(F.lit(1)).alias("legs"),
         F.max_by("arr_delay_min", F.struct(time, "flight_number")).alias("immed"),
     ).select(F.to_date("w.start").alias("day"), "Tail_Number", "cumul", "legs", "immed")
 
 
+def closed_tail_days(polls: DataFrame, *, time: str = "event_time", late_by: str = LATE_BY) -> DataFrame:
+    """Tail state of finished days from a feed that repeats its reports, for append mode.
+
+    Two stateful steps in one query: a landing is counted once however many polls repeat it, then added to
+    its tail's day. The watermark follows the late landings alone: Spark applies the filter before it. A day is given out, once, when the watermark has passed its end,
+    and both steps let go of what lies behind the watermark; a repeat that comes later still is dropped as late by the first.
+    """
+    landed = landed_late(polls.withWatermark(time, late_by))
+    return _by_tail_and_day(landed.dropDuplicatesWithinWatermark(["flight_number", "dep_scheduled"]), time)
+
+
 def hourly_departures(flights: DataFrame, *, time: str = "dep_datetime", late_by: str = LATE_BY) -> DataFrame:
     """Mean delay, taxi time and count per origin and hour."""
     return flights.withWatermark(time, late_by).groupBy(F.window(time, "1 hour").alias("w"), "ORIGIN").agg(

@@ -13,7 +13,9 @@ def spark():
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+        .config("spark.ui.showConsoleProgress", "false")
+        # State of Python processors and Python workers over Unix sockets: no ports.
+        .config("spark.python.unix.domain.socket.enabled", "true").getOrCreate())
     s.sparkContext.setLogLevel("OFF")
     yield s
     s.stop()

@@ -100,3 +100,95 @@ def test_airport_list(spark):
 
     got = {r.airport: r.icao for r in airports(spark).collect()}
     assert len(got) == 36 and got["ANC"] == "PANC" and got["ATL"] == "KATL"
+
+
+def polls(feed, name, *rows):
+    (feed / f".{name}").write_text("\n".join(rows))
+    (feed / f".{name}").rename(feed / f"{name}.json")
+
+
+def cycle(spark, stream, out, keys, mode="update"):
+    query = live.start(stream, live.append_to(f"{out}/t", keys), f"{out}/c", mode=mode, once=True)
+    query.awaitTermination()
+    return live.progress(spark, query)
+
+
+def test_repeats_and_days_in_one_stream(spark, tmp_path):
+    """Five cycles of a doubled feed: a landing counts once, a day comes out once and whole, state goes down, late rows are counted."""
+    feed, late, states, days = tmp_path / "feed", 0, [], []
+    feed.mkdir()
+    for day in (1, 2, 3, 4, 6):
+        here = [report(f"F{day}-{k}", f"N{k % 3}", f"2022-01-{day:02d}T{10 + k}:00:00Z", 10.0 + k) for k in range(6)]
+        old = [report(f"F{day - 1}-{k}", f"N{k % 3}", f"2022-01-{day - 1:02d}T{10 + k}:00:00Z", 10.0 + k) for k in range(6)] if day in (2, 3, 4) else []
+        lost = [report("NEW", "N0", "2022-01-01T12:00:00Z", 99.0)] if day == 6 else []
+        polls(feed, day, *here, *here, *old, *lost)
+        seen = cycle(spark, live.closed_tail_days(live.read_folder(spark, str(feed), SCHEMA), late_by="6 hours"), tmp_path, None, "append").collect()
+        late += sum(r.late_rows for r in seen)
+        states.append(max(r.state_rows for r in seen if r.batch == max(x.batch for x in seen) and r.operator == "dedupeWithinWatermark"))
+        days.append(spark.read.parquet(f"{tmp_path}/t").count())
+    assert days == [0, 3, 6, 9, 12] and late >= 1 and max(states) <= 12
+    got = as_set(spark.read.parquet(f"{tmp_path}/t"), F.col("day").cast("string"), "Tail_Number", "cumul", "legs", "immed")
+    assert got == {(f"2022-01-{d:02d}", f"N{k}", 23.0 + 2 * k, 2, 13.0 + k) for d in (1, 2, 3, 4) for k in range(3)}
+
+
+def test_timers_close_days_and_repeats_are_known_from_state(spark, tmp_path):
+    from skyledger.streaming import tracker
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    keys = ["day", "Tail_Number"]
+    run = lambda: cycle(spark, tracker.tail_days(live.read_folder(spark, str(feed), SCHEMA), late_by="6 hours"), tmp_path, keys)
+    table = lambda: as_set(live.current(spark, f"{tmp_path}/t", keys), F.col("day").cast("string"), "Tail_Number", "cumul", "legs", "immed", "closed")
+    first = report("F1", "N1", "2022-01-01T10:00:00Z", 20.0)
+    polls(feed, "a", first, first, report("F2", "N1", "2022-01-01T23:30:00Z", 5.0))
+    run()
+    polls(feed, "b", first, report("F3", "N1", "2022-01-01T20:00:00Z", 1.0), report("F6", "N1", "2022-01-01T09:00:00Z", 50.0), report("F4", "N1", "2022-01-02T05:00:00Z", 7.0))
+    run()
+    assert table() == {("2022-01-01", "N1", 26.0, 3, 5.0, False), ("2022-01-02", "N1", 7.0, 1, 7.0, False)}
+    polls(feed, "c", report("F5", "N2", "2022-01-03T08:00:00Z", 3.0))
+    run()
+    assert table() == {("2022-01-01", "N1", 26.0, 3, 5.0, True), ("2022-01-02", "N1", 7.0, 1, 7.0, True), ("2022-01-03", "N2", 3.0, 1, 3.0, False)}
+
+
+def test_half_hour_cycle_stops_and_restarts(spark, tmp_path):
+    """A running cycle is stopped between batches and started again on its checkpoint; the folded table is that of one batch job."""
+    import glob
+
+    feed, out, keys = tmp_path / "feed", f"{tmp_path}/t", ["day", "Tail_Number"]
+    feed.mkdir()
+    rows = [[report(f"F{n}-{k}", f"N{k % 4}", f"2022-01-{1 + n // 3:02d}T{n % 3 * 7:02d}:{k:02d}:00Z", 5.0 + k) for k in range(8)] for n in range(9)]
+
+    def begin():
+        stream = live.tail_state(live.read_folder(spark, str(feed), SCHEMA, max_files=1))
+        return live.start(stream, live.append_to(out, keys, fold_every=2), f"{tmp_path}/c", every="1 second")
+
+    done = 0
+    for part in (rows[:4], rows[4:5], rows[5:]):
+        query = begin()
+        for r in part:
+            polls(feed, done, *r)
+            done += 1
+            query.processAllAvailable()
+        assert query.isActive
+        query.stop()
+    expected = live.tail_state(spark.read.schema(SCHEMA).json(str(feed)))
+    cols = [F.col("day").cast("string"), "Tail_Number", "cumul", "legs", "immed"]
+    assert as_set(live.current(spark, out, keys), *cols) == as_set(expected, *cols)
+    left = sorted(int(p.rpartition("=")[2]) for p in glob.glob(f"{out}/batch=*"))
+    assert len(glob.glob(f"{tmp_path}/c/commits/[0-9]*")) >= 9 and left[0] >= 4 and len(glob.glob(f"{out}/_snapshots/upto=*")) == 2
+
+
+def test_a_repeated_batch_and_an_unfinished_snapshot_change_nothing(spark, tmp_path):
+    from skyledger.streaming import tables
+
+    path = f"{tmp_path}/t"
+    batch = lambda *rows: spark.createDataFrame(rows, "k string, v long")
+    write = tables.batch_writer(path, ["k"], fold_every=2)
+    for n, rows in enumerate([[("a", 1), ("b", 1)], [("a", 2)], [("c", 3)], [("b", 4)], [("a", 5)]]):
+        write(batch(*rows), n)
+        write(batch(*rows), n)
+    newest = {("a", 5), ("b", 4), ("c", 3)}
+    assert as_set(tables.current(spark, path, ["k"]), "k", "v") == newest
+    (tmp_path / "t" / "_snapshots" / "upto=9").mkdir()  # a snapshot whose job died
+    assert as_set(tables.current(spark, path, ["k"]), "k", "v") == newest
