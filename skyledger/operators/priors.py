@@ -184,6 +184,46 @@ def route_stats(flights: DataFrame, *, min_fine: int = 10, min_hour: int = 5) ->
     )
 
 
+GRAINS = {3: 0, 2: 1, 1: 3, 0: 15}  # grain -> which of (ORIGIN, DEST, dep_hour, dow) are rolled up, as grouping_id counts them
+
+
+def route_table(flights: DataFrame, *, min_fine: int = 10, min_hour: int = 5) -> DataFrame:
+    """`route_stats` and the overall row (grain 0) from one pass: sums at the finest grain, then grouping sets over them.
+
+    The overall row counts every known delay, also of flights without a route or time, and has the plain sample deviation.
+    """
+    keys = ["ORIGIN", "DEST", "dep_hour", "dow"]
+    delay = F.col("DepDelay")
+    fine = flights.groupBy("ORIGIN", "DEST", F.hour("dep_datetime").alias("dep_hour"), F.weekday("dep_datetime").alias("dow")).agg(
+        F.count(delay).alias("n"), F.coalesce(F.sum(delay), F.lit(0.0)).alias("s"), F.coalesce(F.sum(delay * delay), F.lit(0.0)).alias("ss"))
+    whole = F.col("ORIGIN").isNotNull() & F.col("DEST").isNotNull() & F.col("dep_hour").isNotNull()  # others count in the overall row only
+    fine = fine.select(*keys, "n", "s", "ss", *[F.when(whole, F.col(c)).alias(f"r_{c}") for c in ("n", "s", "ss")])
+    sets = [keys, keys[:3], keys[:2], []]
+    rolled = fine.groupingSets([[F.col(c) for c in s] for s in sets], *keys).agg(
+        F.grouping_id(*keys).alias("g"), *[F.sum(c).alias(c) for c in ("n", "s", "ss", "r_n", "r_s", "r_ss")])
+    grain = F.create_map(*[F.lit(x) for k, g in GRAINS.items() for x in (g, k)])[F.col("g").cast("int")]
+    timed = rolled.withColumn("grain", grain).select(
+        *keys, "grain", *[F.when(F.col("grain") == 0, F.col(c)).otherwise(F.col(f"r_{c}")).alias(c) for c in ("n", "s", "ss")])
+    need = F.when(F.col("grain") == 3, min_fine).when(F.col("grain") == 2, min_hour).otherwise(1)
+    return timed.where(F.col("n") >= need).select(
+        *keys[:2], "grain", *keys[2:], "n", (F.col("s") / F.col("n")).alias("hist_avg"),
+        F.coalesce(_std("n", "s", "ss"), F.when(F.col("grain") == 1, 20.0).when(F.col("grain") > 1, 15.0)).alias("hist_std"))
+
+
+def with_prior(flights: DataFrame, table: DataFrame, *, shifted_weekday: bool = False) -> DataFrame:
+    """hist_avg, hist_std and the grain they come from: the finest row of `route_table` that knows the flight."""
+    overall = table.where("grain = 0").select(F.struct("hist_avg", "hist_std").alias("o")).scalar()
+    value = F.struct(F.col("hist_avg").alias("a"), F.col("hist_std").alias("s"), F.col("grain").alias("g"))
+    key = F.concat_ws(":", F.col("dep_hour").cast("string"), F.col("dow").cast("string"))
+    per_route = table.where("grain > 0").groupBy("ORIGIN", "DEST").agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("__known"))
+    day = F.weekday("dep_datetime") - (1 if shifted_weekday else 0)
+    hour = F.hour("dep_datetime").cast("string")
+    found = F.coalesce(*[F.try_element_at("__known", k) for k in (F.concat(hour, F.lit(":"), day.cast("string")), hour, F.lit(""))],
+                       F.struct(overall["hist_avg"].alias("a"), overall["hist_std"].alias("s"), F.lit(0).alias("g")))
+    return flights.join(per_route, ["ORIGIN", "DEST"], "left").withColumn("__f", found).select(
+        *flights.columns, F.col("__f.a").alias("hist_avg"), F.col("__f.s").alias("hist_std"), F.col("__f.g").alias("prior_grain"))
+
+
 def _std(n: str, s: str, ss: str):
     """Sample deviation from count, sum and sum of squares (whole minutes, so exact sums)."""
     n, s, ss = F.col(n).cast("double"), F.col(s), F.col(ss)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions.expr import actual_status, add_hours, add_minutes, clip, clock, cyclic, floor_hour, share
+from skyledger.functions.timejoin import nearest_row
 from skyledger.operators.clean import on_date
 
 LEADS = (6, 3, 1)
@@ -23,6 +24,17 @@ def nearest_snapshot(dep: Column | str, hours: int) -> Column:
     return F.when(past > 1800, base + F.expr("INTERVAL 1 HOUR")).otherwise(base)
 
 
+def snapshots_at_leads(flights: DataFrame, snapshots: DataFrame, *, within_min: float = 35.0) -> DataFrame:
+    """flight_id, lead_h and snapshot_time: for each flight and lead the snapshot nearest to that lead, at whatever times snapshots were taken.
+
+    A tie goes to the earlier snapshot; a lead without one closer than `within_min` minutes has a null. A flight's departure must be known.
+    """
+    asked = flights.where("dep_datetime is not null").select("flight_id", "dep_datetime", F.explode(F.array(*[F.lit(h) for h in LEADS])).alias("lead_h"))
+    asked = asked.withColumn("wanted", add_minutes("dep_datetime", -60 * F.col("lead_h")))
+    found = nearest_row(asked, snapshots.select("snapshot_time"), [], "wanted", "snapshot_time", [], within_s=within_min * 60, strict=True, slot_s=3600)
+    return found.select("flight_id", "lead_h", F.col("match.snapshot_time").alias("snapshot_time"))
+
+
 def actuals_by_natural_key(lookup: DataFrame, source: DataFrame, *, dedupe: bool = False) -> DataFrame:
     """Attach arrival delays by (origin, destination, departure time).
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyledger.functions import expr as X
+from skyledger.functions import timejoin
 from skyledger.functions.sequence import with_row
 from skyledger.operators import (
     clean, congestion, diagnostics, evaluate, learn, network, priors, quality, replay, rotation, snapshots, tracking,
@@ -585,6 +586,92 @@ def flights_with_route_prior_shifted(s, d):
     ).select("flight_id", "hist_avg")
 
 
+@query("""
+  SELECT ORIGIN, DEST, CAST(3 AS INTEGER) AS grain, dep_hour, dow, n, hist_avg, hist_std FROM v_fine
+  UNION ALL SELECT ORIGIN, DEST, 2, dep_hour, NULL, n, hist_avg, hist_std FROM v_mid
+  UNION ALL SELECT ORIGIN, DEST, 1, NULL, NULL, n, hist_avg, hist_std FROM v_coarse
+  UNION ALL SELECT NULL, NULL, 0, NULL, NULL, count(DepDelay), avg(DepDelay), stddev_samp(DepDelay) FROM v_train""", "hist_avg", "hist_std")
+def route_table(s, d):
+    """All grains and the overall row from one pass."""
+    return priors.route_table(_train(td.flights(s, d)), min_fine=2, min_hour=2)
+
+
+@query("""SELECT p.flight_id, p.hist_avg, p.hist_std, CASE WHEN a.n IS NOT NULL THEN 3 WHEN b.n IS NOT NULL THEN 2 WHEN c.n IS NOT NULL THEN 1 ELSE 0 END AS prior_grain
+  FROM v_prior p JOIN v_flights f ON f.flight_id = p.flight_id
+  LEFT JOIN v_fine a ON a.ORIGIN = f.ORIGIN AND a.DEST = f.DEST AND a.dep_hour = hour(f.dep_datetime) AND a.dow = isodow(f.dep_datetime) - 1
+  LEFT JOIN v_mid b ON b.ORIGIN = f.ORIGIN AND b.DEST = f.DEST AND b.dep_hour = hour(f.dep_datetime)
+  LEFT JOIN v_coarse c ON c.ORIGIN = f.ORIGIN AND c.DEST = f.DEST""", "hist_avg", "hist_std")
+def flights_with_prior_grain(s, d):
+    """The lookup with the grain it was answered from."""
+    fl = _flights(s, d)
+    table = stage(priors.route_table(_train(fl), min_fine=2, min_hour=2), "route-table")
+    return priors.with_prior(fl.select("flight_id", "ORIGIN", "DEST", "dep_datetime"), table).select("flight_id", "hist_avg", "hist_std", "prior_grain")
+
+
+# ---------------------------------------------------------------- joins along time
+
+_SEEN = """(SELECT airport, datetime, min({'g': wind_gust_ms, 't': temp_c}) AS o FROM v_obs GROUP BY 1, 2)"""
+
+
+@query(f"""SELECT flight_id, datetime AS observed, o.g AS wind_gust_ms, o.t AS temp_c FROM v_flights f LEFT JOIN (
+    SELECT f.flight_id AS id, w.* FROM v_flights f JOIN {_SEEN} w ON w.airport = f.ORIGIN AND w.datetime > f.dep_datetime - INTERVAL 35 MINUTE
+      AND w.datetime < f.dep_datetime + INTERVAL 35 MINUTE
+    QUALIFY row_number() OVER (PARTITION BY f.flight_id ORDER BY abs(date_diff('microsecond', w.datetime, f.dep_datetime)), w.datetime) = 1) ON id = flight_id""",
+       "wind_gust_ms", "temp_c")
+def nearest_observation(s, d):
+    """The observation at the origin closest to departure, less than 35 minutes away, at whatever minute it was made."""
+    found = timejoin.nearest_row(td.flights(s, d).select("flight_id", F.col("ORIGIN").alias("airport"), "dep_datetime"), td.weather(s, d), ["airport"],
+                                 "dep_datetime", "datetime", ["wind_gust_ms", "temp_c"], within_s=35 * 60, strict=True)
+    return found.select("flight_id", F.col("match.datetime").alias("observed"), "match.wind_gust_ms", "match.temp_c")
+
+
+@query(f"""SELECT flight_id, b.datetime AS before, b.o.t AS temp_before, a.datetime AS after, a.o.t AS temp_after FROM v_flights f
+  ASOF LEFT JOIN {_SEEN} b ON f.ORIGIN = b.airport AND f.dep_datetime >= b.datetime
+  ASOF LEFT JOIN {_SEEN} a ON f.ORIGIN = a.airport AND f.dep_datetime <= a.datetime""", "temp_before", "temp_after")
+def observations_around(s, d):
+    """The last observation before departure and the first after it, however far."""
+    fl = td.flights(s, d).select("flight_id", F.col("ORIGIN").alias("airport"), "dep_datetime")
+    obs = td.weather(s, d)
+    one = timejoin.nearest_row(fl, obs, ["airport"], "dep_datetime", "datetime", ["wind_gust_ms", "temp_c"], direction="backward", name="b")
+    both = timejoin.nearest_row(one, obs, ["airport"], "dep_datetime", "datetime", ["wind_gust_ms", "temp_c"], direction="forward", name="a")
+    return both.select("flight_id", F.col("b.datetime").alias("before"), F.col("b.temp_c").alias("temp_before"), F.col("a.datetime").alias("after"),
+                       F.col("a.temp_c").alias("temp_after"))
+
+
+@query("""SELECT * FROM (WITH q AS (SELECT flight_id, h AS lead_h, dep_datetime - to_hours(CAST(h AS INTEGER)) AS w FROM v_flights, (SELECT unnest([6, 3, 1]) AS h)),
+  s AS (SELECT DISTINCT datetime AS t FROM v_obs)
+  SELECT flight_id, CAST(lead_h AS INTEGER) AS lead_h, CASE WHEN b IS NULL AND a IS NULL THEN NULL WHEN a IS NULL THEN b WHEN b IS NULL THEN a
+    WHEN w - b <= a - w THEN b ELSE a END AS snapshot_time FROM (
+    SELECT q.*, CASE WHEN b.t > w - INTERVAL 35 MINUTE THEN b.t END AS b, CASE WHEN a.t < w + INTERVAL 35 MINUTE THEN a.t END AS a
+    FROM q ASOF LEFT JOIN s b ON w >= b.t ASOF LEFT JOIN s a ON w <= a.t))""")
+def snapshots_at_leads(s, d):
+    """Snapshots taken at irregular minutes: the one nearest to each flight's leads."""
+    taken = td.weather(s, d).select(F.col("datetime").alias("snapshot_time")).distinct()
+    return tracking.snapshots_at_leads(td.flight_times(s, d), taken)
+
+
+@query("""SELECT f.flight_id, w.datetime AS window_start, w.hours AS window_hours FROM v_flights f
+  JOIN (SELECT DISTINCT airport, datetime, CAST(1 + CAST(elevation_m AS INTEGER) % 8 AS INTEGER) AS hours FROM v_obs) w
+    ON w.airport = f.ORIGIN AND f.dep_datetime >= w.datetime AND f.dep_datetime < w.datetime + to_hours(w.hours)""")
+def flights_in_windows(s, d):
+    """Departures inside windows that begin at any minute and last from one to eight hours."""
+    hours = (1 + F.col("elevation_m").cast("int") % 8).cast("int")
+    windows = td.weather(s, d).select(F.col("airport").alias("ORIGIN"), F.col("datetime").alias("window_start"), hours.alias("window_hours")).distinct()
+    windows = windows.withColumn("window_end", X.add_hours("window_start", F.col("window_hours")))
+    fl = td.flights(s, d).select("flight_id", "ORIGIN", "dep_datetime")
+    return timejoin.points_in(fl, windows, ["ORIGIN"], "dep_datetime", "window_start", "window_end").select("flight_id", "window_start", "window_hours")
+
+
+@query("""SELECT a.flight_id, count(*) AS together, min(b.flight_id) AS first_id FROM v_flights a JOIN v_flights b ON a.ORIGIN = b.ORIGIN AND a.flight_id <> b.flight_id
+    AND a.dep_datetime < b.arr_datetime AND b.dep_datetime < a.arr_datetime GROUP BY 1""")
+def airborne_together(s, d):
+    """How many flights from the same origin are in the air with each flight."""
+    fl = _flights(s, d).select("ORIGIN", "flight_id", "dep_datetime", "arr_datetime")
+    other = fl.select("ORIGIN", F.col("flight_id").alias("id2"), F.col("dep_datetime").alias("dep2"), F.col("arr_datetime").alias("arr2"))
+    met = timejoin.overlapping(fl, other, ["ORIGIN"], ("dep_datetime", "arr_datetime"), ("dep2", "arr2")).where("flight_id <> id2")
+    return met.groupBy("flight_id").agg(F.count(F.lit(1)).alias("together"), F.min("id2").alias("first_id"))
+
+
 # ---------------------------------------------------------------- snapshots
 
 
