@@ -7,7 +7,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.functions.expr import minutes_between, pearson, share, us_tail
@@ -42,11 +42,20 @@ def basics(
     flights: DataFrame, *, rows: tuple[int, int] = (5_000_000, 30_000_000), years: tuple[int, int] = (2018, 2022)
 ) -> DataFrame:
     """Row count, required columns, year range, and null rates graded at 5 and 15 percent."""
-    missing = [c for c in REQUIRED if c not in flights.columns]
-    graded = [c for c in ("DepDelay", "ArrDelay", "Tail_Number", "dep_datetime", "arr_datetime") if c in flights.columns]
-    row = flights.agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.year("dep_datetime")).alias("y0"), F.max(F.year("dep_datetime")).alias("y1"),
-        *[share(F.col(c).isNull()).alias(f"null_{c}") for c in graded])
+    return as_rows(flights.agg(*_basic_metrics(flights)), _basic_checks(flights.columns, rows, years))
+
+
+def _graded(columns: Sequence[str]) -> list[str]:
+    return [c for c in ("DepDelay", "ArrDelay", "Tail_Number", "dep_datetime", "arr_datetime") if c in columns]
+
+
+def _basic_metrics(flights: DataFrame) -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), F.min(F.year("dep_datetime")).alias("y0"), F.max(F.year("dep_datetime")).alias("y1"),
+            *[share(F.col(c).isNull()).alias(f"null_{c}") for c in _graded(flights.columns)]]
+
+
+def _basic_checks(columns: Sequence[str], rows: tuple[int, int], years: tuple[int, int]) -> list[Column]:
+    missing, graded = [c for c in REQUIRED if c not in columns], _graded(columns)
     checks = [
         check("Row count reasonable", (F.col("n") > rows[0]) & (F.col("n") < rows[1]), _fmt("%d rows", F.col("n"))),
         check("Required columns present", F.lit(not missing), F.lit(", ".join(missing))),
@@ -57,7 +66,7 @@ def basics(
         grade = F.when(rate < 0.05, "pass").when(rate < 0.15, "warn").otherwise("fail")
         checks.append(F.struct(F.lit(f"Null rate {c}").alias("name"), grade.alias("status"),
                                _fmt("%.1f%%", rate * 100).alias("detail")))
-    return as_rows(row, checks)
+    return checks
 
 
 def flights_per_year(flights: DataFrame) -> DataFrame:
@@ -66,27 +75,35 @@ def flights_per_year(flights: DataFrame) -> DataFrame:
 
 def delay_profile(flights: DataFrame) -> DataFrame:
     """One row of arrival-delay statistics, shares and the departure/arrival correlation."""
+    row = flights.agg(*_delay_metrics())
+    points = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+    q = exact_percentiles(flights, [], "ArrDelay", points)
+    return with_row(row, q)
+
+
+def _delay_metrics() -> list[Column]:
     a = F.col("ArrDelay")
-    row = flights.agg(
+    return [
         F.count(a).alias("n"), F.avg(a).alias("mean"), F.stddev_samp(a).alias("std"), F.min(a).alias("min"), F.max(a).alias("max"),
         share(a < 0).alias("share_early"), share(a < -200).alias("share_below_200"), F.count_if(a < -200).alias("below_200"),
         share(a >= 15).alias("share_15"), share(a >= 60).alias("share_60"), F.count_if(a > 15).alias("late_15"),
-        pearson("DepDelay", "ArrDelay").alias("dep_arr_corr"))
-    points = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
-    q = exact_percentiles(flights, [], "ArrDelay", points)
-    return with_row(row, q)
+        pearson("DepDelay", "ArrDelay").alias("dep_arr_corr")]
 
 
 def delays(flights: DataFrame) -> DataFrame:
+    return as_rows(delay_profile(flights), _delay_checks())
+
+
+def _delay_checks() -> list[Column]:
     p = F.col
-    return as_rows(delay_profile(flights), [
+    return [
         check("ArrDelay mean between 0 and 20 min", p("mean").between(0, 20), _fmt("%.1f", p("mean"))),
         check("ArrDelay has early arrivals", p("share_early") > 0.3, _fmt("%.1f%%", p("share_early") * 100)),
         check("ArrDelay max below 2000", p("max") < 2000, _fmt("%.0f", p("max")), warn_only=True),
         check("No delays below -200 min", p("share_below_200") < 0.001, _fmt("%d flights", p("below_200")), warn_only=True),
         check("Share late by 15 min between 10 and 35 percent", (p("share_15") * 100).between(10, 35), _fmt("%.1f%%", p("share_15") * 100)),
         check("DepDelay and ArrDelay correlated", p("dep_arr_corr") > 0.7, _fmt("%.3f", p("dep_arr_corr"))),
-    ])
+    ]
 
 
 def airports(
@@ -160,12 +177,69 @@ def temporal(flights: DataFrame) -> DataFrame:
     mean = lambda s: F.avg(F.when(F.col("season") == s, F.col("mean_arr_delay")))
     seasons = by.agg(mean("summer").alias("summer"), mean("winter").alias("winter"))
     row = with_row(duration_profile(flights), seasons)
+    return as_rows(row, _temporal_checks())
+
+
+def _temporal_checks() -> list[Column]:
     p = F.col
-    return as_rows(row, [
+    return [
         check("No negative durations", p("negative") / p("n") < 0.001, _fmt("%d", p("negative")), warn_only=True),
         check("Mean duration between 90 and 200 min", p("mean").between(90, 200), _fmt("%.0f", p("mean"))),
         check("Summer delays above winter", p("summer") > p("winter"), _fmt("%.1f / %.1f", p("summer"), p("winter")), warn_only=True),
-    ])
+    ]
+
+
+# ---------------------------------------------------------------- checks taken on the way
+
+
+def watched(flights: DataFrame, name: str = "flights") -> tuple[DataFrame, Observation]:
+    """The same rows, and what is observed of them while they are written: the metrics of `basics`, `delays` and `temporal` in no pass of their own."""
+    d = minutes_between("dep_datetime", "arr_datetime")
+    month = F.month("dep_datetime")
+    metrics = [*_basic_metrics(flights), *[m.alias(f"delay_{n}") for m, n in _named(_delay_metrics())],
+               F.count(d).alias("dur_n"), F.avg(d).alias("dur_mean"), F.count_if(d < 0).alias("dur_negative"),
+               *[F.avg(F.when(month == k, F.col("ArrDelay"))).alias(f"month_{k}") for k in range(1, 13)]]
+    seen = Observation(name)
+    return flights.observe(seen, *metrics), seen
+
+
+def _named(metrics: Sequence[Column]) -> list[tuple[Column, str]]:
+    names = ["n", "mean", "std", "min", "max", "share_early", "share_below_200", "below_200", "share_15", "share_60", "late_15", "dep_arr_corr"]
+    return list(zip(metrics, names, strict=True))
+
+
+def observed_metrics(spark: SparkSession, seen: Observation) -> DataFrame:
+    """One row of what was observed; waits for the write to end."""
+    return spark.range(1).select(*[F.lit(v).cast("long" if isinstance(v, int) else "double").alias(k) for k, v in seen.get.items()])
+
+
+def observed(spark: SparkSession, seen: Observation, columns: Sequence[str], *, rows: tuple[int, int] = (5_000_000, 30_000_000),
+             years: tuple[int, int] = (2018, 2022)) -> DataFrame:
+    """The checks of `basics`, `delays` and `temporal` from an observation."""
+    row = observed_metrics(spark, seen)
+    part = lambda prefix: row.select(*[F.col(c).alias(c.removeprefix(prefix)) for c in row.columns if c.startswith(prefix)])
+    months = lambda *ks: F.array_compact(F.array(*[F.col(f"month_{k}").cast("double") for k in ks]))
+    mean = lambda a: F.try_divide(F.aggregate(a, F.lit(0.0), lambda x, y: x + y), F.size(a))
+    seasons = row.select(F.col("dur_n").alias("n"), F.col("dur_mean").alias("mean"), F.col("dur_negative").alias("negative"),
+                         mean(months(6, 7, 8)).alias("summer"), mean(months(12, 1, 2)).alias("winter"))
+    return as_rows(row, _basic_checks(columns, rows, years)).unionByName(as_rows(part("delay_"), _delay_checks())).unionByName(
+        as_rows(seasons, _temporal_checks()))
+
+
+# ---------------------------------------------------------------- distinct counts that add up
+
+
+def day_sketches(flights: DataFrame, columns: Sequence[str], *, time: str = "dep_datetime", log2_registers: int = 14) -> DataFrame:
+    """Per day one sketch of the distinct values of each column: a few KB a day whatever its rows, merged for any range of days.
+
+    The standard error is 1.04 / sqrt(2^log2_registers), 0.8 % by default.
+    """
+    return flights.groupBy(F.to_date(time).alias("day")).agg(*[F.hll_sketch_agg(c, log2_registers).alias(c) for c in columns])
+
+
+def distinct_by(sketches: DataFrame, period: Column, columns: Sequence[str], name: str = "period") -> DataFrame:
+    """Estimated distinct values per period (any expression of `day`), from the days' sketches alone."""
+    return sketches.groupBy(period.alias(name)).agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in columns])
 
 
 # Tables a finished build must hold, and their least row counts.

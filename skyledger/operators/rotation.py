@@ -17,11 +17,15 @@ def _usable(flights: DataFrame) -> DataFrame:
 
 
 def next_legs(flights: DataFrame) -> DataFrame:
-    """Each leg with the tail's next leg (null on the last one) and the gap between them."""
-    legs = _usable(flights).select("Tail_Number", *_NEXT)
+    """Each leg with the tail's next leg (null on the last one) and the gap between them.
+
+    Flights clustered by tail and day (`layout.flights_by_tail`, column dep_day) are read as they lie and not exchanged.
+    """
+    clustered = "dep_day" in flights.columns
+    legs = _usable(flights).select("Tail_Number", *_NEXT, *["dep_day"] * clustered)
     paired = along_key(
-        legs, ["Tail_Number"], ["dep_datetime", "flight_id"], F.to_date("dep_datetime"), following=_NEXT,
-    )
+        legs, ["Tail_Number"], ["dep_datetime", "flight_id"], F.col("dep_day") if clustered else F.to_date("dep_datetime"), following=_NEXT)
+    paired = paired.drop("dep_day")
     return paired.withColumn("gap_min", minutes_between("arr_datetime", "next_row.dep_datetime"))
 
 

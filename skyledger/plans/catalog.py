@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,7 @@ from skyledger.operators import (
     clean, congestion, diagnostics, evaluate, learn, network, priors, quality, replay, rotation, snapshots, tracking,
     weather,
 )
+from skyledger.plans import layout
 from skyledger.plans.oracle import rates, rounded, tier, tier_text, with_views
 from skyledger.plans.staging import new_folder, stage
 from skyledger.sources import feeds, testdata as td
@@ -353,6 +354,13 @@ def _pad(c, n):
   FROM events WHERE event_id % 19 <> 0""", "latitude", "longitude", "wind_dir_deg", "wind_speed_ms", "visibility_m", "temp_c", "precip_depth_mm", "wind_gust_ms")
 def weather_records_decoded(s, d):
     """Fixed-width lines built from the events and read back; some are cut short and must be dropped."""
+    return decode_records(record_lines(s, d)).select(
+        "event_id", "datetime", "latitude", "longitude", "wind_dir_deg", "wind_speed_ms", "visibility_m", "temp_c", "precip_depth_mm",
+        "sky_cover_oktas", "wind_gust_ms")
+
+
+def record_lines(s, d, dew=None):
+    """One fixed-width record per event; every 19th is cut short. `dew` is the text of the dew point, by default unknown."""
     i = F.col("event_id")
     extra = F.concat(
         F.when(i % 2 == 0, F.concat(F.lit("AA1"), _pad(i % 9000, 4), F.lit("0099"))).otherwise(""),
@@ -363,11 +371,8 @@ def weather_records_decoded(s, d):
         F.lit("-"), _pad(i % 99999, 6), F.lit("FM-15"), F.lit("+0182"), F.lit("KDFW "), F.lit("V020"),
         F.when(i % 5 == 0, F.lit("999")).otherwise(_pad(i % 360, 3)), F.lit("1"), F.lit("N"), F.when(i % 7 == 0, F.lit("9999")).otherwise(_pad(i % 300, 4)),
         F.lit("1"), F.lit("99999"), F.lit("9"), F.lit("9"), F.lit("N"), _pad(i % 16000, 6), F.lit("1"), F.lit("N"), F.lit("1"),
-        F.lit("-"), _pad(i % 400, 4), F.lit("1"), F.lit("+9999"), F.lit("9"), F.lit("99999"), F.lit("9"), extra)
-    lines = td.table(s, d, "events").select("event_id", F.when(i % 19 == 0, F.substring(line, 1, 50)).otherwise(line).alias("value"))
-    return decode_records(lines).select(
-        "event_id", "datetime", "latitude", "longitude", "wind_dir_deg", "wind_speed_ms", "visibility_m", "temp_c", "precip_depth_mm",
-        "sky_cover_oktas", "wind_gust_ms")
+        F.lit("-"), _pad(i % 400, 4), F.lit("1"), F.lit("+9999") if dew is None else dew, F.lit("9"), F.lit("99999"), F.lit("9"), extra)
+    return td.table(s, d, "events").select("event_id", F.when(i % 19 == 0, F.substring(line, 1, 50)).otherwise(line).alias("value"))
 
 
 # ---------------------------------------------------------------- rotation
@@ -672,6 +677,58 @@ def airborne_together(s, d):
     return met.groupBy("flight_id").agg(F.count(F.lit(1)).alias("together"), F.min("id2").alias("first_id"))
 
 
+# ---------------------------------------------------------------- laid-out tables
+
+
+@query("SELECT * FROM v_rotation", "turnaround_min", "edge_weight")
+def rotation_edges_clustered(s, d):
+    """Rotation from flights that lie clustered by tail and day: nothing above the scan moves them."""
+    where = new_folder(s, "by_tail")
+    by_tail = layout.flights_by_tail(td.flights(s, d), where.rpartition("/")[2].replace("-", "_"), where, buckets=8)
+    return rotation.rotation_edges(by_tail)
+
+
+_BUSY = "(SELECT FlightDate FROM v_flights GROUP BY 1 QUALIFY row_number() OVER (ORDER BY count(*) DESC, FlightDate) <= 3)"
+
+
+@query(f"SELECT flight_id, ORIGIN, DEST, FlightDate AS dep_day FROM v_flights WHERE FlightDate IN {_BUSY}")
+def flights_on_busy_days(s, d):
+    """Flights of the three busiest days, from folders by day of which only those three are read."""
+    path = new_folder(s, "by-day")
+    layout.write_by_day(td.flights(s, d), path)
+    by_day = s.read.parquet(path)
+    rank = F.row_number().over(Window.orderBy(F.desc("n"), "dep_day"))  # one row a day
+    days = stage(by_day.groupBy("dep_day").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", rank), "days")
+    return layout.on_days(by_day, days.where("rank <= 3")).select("flight_id", "ORIGIN", "DEST", "dep_day")
+
+
+@query("""SELECT count(*) AS n, min(year(dep_datetime)) AS y0, max(year(dep_datetime)) AS y1, avg((ArrDelay IS NULL)::INTEGER) AS "null_ArrDelay", avg(ArrDelay) AS delay_mean,
+    stddev_samp(ArrDelay) AS delay_std, min(ArrDelay) AS delay_min, max(ArrDelay) AS delay_max, avg((ArrDelay < 0)::INTEGER) AS delay_share_early,
+    count_if(ArrDelay > 15)::BIGINT AS delay_late_15, corr(DepDelay, ArrDelay) AS delay_dep_arr_corr, count(*) AS dur_n, avg(date_diff('minute', dep_datetime, arr_datetime)) AS dur_mean,
+    count_if(arr_datetime < dep_datetime)::BIGINT AS dur_negative, avg(ArrDelay) FILTER (month(dep_datetime) = 1) AS month_1, avg(ArrDelay) FILTER (month(dep_datetime) = 7) AS month_7 FROM v_flights""",
+       "null_ArrDelay", "delay_mean", "delay_std", "delay_share_early", "delay_dep_arr_corr", "dur_mean", "month_1", "month_7")
+def metrics_while_writing(s, d):
+    """Metrics of a table observed while it is written."""
+    rows, seen = quality.watched(td.flights(s, d))
+    stage(rows, "watched")
+    return quality.observed_metrics(s, seen).select(
+        "n", "y0", "y1", "null_ArrDelay", "delay_mean", "delay_std", "delay_min", "delay_max", "delay_share_early", "delay_late_15", "delay_dep_arr_corr",
+        "dur_n", "dur_mean", "dur_negative", "month_1", "month_7")
+
+
+@query("""SELECT isoyear(FlightDate) * 100 + weekofyear(FlightDate) AS week, count(DISTINCT Tail_Number) AS tails, count(DISTINCT ORIGIN || DEST) AS routes, TRUE AS tails_near, TRUE AS routes_near
+  FROM v_flights GROUP BY 1""")
+def weekly_distincts(s, d):
+    """Distinct tails and routes of every week from daily sketches, held against exact counts: within 3 %."""
+    fl = _flights(s, d).withColumn("route", F.concat("ORIGIN", "DEST"))
+    week = lambda day: F.extract(F.lit("YEAROFWEEK"), day) * 100 + F.weekofyear(day)
+    found = quality.distinct_by(quality.day_sketches(fl, ["Tail_Number", "route"]), week(F.col("day")), ["Tail_Number", "route"], "week")
+    exact = fl.groupBy(week(F.to_date("dep_datetime")).alias("week")).agg(F.count_distinct("Tail_Number").alias("tails"), F.count_distinct("route").alias("routes"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.col(b) * 0.03, F.lit(1))
+    return exact.join(found, "week").select(F.col("week").cast("long").alias("week"), "tails", "routes", near("Tail_Number", "tails").alias("tails_near"),
+                                            near("route", "routes").alias("routes_near"))
+
+
 # ---------------------------------------------------------------- snapshots
 
 
@@ -1668,3 +1725,6 @@ def live_airport_headline(s, d):
     """Headline over reported delays standing in for predictions."""
     rows = _live_airports(s, d).select("airport", F.col("avg_dep_delay").alias("pred_delay"))
     return live.airport_headline(live.airport_results(rows, td.airports(s, d)))
+
+
+from skyledger.plans import catalog_files  # noqa: E402, F401  (registers the queries over files)

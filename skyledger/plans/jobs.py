@@ -33,10 +33,10 @@ class Folder:
 
 @scoped
 def ingest_flights(spark: SparkSession, paths: Iterable[str], out: str, *, layout: str = "yearly") -> None:
-    """On-time CSV files to the flights table, numbered in departure order."""
+    """On-time CSV files to the flights table, numbered in departure order, one folder per year."""
     raw = flight_files.read_csv_files(spark, paths)
     cleaned = {"yearly": clean.flights, "strict": clean.flights_strict, "monthly": clean.flights_monthly}[layout](raw)
-    sinks.write_table(clean.assign_flight_id(cleaned), Folder(out).flights)
+    sinks.write_flights(clean.assign_flight_id(cleaned), Folder(out).flights)
 
 
 @scoped

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from urllib.parse import unquote
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyledger.functions.conform import DAY_FIRST_FORMATS, clean_header, conform, parse_timestamp
@@ -24,14 +23,41 @@ def existing(spark: SparkSession, paths: Iterable[str]) -> list[str]:
     return [p for p in paths if path_exists(spark, p)]
 
 
+def _files(spark: SparkSession, path: str) -> list:
+    """Hadoop paths of the data files a path, glob or folder names."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(conf)
+    found = []
+    for status in fs.globStatus(where) or []:
+        inner = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        found += [s.getPath() for s in inner if s.isFile() and s.getLen() and s.getPath().getName()[:1] not in "._"]
+    return found
+
+
+def _first_line(spark: SparkSession, file) -> str | None:
+    """Opens the file and reads its first block only; compressed files through their codec."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    stream = file.getFileSystem(conf).open(file)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(file)
+        inside = codec.createInputStream(stream) if codec is not None else stream
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(inside, "UTF-8")).readLine()
+    finally:
+        stream.close()
+
+
 def headers(spark: SparkSession, paths: Iterable[str]) -> dict[str, list[str]]:
-    """First line of every text file and the files that begin with it, in one job whatever their number."""
-    lines = spark.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("n"))
-    first = lines.where("at = 0").groupBy("path").agg(F.min_by("value", "n").alias("header")).orderBy("path")
+    """First line of every text file and the files that begin with it.
+
+    Only the beginning of each file is opened, several at a time; no job runs and nothing else is read, however long the files are.
+    """
+    files = sorted((f for p in paths for f in _files(spark, p)), key=str)
     found: dict[str, list[str]] = {}
-    for row in first.toLocalIterator():
-        found.setdefault(row.header, []).append(unquote(row.path))
+    with ThreadPoolExecutor(16) as pool:
+        for file, line in zip(files, pool.map(lambda f: _first_line(spark, f), files)):
+            if line is not None:
+                found.setdefault(line, []).append(str(file))
     return found
 
 

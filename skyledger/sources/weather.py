@@ -108,6 +108,16 @@ def _measure(raw: Column, sentinel: int, divisor: int) -> Column:
     return F.when(raw != sentinel, raw / F.lit(float(divisor)))
 
 
+STAMP = {"year": (16, 4), "month": (20, 2), "day": (22, 2), "hour": (24, 2), "minute": (26, 2)}
+
+
+def undecodable(line: Column) -> Column:
+    """Why `decode_records` drops a line; null for lines that it keeps."""
+    unread = lambda parts: reduce(lambda a, b: a | b, [_number(F.substring(line, p, k)).isNull() for p, k in parts])
+    return F.when(F.coalesce(F.length(line), F.lit(0)) < 60, F.lit("record too short")).when(unread(STAMP.values()), F.lit("time not readable")).when(
+        unread([v[:2] for v in MANDATORY.values()]), F.lit("number not readable"))
+
+
 def decode_records(lines: DataFrame, value: str = "value") -> DataFrame:
     """Fixed-width hourly records to columns.
 
@@ -115,8 +125,7 @@ def decode_records(lines: DataFrame, value: str = "value") -> DataFrame:
     dropped; sentinels become null; an unreadable optional section is null.
     """
     line = F.col(value)
-    stamp = {"year": (16, 4), "month": (20, 2), "day": (22, 2), "hour": (24, 2), "minute": (26, 2)}
-    numbers = {n: _number(F.substring(line, p, k)) for n, (p, k) in stamp.items()}
+    numbers = {n: _number(F.substring(line, p, k)) for n, (p, k) in STAMP.items()}
     numbers |= {f"__{n}": _number(F.substring(line, p, k)) for n, (p, k, _, _) in MANDATORY.items()}
     kept = [c for c in lines.columns if c != value]
     out = lines.where(F.length(line) >= 60).withColumns(numbers).dropna(subset=list(numbers))

@@ -128,7 +128,7 @@ def test_same_metro_needs_no_cross_join(spark):
     assert "Join Inner, (" in plan
 
 
-def test_headers_are_read_in_one_job_whatever_the_number_of_files(spark, tmp_path):
+def test_headers_need_no_job_whatever_the_number_of_files(spark, tmp_path):
     counts = []
     for n in (2, 12):
         folder = tmp_path / f"f{n}"
@@ -136,6 +136,8 @@ def test_headers_are_read_in_one_job_whatever_the_number_of_files(spark, tmp_pat
         for k in range(n):
             (folder / f"y {k}.csv").write_text(("a,b\n1,2\n" if k % 2 else "b,c\n3,4\n"))
         spark.sparkContext.setJobGroup(f"files-{n}", "")
+        assert len(ff.headers(spark, [str(folder)])) == 2
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(f"files-{n}")
         df = ff.read_csv_files(spark, [str(folder / f"y {k}.csv") for k in range(n)])
         counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"files-{n}")))
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
