@@ -193,7 +193,11 @@ def _temporal_checks() -> list[Column]:
 
 
 def watched(flights: DataFrame, name: str = "flights") -> tuple[DataFrame, Observation]:
-    """The same rows, and what is observed of them while they are written: the metrics of `basics`, `delays` and `temporal` in no pass of their own."""
+    """The same rows, and what is observed of them while they are written: the metrics of `basics`, `delays` and `temporal` in no pass of their own.
+
+    Take the flights from `spark.newSession()`: in Spark 4.1 a session that has observed something can no longer be carried into tasks, which
+    Spark ML does.
+    """
     d = minutes_between("dep_datetime", "arr_datetime")
     month = F.month("dep_datetime")
     metrics = [*_basic_metrics(flights), *[m.alias(f"delay_{n}") for m, n in _named(_delay_metrics())],

@@ -709,7 +709,7 @@ def flights_on_busy_days(s, d):
        "null_ArrDelay", "delay_mean", "delay_std", "delay_share_early", "delay_dep_arr_corr", "dur_mean", "month_1", "month_7")
 def metrics_while_writing(s, d):
     """Metrics of a table observed while it is written."""
-    rows, seen = quality.watched(td.flights(s, d))
+    rows, seen = quality.watched(td.flights(s.newSession(), d))
     stage(rows, "watched")
     return quality.observed_metrics(s, seen).select(
         "n", "y0", "y1", "null_ArrDelay", "delay_mean", "delay_std", "delay_min", "delay_max", "delay_share_early", "delay_late_15", "delay_dep_arr_corr",
