@@ -54,15 +54,16 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """id, fp: the fingerprint as a signed long."""
+    """id, fp and hash: the fingerprint as a signed long, and a hash of the text."""
     def run(found: Iterable[tuple]) -> Iterator[tuple]:
-        for key, raw in found:
+        for key, raw, digest in found:
             bits = fingerprint(raw, shingle)
-            yield key, bits - (1 << 64) if bits >> 63 else bits
+            yield key, bits - (1 << 64) if bits >> 63 else bits, digest
 
-    df = X.pick(docs, id_col, text_col)
+    df = X.pick(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
     kind, arrow = X.id_type(df)
-    return X.map_rows(df, run, ["id", "text"], f"id {kind}, fp long", pa.schema([("id", arrow), ("fp", pa.int64())]))
+    return X.map_rows(df, run, ["id", "text", "hash"], f"id {kind}, fp long, hash long",
+                      pa.schema([("id", arrow), ("fp", pa.int64()), ("hash", pa.int64())]))
 
 
 def moves(levels: int, radius: int) -> list[tuple[int, ...]]:
@@ -107,14 +108,19 @@ def close_pairs(points: DataFrame, *, radius: int = RADIUS, levels: int = LEVELS
         .select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                    radius: int = RADIUS, levels: int = LEVELS) -> DataFrame:
-    """id, fp, component: the smallest id reachable through links, for every row."""
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, levels: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints (id, fp, hash), and of every distinct fingerprint one that names its component, with the smallest id that has it."""
     found = stage(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
     points = stage(found.groupBy("fp").agg(F.min("id").alias("least")), "points")
     labels = components(close_pairs(points.select("fp"), radius=radius, levels=levels))
     named = points.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = stage(named, "named")
+    return found, stage(named, "named")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                    radius: int = RADIUS, levels: int = LEVELS) -> DataFrame:
+    """id, fp, component: the smallest id reachable through links, for every row."""
+    found, named = _components(docs, id_col, text_col, shingle, radius, levels)
     least = named.groupBy("component").agg(F.min("least").alias("first"))
     of_point = named.join(least, "component").select("fp", F.col("first").alias("component"))
     return found.join(of_point, "fp").select("id", "fp", "component")
@@ -122,17 +128,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                 radius: int = RADIUS, levels: int = LEVELS) -> DataFrame:
-    """One row of each component, the one with the smallest id, with its columns.
+    """One row of each component, the one with the smallest id (of rows with that id the one whose text has the smallest hash), with its columns.
 
-    Repeated rows of that id are copies too: of different texts the one with the smallest hash stays.
+    Rows that share an id but no component are different documents and each stay; a null id comes after all others.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius, levels=levels)
-    first = found.where(F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
-    hashed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                         docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("hash"))
-    # Which of the rows of an id stays is settled on (id, hash) alone; the texts are shuffled once.
-    keep = (
-        hashed.select("id", "hash").join(first.withColumnRenamed("id", "k"), F.col("id").eqNullSafe(F.col("k")), "left_semi")
-        .groupBy("id").agg(F.min("hash").alias("hash")).select(F.col("id").alias("k"), F.col("hash").alias("h")))
+    found, named = _components(docs, id_col, text_col, shingle, radius, levels)
+    # Which row of a component stays is settled on (id, hash) alone; the texts are shuffled once.
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
+    keep = found.join(named.select("fp", "component"), "fp").groupBy("component").agg(F.min(row).alias("r")).select(
+        F.col("r.id").alias("k"), F.col("r.hash").alias("h"))
+    hashed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), docs[id_col].alias("id"),
+                         F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("hash"))
     kept = hashed.join(keep, F.col("id").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h")), "left_semi")
     return kept.dropDuplicates(["id", "hash"]).select("row.*")

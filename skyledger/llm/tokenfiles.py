@@ -11,12 +11,13 @@ order. Tasks write under names of their own attempt; the manifest, a Parquet tab
 which files count, so a task that runs again leaves no trace.
 
 Defined cases: null and empty texts are the end id alone; null ids come first; repeated ids stay rows of their own,
-ordered by the hash of their text; other columns are ignored; an empty table gives a manifest without rows.
+ordered by the hash of their text; a special token's string inside a text is that token, as the library has it by default; other columns are ignored; an empty table gives a manifest without rows.
 """
 
 from __future__ import annotations
 
 import io
+import re
 import struct
 import uuid
 import zlib
@@ -53,12 +54,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.memo: dict[bytes, bytes] = {}
         self.memo_words = memo_words
+        #: Tokens that end a word, for cutting the ids of many words apart; none where the vocabulary marks no word ends.
+        ends = [t.endswith("</w>") for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda e: e[1])]
+        self.ends = np.array(ends) if any(ends) else None
+        names = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()}, key=len, reverse=True)
+        self.special = re.compile(b"|".join(re.escape(n.encode()) for n in names)) if names else None
 
     def _learn(self, new: list[bytes]) -> None:
         # Case does not count, and full stops and commas behind a letter are tokens of their own: such words share a stem.
+        # A word that holds a special token's string, in any case, is encoded as it stands: only the string itself is that token.
+        if self.special:
+            odd = [w for w in new if b"<" in w and self.special.search(w.lower())]
+            self._encode(odd)
+            new = [w for w in new if w not in self.memo]
         stems, split = set(), []
         for word in new:
             stem = word.rstrip(b".,")
@@ -72,8 +82,24 @@ class Encoder:
             self.memo[word] = self.memo[low] + self.memo[rest]
 
     def _encode(self, new: list[bytes]) -> None:
-        for k in range(0, len(new), 4096):
-            part = new[k:k + 4096]
+        """Encodes words, many at a time. Words of letters alone are one piece each, so each ends with the one token that ends a word."""
+        rest = new
+        if self.ends is not None and self.width == Encoder.width:
+            text = [w.decode() for w in new]
+            plain = [t.isalpha() for t in text]
+            rest = [w for w, p in zip(new, plain) if not p]
+            letters = [t for t, p in zip(text, plain) if p]
+            for k in range(0, len(letters), 4096):
+                part = letters[k:k + 4096]
+                ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+                cut = np.flatnonzero(self.ends[ids]) + 1
+                if len(cut) != len(part):  # letters that the normaliser turns into something else
+                    rest += [t.encode() for t in part]
+                    continue
+                packed, at = ids.tobytes(), [0, *(cut * 4).tolist()]
+                self.memo.update(zip([t.encode() for t in part], (packed[a:b] for a, b in zip(at, at[1:]))))
+        for k in range(0, len(rest), 4096):
+            part = rest[k:k + 4096]
             got = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
             packed = self.packed(got)
             at = (np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1)) * self.width).tolist()

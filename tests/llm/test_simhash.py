@@ -93,6 +93,21 @@ def test_odd_rows_and_empty_table(spark):
     assert found.count() == docs.count() and found.where(F.col("component").isNull() & F.col("id").isNotNull()).count() == 0
     kept = S.drop_copies(docs)
     assert kept.schema == docs.schema
-    ids = [r.doc_id for r in kept.collect()]
-    assert len(ids) == len(set(ids)) == found.select("component").distinct().count()
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    points = {t: S.fingerprint(t.encode(), S.SHINGLE) for _, t in rows}
+    group = {p: p for p in points.values()}
+    for _ in group:
+        for a, b in combinations(group, 2):
+            if (a ^ b).bit_count() <= S.RADIUS:
+                group[a] = group[b] = min(group[a], group[b])
+    kept_rows = [(r.doc_id, r.text or "") for r in kept.collect()]
+    assert sorted(group[points[t]] for _, t in kept_rows) == sorted(set(group.values())) and set(kept_rows) <= set(rows)
+    for k, t in kept_rows:  # the smallest id of its component, nulls last
+        same = [i for i, x in rows if group[points[x]] == group[points[t]]]
+        assert k == min(same, key=lambda i: (i is None, i or 0))
     assert S.near_duplicates(docs.limit(0)).count() == 0 and S.drop_copies(docs.limit(0)).count() == 0
+
+
+def test_different_documents_under_one_id_all_stay(spark):
+    docs = table(spark, [prose(1, 80), prose(2, 80), prose(3, 80), prose(1, 80)], ids=[3, 3, 1, 9])
+    assert sorted((r.doc_id, r.text) for r in S.drop_copies(docs).collect()) == sorted([(3, prose(1, 80)), (3, prose(2, 80)), (1, prose(3, 80))])

@@ -15,12 +15,11 @@ from skyledger.llm.queries import tokenizer_path
 
 def plain(texts):
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return [np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for x in texts]
 
 
 def test_word_by_word_ids_are_those_of_the_whole_text():
-    texts = [x or "" for x in odd_texts()] + ["don't 'S éa é́ İstanbul ΑΣ Σ", "<|endoftext|> x<|startoftext|>y", "​zero width sep", "à ̀b"]
+    texts = [x or "" for x in odd_texts()] + ["don't 'S éa é́ İstanbul ΑΣ Σ", "<|endoftext|> x<|startoftext|>y", "<|endoftext|>", "a<|endoftext|>b<|endoftext|>", "Q<|ENDOFTEXT|>. <|EndOfText|>,", "<|endoftext|>., <|endoftext", "ŉa ßẞ ǅ ﬃ İ K", "​zero width sep", "à ̀b"]
     for memo in (10, 400_000):
         got = list(T.Encoder(tokenizer_path(), memo).encode([x.encode() for x in texts]))
         assert [g + b"\1\0\0\0" for g in got] == plain(texts)
