@@ -89,8 +89,8 @@ class Encoder:
             plain = [t.isalpha() for t in text]
             rest = [w for w, p in zip(new, plain) if not p]
             letters = [t for t, p in zip(text, plain) if p]
-            for k in range(0, len(letters), 4096):
-                part = letters[k:k + 4096]
+            for k in range(0, len(letters), 512):
+                part = letters[k:k + 512]
                 ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
                 cut = np.flatnonzero(self.ends[ids]) + 1
                 if len(cut) != len(part):  # letters that the normaliser turns into something else
@@ -111,8 +111,8 @@ class Encoder:
 
     def pieces(self, texts: list[bytes]) -> Iterator[list[bytes]]:
         """What is remembered of each word of each text, in order. New words of some texts are learned together."""
-        for k in range(0, len(texts), 32):
-            group = [raw.split() for raw in texts[k:k + 32]]
+        for k in range(0, len(texts), 64):
+            group = [raw.split() for raw in texts[k:k + 64]]
             found = [list(map(self.memo.get, words)) for words in group]
             new = {w for words, parts in zip(group, found) if None in parts for w, part in zip(words, parts) if part is None}
             if new:
