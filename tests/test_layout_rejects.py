@@ -35,9 +35,10 @@ def test_clustered_flights_are_not_moved(no_broadcast, tmp_path):  # noqa: F811
 def test_only_wanted_days_are_read(spark, tmp_path):
     layout.write_by_day(td.flights(spark, D), f"{tmp_path}/d")
     by_day = spark.read.parquet(f"{tmp_path}/d")
-    days = staging.stage(by_day.groupBy("dep_day").agg(F.count(F.lit(1)).alias("n")))
-    found = layout.on_days(by_day, days.where("dep_day between '2024-01-05' and '2024-01-06'"))
-    assert re.search(r"PartitionFilters: \[.*dynamicpruning", plan(found))
+    days = staging.stage(by_day.select("dep_day").distinct().withColumn("rank", F.dayofmonth("dep_day") - 4))
+    found = layout.on_days(by_day, days.where("rank between 1 and 2"))
+    text = plan(found)
+    assert re.search(r"PartitionFilters: \[.*dynamicpruning", text), text[:3000]
     rows = found.collect()
     assert {str(r.dep_day) for r in rows} == {"2024-01-05", "2024-01-06"}
     assert len(rows) == by_day.where("dep_day between '2024-01-05' and '2024-01-06'").count()
