@@ -86,7 +86,7 @@ def spans_of(raw: bytes, path: str) -> tuple[np.ndarray, np.ndarray]:
     """
     if path not in _encoders:
         _encoders[path] = Offsets(path, MEMO_WORDS)
-    parts = next(_encoders[path].pieces([raw]))
+    parts = _encoders[path].parts(raw.split())
     table = np.frombuffer(b"".join(parts), "<i4").reshape(-1, 2).astype(np.int64)
     chars = np.frombuffer(raw, np.uint8)
     solid = (chars != 32) & ((chars < 9) | (chars > 13))

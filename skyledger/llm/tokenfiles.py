@@ -19,12 +19,15 @@ from __future__ import annotations
 import io
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -41,21 +44,30 @@ CHECKSUMS = 0x80
 
 FRAME_IDS = 1 << 16
 MEMO_WORDS = 1_500_000
+MEMO_BYTES = 1 << 25
+SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+GROUP_BYTES = 1 << 23
 END_ID = 1
 
 
+def latin_end(word: bytes) -> bool:
+    """The word ends with an accented Latin letter that the normaliser leaves a letter."""
+    last = word.decode()[-1:]
+    return "\u00c0" <= last < "\u0250" and unicodedata.normalize("NFC", last.lower()).isalpha()
+
+
 class Encoder:
     """Ids of whole texts as bytes. The tokenizer cuts at blanks and never looks across them, so each word is
-    encoded once and remembered; past `memo_words` words the memory starts anew."""
+    encoded once and remembered; past `memo_words` words, or `memo_bytes` bytes of them, the memory starts anew."""
 
     width = 4
 
-    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS, memo_bytes: int = MEMO_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
-        self.memo_words = memo_words
+        self.memo_words, self.memo_bytes, self.held = memo_words, memo_bytes, 0
         #: Tokens that end a word, for cutting the ids of many words apart; none where the vocabulary marks no word ends.
         ends = [t.endswith("</w>") for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda e: e[1])]
         self.ends = np.array(ends) if any(ends) else None
@@ -63,41 +75,42 @@ class Encoder:
         self.special = re.compile(b"|".join(re.escape(n.encode()) for n in names)) if names else None
 
     def _learn(self, new: list[bytes]) -> None:
-        # Case does not count, and full stops and commas behind a letter are tokens of their own: such words share a stem.
+        # Case does not count, and ASCII signs behind a letter are tokens of their own: such words share a stem.
         # A word that holds a special token's string, in any case, is encoded as it stands: only the string itself is that token.
         if self.special:
-            odd = [w for w in new if b"<" in w and self.special.search(w.lower())]
-            self._encode(odd)
-            new = [w for w in new if w not in self.memo]
-        stems, split = set(), []
-        for word in new:
-            stem = word.rstrip(b".,")
-            if not stem[-1:].isalpha():
-                stem = word
-            low = stem.lower()
-            stems.update((low, word[len(stem):]))
-            split.append((word, low, word[len(stem):]))
-        self._encode([s for s in stems if s not in self.memo])
-        for word, low, rest in split:
-            self.memo[word] = self.memo[low] + self.memo[rest]
+            odd = {w for w in new if b"<" in w and self.special.search(w.lower())}
+            if odd:
+                self._encode(list(odd))
+                new = [w for w in new if w not in odd]
+        memo = self.memo
+        memo[b""] = b""
+        stems, rests = [], []
+        for low in b" ".join(new).lower().split(b" ") if new else []:
+            stem = low.rstrip(SIGNS)
+            if len(stem) < len(low) and not (stem[-1:].isalpha() or latin_end(stem)):
+                stem = low
+            stems.append(stem)
+            rests.append(low[len(stem):])
+        self._encode([w for w in {*stems, *rests} if w not in memo])
+        memo.update(zip(new, [memo[a] + memo[z] if z else memo[a] for a, z in zip(stems, rests)]))
 
     def _encode(self, new: list[bytes]) -> None:
         """Encodes words, many at a time. Words of letters alone are one piece each, so each ends with the one token that ends a word."""
         rest = new
-        if self.ends is not None and self.width == Encoder.width:
-            text = [w.decode() for w in new]
+        if new and self.ends is not None and self.width == Encoder.width:
+            text = b" ".join(new).decode().split(" ")
             plain = [t.isalpha() for t in text]
             rest = [w for w, p in zip(new, plain) if not p]
-            letters = [t for t, p in zip(text, plain) if p]
+            words, letters = list(compress(new, plain)), list(compress(text, plain))
             for k in range(0, len(letters), 512):
-                part = letters[k:k + 512]
-                ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+                part = words[k:k + 512]
+                ids = np.array(self.tokenizer.encode(" ".join(letters[k:k + 512]), add_special_tokens=False).ids, "<u4")
                 cut = np.flatnonzero(self.ends[ids]) + 1
                 if len(cut) != len(part):  # letters that the normaliser turns into something else
-                    rest += [t.encode() for t in part]
+                    rest += part
                     continue
                 packed, at = ids.tobytes(), [0, *(cut * 4).tolist()]
-                self.memo.update(zip([t.encode() for t in part], (packed[a:b] for a, b in zip(at, at[1:]))))
+                self.memo.update(zip(part, [packed[a:b] for a, b in zip(at, at[1:])]))
         for k in range(0, len(rest), 4096):
             part = rest[k:k + 4096]
             got = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
@@ -109,23 +122,44 @@ class Encoder:
         """What is remembered of an encoding, `width` bytes a token."""
         return np.array(got.ids, "<u4").tobytes()
 
-    def pieces(self, texts: list[bytes]) -> Iterator[list[bytes]]:
-        """What is remembered of each word of each text, in order. New words of some texts are learned together."""
-        for k in range(0, len(texts), 64):
-            group = [raw.split() for raw in texts[k:k + 64]]
-            found = [list(map(self.memo.get, words)) for words in group]
-            new = {w for words, parts in zip(group, found) if None in parts for w, part in zip(words, parts) if part is None}
-            if new:
-                if len(self.memo) + len(new) > self.memo_words:
-                    self.memo.clear()
-                self._learn(list(new))
-                for words, parts in zip(group, found):
-                    if None in parts:
-                        parts[:] = [self.memo[w] if part is None else part for w, part in zip(words, parts)]
-            yield from found
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        return map(b"".join, self.pieces(texts))
+    def parts(self, words: list[bytes]) -> list[bytes]:
+        """What is remembered of each word. New words are learned together."""
+        parts = list(map(self.memo.get, words))
+        if None in parts:
+            holes = [n for n, part in enumerate(parts) if part is None]
+            new = {words[n] for n in holes}
+            size = sum(map(len, new))
+            if len(self.memo) + len(new) > self.memo_words or self.held + size > self.memo_bytes:
+                self.memo.clear()
+                self.held = 0
+            self.held += size
+            self._learn(list(new))
+            for n in holes:
+                parts[n] = self.memo[words[n]]
+        return parts
+
+    def encode(self, texts: list[bytes], group_bytes: int = GROUP_BYTES) -> Iterator[bytes]:
+        """Ids of each text. Texts of about `group_bytes` bytes are cut into words together, so a word is looked up once for all of them."""
+        group, size = [], 0
+        for raw in texts:
+            if group and size + len(raw) > group_bytes:
+                yield from self._joined(group)
+                group, size = [], 0
+            group.append(raw)
+            size += len(raw)
+        if group:
+            yield from self._joined(group)
+
+    def _joined(self, texts: list[bytes]) -> Iterator[bytes]:
+        cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        found = pc.list_flatten(cut).dictionary_encode()
+        parts = self.parts(found.dictionary.cast(pa.large_binary()).to_pylist())
+        # The ids of all words, end to end; a text's begin and end where its words do.
+        ids = pa.array(parts, pa.large_binary()).take(found.indices)
+        _, offsets, data = ids.buffers()
+        ends = np.frombuffer(offsets, np.int64)[np.asarray(cut.offsets)].tolist() if len(ids) else [0] * (len(texts) + 1)
+        held = memoryview(data) if data is not None else memoryview(b"")
+        return (bytes(held[a:z]) for a, z in zip(ends, ends[1:]))
 
 
 _encoders: dict[str, Encoder] = {}
