@@ -81,7 +81,7 @@ def test_odd_rows_and_empty_table(spark, tmp_path):
 
 def test_signs_letters_and_small_memories_equal_whole_texts():
     texts = ["don't. 'tis it's' a'' b's. x<|ENDOFTEXT|>! é!? Ü... 日本。 日本! a̸! a≮ !!!a a!!!b 3$ $3$ _a_ -- a_ ǅ. İ. ﬁ! x²! ½. ª' _'s 's! a's!",
-             "", " \n ", "x" * 70_000 + "$$$", " ".join(f"w{k}%%" for k in range(3000)), "क़. é́. ŉ! ß?!", "$$$ . .. ... a. A. a.. É. é."] + [t or "" for t in odd_texts()]
+             "", " \n ", "x" * 3000 + "$$$", " ".join(f"w{k}%%" for k in range(3000)), "क़. é́. ŉ! ß?!", "$$$ . .. ... a. A. a.. É. é."] + [t or "" for t in odd_texts()]
     whole = Tokenizer.from_file(tokenizer_path())
     due = [whole.encode(t, add_special_tokens=False).ids for t in texts]
     for words, size, group in ((1_500_000, 1 << 25, 1 << 23), (50, 1 << 25, 1 << 23), (1_500_000, 200, 64), (1_500_000, 1 << 25, 1)):
