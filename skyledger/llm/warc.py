@@ -1,10 +1,10 @@
 """WARC records: responses from pages, and metadata and plain-text conversion records derived from responses.
 
 A derived record names its source in WARC-Refers-To, keeps the source's target and date, and the metadata record holds all of the source's WARC and HTTP
-headers and its digests, so either can be traced back and checked against the source. Record ids are name-based, so
-a job that runs again makes the same records. Records are built where the rows lie; there is no shuffle.
+headers and its digests, so either can be traced back and checked against the source. Record ids are made from the page's id, url and
+payload digest, so a job that runs again makes the same records, and pages that share id and url but not their html have records of their own. Records are built where the rows lie; there is no shuffle.
 
-Defined cases: a null page has an empty body, a null url an empty target; repeated rows give equal records;
+Defined cases: a null page has an empty body, a null url an empty target; repeated rows give equal records; a null id is not the text "None";
 other columns are ignored; a response without an HTTP header block, or that is not text, has a metadata record with what there is and an empty
 conversion; an empty table gives an empty result.
 """
@@ -72,7 +72,7 @@ def response(key: str, url: str, body: bytes, date: str = DATE) -> tuple[Headers
     """A response record around a page."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
     block = http + body
-    return [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", key, url)), ("WARC-Date", date), ("WARC-Target-URI", one_line(url)),
+    return [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", key, url, digest(body))), ("WARC-Date", date), ("WARC-Target-URI", one_line(url)),
             ("WARC-Payload-Digest", digest(body)), ("WARC-Block-Digest", digest(block)), ("Content-Type", "application/http; msgtype=response"),
             ("Content-Length", str(len(block)))], block
 
@@ -122,7 +122,7 @@ def responses(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
 
     def run(found: Iterable[tuple]) -> Iterator[tuple]:
         for key, url, body in found:
-            name = key.decode() if isinstance(key, bytes) else str(key)
+            name = "null" if key is None else f"id {key.decode() if isinstance(key, bytes) else key}"
             yield key, dump(*response(name, url.decode(), body, date))
 
     return X.map_rows(df, run, ["id", "url", "html"], f"id {kind}, record binary", pa.schema([("id", arrow), ("record", pa.binary())]), 256)

@@ -68,3 +68,13 @@ def test_other_record_types_are_passed_over(spark):
     data = W.dump([("WARC-Type", "request"), ("Content-Length", "1")], b"x") + W.dump(*W.response("1", "u", b"<p>y"))
     df = spark.createDataFrame([(1, bytearray(data)), (2, None)], "id long, record binary")
     assert [r.record_type for r in W.derivatives(df).collect()] == ["metadata", "conversion"]
+
+
+def test_pages_that_share_id_and_url_have_records_of_their_own(spark):
+    rows = [("1", "u", "<p>a"), ("1", "u", "<p>b"), ("1", "u", "<p>a"), (None, "u", "<p>a"), ("None", "u", "<p>a"), ("null", "u", "<p>a")]
+    sources = W.responses(spark.createDataFrame(rows, "page_id string, url string, html string"))
+    names = {r.id: set() for r in sources.collect()}
+    for r in sources.collect():
+        names[r.id].add(W.get(next(W.load(bytes(r.record)))[0], "WARC-Record-ID"))
+    assert len(names["1"]) == 2 and len(set().union(*names.values())) == 5
+    assert W.derivatives(sources).select("record_id").distinct().count() == 10
