@@ -31,8 +31,9 @@ def day(
     at = lambda end, p: coords.select(
         F.col("airport").alias(end), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon")
     ).where(f"{p}_lat is not null and {p}_lon is not null")
-    # The inner join keeps the day's flights only: semi-join and lookup in one.
-    joined = rows.join(flights, "flight_id").join(snapshots.select("snap_idx", "snapshot_time"), "snap_idx").join(
+    # The inner join keeps the day's flights only: semi-join and lookup in one. A log worked out from flights has several rows for each, which
+    # Spark's size estimate does not know; without the hint it would send a log of some hundred MB to every executor through the driver.
+    joined = rows.hint("merge").join(flights, "flight_id").join(snapshots.select("snap_idx", "snapshot_time"), "snap_idx").join(
         at("ORIGIN", "origin"), "ORIGIN").join(at("DEST", "dest"), "DEST").where("snapshot_time is not null")
     alert, severe = F.col("severe_prob") >= threshold, F.col("actual") >= SEVERE_MINUTES
     with_tiers = joined.withColumns({

@@ -55,7 +55,7 @@ def track(pred: DataFrame, flights: DataFrame, date: str, *, late: float = 15.0)
     """
     day = on_date(flights, date).select(
         "flight_id", "ORIGIN", "DEST", "Operating_Airline", "Tail_Number", "dep_datetime", "arr_datetime", "ArrDelay")
-    rows = pred.join(day, "flight_id")
+    rows = pred.hint("merge").join(day, "flight_id")  # see replay.day: the log is larger than Spark thinks
     picks = [
         F.max(F.when(F.col("snapshot_time") == nearest_snapshot("dep_datetime", h), F.col("pred"))).alias(f"pred_{h}h")
         for h in LEADS

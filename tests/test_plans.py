@@ -66,3 +66,15 @@ def test_staged_tables_live_in_the_shared_folder_and_leave_with_the_scope(spark)
     assert not os.path.exists(path)
     kept = staging.stage(spark.range(3)).inputFiles()[0].removeprefix("file://")
     assert os.path.exists(kept)
+
+
+@pytest.mark.parametrize("name", ["replay_day", "replay_summary", "flight_tracking"])
+def test_the_prediction_log_is_not_broadcast(spark, name):
+    """Its rows come from an explode, whose growth Spark's size estimate leaves out."""
+    lines = plan(catalog.QUERIES[name](spark, D)).splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for at, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            under = [b for b in lines[at + 1:]]
+            end = next((k for k, b in enumerate(under) if depth(b) <= depth(line)), len(under))
+            assert not any("Generate explode(" in b and "flight_id" in b for b in under[:end])
