@@ -51,11 +51,14 @@ def nearest_row(
     key = [f"__k_{k}" for k in keys]
 
     both = rows.unionByName(there, allowMissingColumns=True).withColumn("__slot", slot)
-    w = Window.partitionBy(*key, "__slot").orderBy("__t", F.col("__left").isNotNull())  # right rows of the same time stand before left ones
+    # Both frames grow with the row: one that ends at the last row would be worked out anew for every row. Read backwards, the rows after
+    # a left row come first, and right rows of the same time, which stand before left ones, come last.
+    place = (F.col("__t"), F.col("__left").isNotNull())
+    w = Window.partitionBy(*key, "__slot").orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*key, "__slot").orderBy(*[c.desc() for c in place]).rowsBetween(Window.unboundedPreceding, 0)
     inside = both.select(
-        *key, "__slot", "__t", "__left",
-        F.last("__right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("__before"),
-        F.first("__right", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__after")).where(F.col("__left").isNotNull())
+        *key, "__slot", "__t", "__left", F.last("__right", ignorenulls=True).over(w).alias("__before"),
+        F.last("__right", ignorenulls=True).over(back).alias("__after")).where(F.col("__left").isNotNull())
 
     none = F.lit(None).cast(there.schema["__right"].dataType)
     known = there.withColumn("__slot", slot).groupBy(*key, "__slot").agg(
@@ -63,10 +66,10 @@ def nearest_row(
     asked = rows.select(*key, slot.alias("__slot")).distinct().select(*key, "__slot", none.alias("__first"), none.alias("__last"))
     slots = known.unionByName(asked).groupBy(*key, "__slot").agg(F.first("__first", ignorenulls=True).alias("__first"),
                                                                  F.first("__last", ignorenulls=True).alias("__last"))
-    ws = Window.partitionBy(*key).orderBy("__slot")  # one row per key and slot
-    slots = slots.select(
-        *key, "__slot", F.last("__last", ignorenulls=True).over(ws.rowsBetween(Window.unboundedPreceding, -1)).alias("__before_slot"),
-        F.first("__first", ignorenulls=True).over(ws.rowsBetween(1, Window.unboundedFollowing)).alias("__after_slot"))
+    ws = Window.partitionBy(*key)  # one row per key and slot
+    up, down = [ws.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("__slot", F.desc("__slot"))]
+    slots = slots.select(*key, "__slot", F.last("__last", ignorenulls=True).over(up).alias("__before_slot"),
+                         F.last("__first", ignorenulls=True).over(down).alias("__after_slot"))
 
     found = inside.join(slots, [*key, "__slot"], "left")
     before, after = F.coalesce("__before", "__before_slot"), F.coalesce("__after", "__after_slot")

@@ -96,6 +96,13 @@ def test_no_pair_beyond_a_slot_and_no_loops(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_no_window_reaches_to_its_last_row(spark):
+    """Spark works such a frame out anew for every row, which takes the square of the rows of a slot."""
+    _, _, l, r = tables(spark, 7)
+    for direction in ("backward", "forward", "nearest"):
+        assert "unboundedfollowing" not in plan(T.nearest_row(l, r, ["k"], "t", "u", ["v"], direction=direction)).lower()
+
+
 def test_leads_at_irregular_snapshots(spark):
     fl = spark.createDataFrame([(1, at(600)), (2, at(605)), (3, None)], "flight_id long, dep_datetime timestamp_ntz")
     # 6 h, 3 h and 1 h before flight 1: minutes 240, 420, 540.
