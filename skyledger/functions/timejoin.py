@@ -94,8 +94,11 @@ def points_in(points: DataFrame, intervals: DataFrame, keys: Sequence[str], time
     """Pairs of a point and an interval [start, end) of the same key that holds it (with `after_start`, (start, end)).
 
     Lengths may differ by any factor: an interval belongs to the level of the next power of two of `base_s` above its length, where it
-    touches two slots at most; a point asks each level that occurs, a few dozen at most, in the one slot it lies in.
+    touches five slots, quarters of that power, at most; a point asks each level that occurs, a few dozen at most, in the one slot it lies in.
     Empty intervals and null times match nothing. Columns other than `keys` must have names of their own.
+
+    The pairs are the work, and bytes do not tell how many there are: both sides are dealt to a fixed number of tasks, which adaptive
+    execution neither merges nor replaces by a broadcast.
     """
     keys = list(keys)
     base = base_s * SECOND
@@ -103,13 +106,14 @@ def points_in(points: DataFrame, intervals: DataFrame, keys: Sequence[str], time
     spans = intervals.withColumns({"__a": micros(start), "__b": micros(end)}).where(b > a)
     level = F.greatest(F.ceil(F.log2((b - a) / F.lit(float(base)))), F.lit(0)).cast("int")
     spans = spans.withColumn("__level", level)
-    width = (F.lit(base) * F.pow(F.lit(2.0), F.col("__level"))).cast("long")
+    width = F.greatest((F.lit(base / 4) * F.pow(F.lit(2.0), F.col("__level"))).cast("long"), F.lit(1))
     levels = spans.agg(F.collect_set("__level")).scalar()
     spans = spans.withColumn("__slot", F.explode(F.sequence(F.floor(a / width), F.floor((b - 1) / width))))
     asking = points.withColumn("__t", micros(time)).where(F.col("__t").isNotNull())
     asking = asking.withColumn("__level", F.explode(levels)).withColumn("__slot", F.floor(F.col("__t") / width))
     t = F.col("__t")
-    met = asking.join(spans, [*keys, "__level", "__slot"]).where((t > a if after_start else t >= a) & (t < b))
+    by, parts = [*keys, "__level", "__slot"], 4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = asking.repartition(parts, *by).hint("merge").join(spans.repartition(parts, *by), by).where((t > a if after_start else t >= a) & (t < b))
     return met.drop("__level", "__slot", "__t", "__a", "__b")
 
 

@@ -103,6 +103,14 @@ def test_no_window_reaches_to_its_last_row(spark):
         assert "unboundedfollowing" not in plan(T.nearest_row(l, r, ["k"], "t", "u", ["v"], direction=direction)).lower()
 
 
+def test_pairs_of_points_and_intervals_are_dealt_to_many_tasks(spark):
+    """Both sides are small in bytes here; a broadcast or merged partitions would leave all their pairs to a few tasks."""
+    _, _, l, _ = tables(spark, 7)
+    _, df = spans(spark, 8, ("j", "s", "e"))
+    text = plan(T.points_in(l, df, ["k"], "t", "s", "e"))
+    assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text and text.count("REPARTITION_BY_NUM") == 2
+
+
 def test_leads_at_irregular_snapshots(spark):
     fl = spark.createDataFrame([(1, at(600)), (2, at(605)), (3, None)], "flight_id long, dep_datetime timestamp_ntz")
     # 6 h, 3 h and 1 h before flight 1: minutes 240, 420, 540.
