@@ -1,6 +1,6 @@
 """Joins along time: the nearest row of another table, rows inside intervals, and intervals that overlap.
 
-All of them are equality joins or windows on slots of time with exact rules inside, so no pair is formed that lies further
+All of them are equality joins, windows or running totals on slots of time with exact rules inside, so no pair is formed that lies further
 apart than a slot, and a key with very many rows is spread over its slots. Timestamps count by their fields, to the microsecond.
 """
 
@@ -117,13 +117,112 @@ def points_in(points: DataFrame, intervals: DataFrame, keys: Sequence[str], time
     return met.drop("__level", "__slot", "__t", "__a", "__b")
 
 
-def overlapping(a: DataFrame, b: DataFrame, keys: Sequence[str], a_span: tuple[str, str], b_span: tuple[str, str], *, base_s: int = 3600) -> DataFrame:
+def overlapping(a: DataFrame, b: DataFrame, keys: Sequence[str], a_span: tuple[str, str], b_span: tuple[str, str], *, base_s: int = 3600,
+                totals: str | None = None) -> DataFrame:
     """Pairs of intervals [start, end) of the same key that share some time, each pair once.
 
     Two intervals overlap when one begins inside the other: b at or after a's start, or a after b's. The two cases exclude each
     other, so nothing has to be made distinct. Empty intervals overlap nothing.
+
+    With `totals`, a column of b, every a that overlaps any b comes once instead, with `n`, the number of those b, and `least`, their two
+    smallest distinct values of that column (one where there is one; nulls do not count). No pair is formed, so this grows with the rows.
     """
+    if totals is not None:
+        return _overlap_totals(a, b, list(keys), a_span, b_span, totals)
     whole = lambda df, span: df.where(micros(span[1]) > micros(span[0]))
     first = points_in(whole(b, b_span), a, keys, b_span[0], *a_span, base_s=base_s)
     second = points_in(whole(a, a_span), b, keys, a_span[0], *b_span, base_s=base_s, after_start=True)
     return first.unionByName(second)
+
+
+def _width() -> Column:
+    return F.pow(F.lit(2.0), F.col("__level")).cast("long")
+
+
+def _slot_of(t: Column | str) -> Column:
+    """Where the slot of the row's level begins that holds `t`."""
+    c = F.col(t) if isinstance(t, str) else t
+    return c - F.pmod(c, _width())
+
+
+def _least(*values: Column) -> Column:
+    return F.slice(F.array_sort(F.array_distinct(F.array_compact(F.concat(*values)))), 1, 2)
+
+
+def _with_slots(df: DataFrame, keys: list[str], span: tuple[str, str]) -> DataFrame:
+    """Non-empty intervals with their ends in half microseconds and the level whose slots are shorter than the interval, and at least half as long."""
+    found = df.dropna(subset=keys).withColumns({"__s": 2 * micros(span[0]), "__e": 2 * micros(span[1])}).where("__e > __s")
+    found = found.withColumn("__level", F.length(F.bin(F.col("__e") - F.col("__s") - 1)) - 1)
+    return found.withColumns({"__p": _slot_of("__s"), "__r": _slot_of("__e")})
+
+
+def _entries(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Of each group one row with its sum of `__n` and at most two with its least values of `__id`."""
+    none = F.lit(None).cast(rows.schema["__id"].dataType)
+    counts = rows.groupBy(*by).agg(F.sum("__n").alias("__n")).select(*by, "__n", none.alias("__id"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("__id"))
+    least = rows.where("__id is not null").select(*by, "__id").distinct().withColumn("__place", place).where("__place <= 2")
+    return counts.unionByName(least.select(*by, F.lit(0).cast("long").alias("__n"), "__id"))
+
+
+def _summed(rows: DataFrame, by: list[str]) -> DataFrame:
+    """One row a group: `__n` and `__least`."""
+    return _entries(rows, by).groupBy(*by).agg(F.sum("__n").alias("__n"), _least(F.collect_list("__id")).alias("__least"))
+
+
+def _running(entries: DataFrame, asked: DataFrame, by: list[str], *, after: bool, strict: bool) -> DataFrame:
+    """For every (by, time) asked for, the sum and the least values of the group's entries before that time, or after it."""
+    none = F.lit(None).cast(entries.schema["__id"].dataType)
+    both = entries.select(*by, "__t", "__n", "__id", F.lit(False).alias("__asks")).unionByName(asked.select(*by, "__t").distinct().select(
+        *by, "__t", F.lit(0).cast("long").alias("__n"), none.alias("__id"), F.lit(True).alias("__asks")))
+    t, asks = F.col("__t"), F.col("__asks")
+    w = Window.partitionBy(*by).orderBy(t.desc() if after else t.asc(), asks.desc() if strict else asks.asc(), "__id")
+    here = w.rowsBetween(Window.unboundedPreceding, 0)
+    # The second smallest value so far is the smallest one that has lost against another.
+    known = both.withColumn("__best", F.min("__id").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    known = known.withColumn("__lost", F.when(F.col("__id") != F.col("__best"), F.greatest("__id", "__best")))
+    known = known.select(*by, "__t", "__asks", F.sum("__n").over(here).alias("__n"), F.min("__id").over(here).alias("__x"), F.min("__lost").over(here).alias("__y"))
+    return known.where("__asks").select(*by, "__t", "__n", _least(F.array("__x", "__y")).alias("__least"))
+
+
+def _overlap_totals(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str, str], b_span: tuple[str, str], totals: str) -> DataFrame:
+    """See `overlapping`: the b that begin inside a, and those that a begins inside of.
+
+    An interval is longer than a slot of its level and at most two slots long, so it is the end of a slot, the beginning of the
+    next one or the next but one, and the whole slot between them, if any. What lies in an end or a beginning is a running total along the slot.
+    """
+    left = _with_slots(a, keys, a_span)
+    right = _with_slots(b.select(*keys, *b_span, F.col(totals).alias("__id")), keys, b_span).withColumn("__n", F.lit(1).cast("long"))
+    by = [*keys, "__level", "__slot"]
+    between = F.col("__r") - F.col("__p") == 2 * _width()
+
+    # b begins in [start, end) of a, at the level of a.
+    starts = _entries(right.select(*keys, F.col("__s").alias("__t"), "__n", "__id"), [*keys, "__t"])
+    levels = left.agg(F.collect_set("__level")).scalar()
+    starts = starts.withColumn("__level", F.explode(levels)).withColumn("__slot", _slot_of("__t"))
+    side = lambda found, time, name: found.select(
+        *keys, "__level", F.col("__t").alias(time), F.struct("__n", "__least").alias(name))
+    head = side(_running(starts, left.select(*keys, "__level", F.col("__p").alias("__slot"), F.col("__s").alias("__t")), by, after=True, strict=False), "__s", "__head")
+    tail = side(_running(starts, left.select(*keys, "__level", F.col("__r").alias("__slot"), F.col("__e").alias("__t")), by, after=False, strict=True), "__e", "__tail")
+    middle = _summed(starts, by).select(*by, F.struct("__n", "__least").alias("__middle"))
+
+    # a begins in (start, end) of b, at every level of b.
+    levels = right.agg(F.collect_set("__level")).scalar()
+    asked = left.select(*keys, F.col("__s").alias("__t")).distinct().withColumn("__level", F.explode(levels)).withColumn("__slot", _slot_of("__t"))
+    at = lambda slot, time: _entries(right.select(
+        *keys, "__level", F.col(slot).alias("__slot"), F.col(time).alias("__t"), "__n", "__id"), [*by, "__t"])
+    over = _summed(right.where(between).select(*keys, "__level", (F.col("__p") + _width()).alias("__slot"), "__n", "__id"), by)
+    columns = [*keys, "__t", "__n", "__least"]
+    parts = _running(at("__p", "__s"), asked, by, after=False, strict=True).select(*columns).unionByName(
+        _running(at("__r", "__e"), asked, by, after=True, strict=True).select(*columns)).unionByName(asked.join(over, by).select(*columns))
+    around = parts.groupBy(*keys, F.col("__t").alias("__s")).agg(
+        F.struct(F.sum("__n").alias("__n"), _least(F.flatten(F.collect_list("__least"))).alias("__least")).alias("__around"))
+
+    met = left.withColumn("__slot", F.col("__p") + _width()).join(head, [*keys, "__level", "__s"]).join(tail, [*keys, "__level", "__e"]).join(
+        around, [*keys, "__s"]).join(middle, by, "left").withColumn("__middle", F.when(between, F.col("__middle")))
+    sides = [F.col(c) for c in ("__head", "__tail", "__around", "__middle")]
+    n = F.lit(0).cast("long")
+    for c in sides:
+        n = n + F.coalesce(c["__n"], F.lit(0).cast("long"))
+    none = F.array().cast(around.schema["__around"].dataType["__least"].dataType)
+    return met.select(*[F.col(f"`{c}`") for c in a.columns], n.alias("n"), _least(*[F.coalesce(c["__least"], none) for c in sides]).alias("least")).where("n > 0")

@@ -84,6 +84,22 @@ def test_overlapping_intervals_each_pair_once(spark):
     assert sorted(map(tuple, got)) == sorted(expected) and len(expected) > 500
 
 
+def test_overlap_totals_without_pairs(spark):
+    a, da = spans(spark, 5, ("i", "s", "e"))
+    b, db = spans(spark, 6, ("j", "u", "v"))
+    db = db.withColumn("m", F.when(F.col("j") % 7 > 0, F.col("j") % 50))  # repeated and null values
+    found = T.overlapping(da, db, ["k"], ("s", "e"), ("u", "v"), totals="m")
+    expected = {}
+    for i, k, s, e in a:
+        met = [j for j, rk, u, v in b if k is not None and k == rk and None not in (s, u) and s < e and u < v and s < v and u < e]
+        if met:
+            expected[i] = (len(met), sorted({j % 50 for j in met if j % 7})[:2])
+    got = found.collect()
+    assert {r.i: (r.n, r.least) for r in got} == expected and len(got) == len(expected) > 50
+    assert found.columns == [*da.columns, "n", "least"]
+    assert T.overlapping(da, db.limit(0), ["k"], ("s", "e"), ("u", "v"), totals="m").count() == 0
+
+
 def test_no_pair_beyond_a_slot_and_no_loops(spark):
     _, _, l, r = tables(spark, 7)
     _, df = spans(spark, 8, ("j", "s", "e"))
