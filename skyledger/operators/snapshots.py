@@ -264,7 +264,8 @@ def neighbour_context(flight_rows: DataFrame, edges: DataFrame, airport_rows: Da
     Per (airport, hour): weighted sum, mean and count over incoming flight edges; joined
     back to the flights departing there together with the airport's own features.
     """
-    sent = edges.join(
+    # As many rows on both sides; a compressed file of a few columns looks small enough to broadcast long before it is.
+    sent = edges.hint("merge").join(
         flight_rows.select("snapshot_time", "flight_id", "f_inbound", "f_cumul", "f_hist_avg"), ["snapshot_time", "flight_id"])
     per_airport = sent.groupBy("snapshot_time", "airport").agg(
         F.count(F.lit(1)).alias("n_edges"),

@@ -78,3 +78,11 @@ def test_the_prediction_log_is_not_broadcast(spark, name):
             under = [b for b in lines[at + 1:]]
             end = next((k for k, b in enumerate(under) if depth(b) <= depth(line)), len(under))
             assert not any("Generate explode(" in b and "flight_id" in b for b in under[:end])
+
+
+def test_flight_rows_meet_their_edges_without_a_broadcast_and_only_with_the_columns_read(spark):
+    text = plan(catalog.QUERIES["neighbour_context"](spark, D))
+    lines = [line for line in text.splitlines() if "Join" in line and line.count("flight_id") > 1]
+    assert lines and all("SortMergeJoin" in line for line in lines)
+    paths = set(re.findall(r"(/[^ ,\]]*/flight-rows-[0-9a-f]+)", text))
+    assert paths and all(len(spark.read.parquet(p).columns) == 7 for p in paths)
