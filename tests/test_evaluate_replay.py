@@ -1,9 +1,14 @@
 import json
 
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from helpers import as_set, flights, ts
+from skyledger.functions.expr import signed_expm1, signed_log1p
 from skyledger.operators import congestion, evaluate, learn, network, quality, replay, tracking
 from skyledger.sources import sinks
 
@@ -172,3 +177,29 @@ def test_window_sample_does_not_depend_on_partitions(spark):
     windows = spark.range(100).select(F.lit("a").alias("split"), F.col("id").alias("start"), (F.col("id") % 7).cast("double").alias("window_score"))
     got = {evaluate.sample_window(windows.repartition(n)).first().start for n in (1, 2, 3, 7)}
     assert len(got) == 1
+
+
+def test_forecaster_equals_spark_ml_in_few_passes(spark):
+    """The fit of the two heads, against LinearRegression and LogisticRegression, which take a hundred jobs for it."""
+    u = lambda k: F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(1000)) / 1000.0
+    rows = spark.range(6000).select(
+        F.col("id").alias("flight_id"), (F.col("id") % 7).cast("int").alias("snap_idx"), F.lit(None).cast("timestamp_ntz").alias("snapshot_time"),
+        F.when(F.col("id") % 11 > 0, F.lit(6)).alias("horizon_h"), u(1).alias("f_a"), F.when(F.col("id") % 5 > 0, u(2) * 3).alias("f_b"), F.lit(0.0).alias("f_c"),
+        (u(1) * 400 + u(3) * 500 - 200).alias("y")).repartition(5)
+    names = ["f_a", "f_b", "f_c"]
+    spark.sparkContext.setJobGroup("forecaster", "fit")
+    model = learn.fit_forecaster(rows, names)
+    spark.sparkContext.setJobGroup("other", "other")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("forecaster")) <= 30
+    assert model.constants == {720.0: 0.0} and sorted(model.classifiers) == [0.0, 15.0, 60.0, 120.0, 240.0]
+    got = {r.flight_id: r for r in learn.forecast(model, rows).collect()}
+    data = VectorAssembler(inputCols=names, outputCol="features").transform(
+        rows.where("horizon_h is not null").na.fill(0.0, names).withColumn("z", signed_log1p("y")))
+    due = LinearRegression(labelCol="z", regParam=1e-3).fit(data).transform(data).select("flight_id", signed_expm1("prediction").alias("pred")).collect()
+    assert len(due) == len(got) and all(abs(got[r.flight_id].pred - r.pred) < 1e-6 for r in due)
+    for t, name in ((0.0, "p_ge_0"), (120.0, "p_ge_120"), (240.0, "p_ge_240")):
+        fit = LogisticRegression(labelCol="l", regParam=1e-4, maxIter=200, tol=1e-10).fit(data.withColumn("l", (F.col("y") >= t).cast("double")))
+        due = fit.transform(data).select("flight_id", vector_to_array("probability")[1].alias("p")).collect()
+        assert all(abs(got[r.flight_id][name] - r.p) < 1e-4 for r in due)
+    with pytest.raises(ValueError):
+        learn.fit_forecaster(rows.limit(0), names)
