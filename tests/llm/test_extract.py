@@ -179,3 +179,41 @@ def test_rows_on_spark(spark):
         assert len(got) == len(rows)
         assert all(r.text == expected[r.id] and r.n_chars == len(r.text) for r in got)
     assert E.extract(df.limit(0)).count() == 0
+
+
+def mixed_host(n, seed=1):
+    """Pages with near copies, shared passages, boxes, headlines, unmarked articles, repeated rows and pages without text."""
+    rng, made = random.Random(seed), []
+    for k in range(n):
+        kind = rng.randrange(8)
+        if kind < 2:
+            html = page(k, marked=bool(kind))[0]
+        elif kind == 2:
+            html = near_copy(rng.randrange(n // 12 + 1), k)[0]
+        elif kind == 3:
+            words = prose(rng.randrange(6), 60).split()
+            for _ in range(rng.randrange(20)):
+                words[rng.randrange(len(words))] = f"new{rng.randrange(50)}"
+            html = f"<article><p>{' '.join(words)}</article><div>All rights reserved by the paper</div>"
+        elif kind == 4:
+            html = f"<title>Weekly letter</title><article><h1>Weekly letter</h1><p>{prose(k, 50)}<p>Written by the staff of this paper every day<p>{prose(k % 3, 40)}</article>"
+        elif kind == 5:
+            html = f"<div class=m>{prose(1, 60)}</div><p>{prose(4000 + k, 20)}</p><p>Written by the staff of this paper every day</p>"
+        else:
+            html = rng.choice(["", "<p>x", f"<p>{prose(k % 9, 3)}", made[rng.randrange(len(made))] if made else "<p>first"])
+        made.append(html)
+    return made
+
+
+@pytest.mark.parametrize("run", [4, 3])
+def test_the_text_of_a_page_does_not_depend_on_the_size_of_its_host(spark, run):
+    hosts = {f"h{h}.example": mixed_host(n, h) for h, n in enumerate((160, 7))}
+    rows = [(k if k % 40 else None, f"https://{h}/{k}", html) for h, made in hosts.items() for k, html in enumerate(made)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    due = {}
+    for h in hosts:
+        own = sorted((r for r in rows if f"//{h}/" in r[1]), key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+        due |= {r[1]: t for r, t in zip(own, E.main_texts([r[2] for r in own], run))}
+    assert len(set(due.values())) > 60
+    for size in (1 << 24, 4000, 0):
+        assert {r.url: r.text for r in E.extract(df, min_run=run, shard_bytes=size).collect()} == due
