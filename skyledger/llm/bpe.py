@@ -23,10 +23,10 @@ import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from skyledger.llm import text as X
@@ -141,6 +141,12 @@ def _apart(places: np.ndarray, after: np.ndarray) -> np.ndarray:
     return places[(np.arange(len(places)) - heads) % 2 == 0]
 
 
+def _bounds(held: pa.LargeBinaryArray) -> np.ndarray:
+    """Where each value begins in the array's bytes, and where the last ends."""
+    raw = held.buffers()[1]
+    return np.frombuffer(raw, np.int64)[held.offset:held.offset + len(held) + 1] if len(held) else np.zeros(1, np.int64)
+
+
 class Codec:
     """Ids of whole texts and texts of ids, by one vocabulary file."""
 
@@ -160,14 +166,19 @@ class Codec:
         self.special = {content: np.array([t["id"]], "<u4").tobytes() for content, t in added.items()}
         self.cut_special = re.compile("(" + "|".join(re.escape(c) for c in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.in_special = re.compile(self.cut_special.pattern.encode()) if added else None
+        self.less_first = all(c.startswith("<") for c in added)
         size = max([self.merger.width - 1, *(t["id"] for t in added.values())]) + 1
         self.tokens = [""] * size
         for content, k in [*self.merger.vocab.items(), *((c, t["id"]) for c, t in added.items())]:
             self.tokens[k] = content
         self.raw = [t.encode() for t in self.tokens]
-        self.decimal = [b"%d" % k for k in range(size)]
+        #: Each token's number and text, with the blank behind it.
+        self.decimal = pa.array([b"%d " % k for k in range(size)], pa.large_binary())
+        self.spaced = pa.array([t + b" " for t in self.raw], pa.large_binary())
         self.by_word, self.memory_bytes = by_word, memory_bytes
+        #: Words met lately, and those met before them that may be forgotten next.
         self.memory: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.held = 0
 
     def _pieces(self, part: str) -> list[str]:
@@ -175,61 +186,85 @@ class Codec:
             part = self.normalizer.normalize_str(part)
         return [p for p, _ in self.cutter.pre_tokenize_str(part)] if self.cutter else [part] * bool(part)
 
-    def _cut(self, parts: list[str]) -> list[list[str]]:
-        """Pieces of each part. Words are normalised and cut in one call for many, where that keeps them apart."""
+    def _cut(self, parts: list[str]) -> tuple[list[str], np.ndarray]:
+        """Pieces of all parts, and how many each has. Words are normalised and cut in one call for many, where that keeps them apart."""
         if self.by_word and len(parts) > 1:
             joined = " ".join(parts)
             joined = self.normalizer.normalize_str(joined) if self.normalizer else joined
             words = joined.split(" ")
             if len(words) == len(parts):
-                ends = list(accumulate(len(w) + 1 for w in words))
-                out: list[list[str]] = [[] for _ in parts]
-                k = 0
-                for piece, (start, _) in self.cutter.pre_tokenize_str(joined):
-                    while start >= ends[k]:
-                        k += 1
-                    out[k].append(piece)
-                return out
-        return [self._pieces(p) for p in parts]
-
-    def _learn(self, parts: list[bytes]) -> dict[bytes, bytes]:
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                found = self.cutter.pre_tokenize_str(joined) if self.cutter else []
+                owner = np.searchsorted(ends, np.fromiter((start for _, (start, _) in found), np.int64, len(found)), "right")
+                return ([p for p, _ in found], np.bincount(owner, minlength=len(parts))) if self.cutter else (words, np.ones(len(words), np.int64))
+        cut = [self._pieces(p) for p in parts]
+        return [p for pieces in cut for p in pieces], np.array([len(pieces) for pieces in cut], np.int64)
+
+    def _learn(self, raws: list[bytes]) -> list[bytes]:
         """Ids of words (or texts) not seen before, all through one index of pairs."""
-        number: dict[str, int] = {}
-        plan: dict[bytes, list] = {}
-        with_special = {raw for raw in parts if self.in_special.search(raw)} if self.in_special else set()
-        for raw in with_special:
-            plan[raw] = steps = []
-            for part in self.cut_special.split(raw.decode("utf-8", "replace")):
+        pieces: list[str] = []
+        counts = np.zeros(len(raws), np.int64)
+        odd: dict[int, list] = {}  # those with a special string: its id, or the number of a piece
+        plain = list(range(len(raws)))
+        if self.in_special:
+            plain = [k for k in plain if b"<" not in raws[k] or not self.in_special.search(raws[k])] if self.less_first else [
+                k for k in plain if not self.in_special.search(raws[k])]
+        for k in range(0, len(plain), 512):
+            some = plain[k:k + 512]
+            found, counts[some] = self._cut([raws[j].decode("utf-8", "replace") for j in some])
+            pieces += found
+        for k in sorted(set(range(len(raws))) - set(plain)) if len(plain) < len(raws) else []:
+            steps = odd[k] = []
+            for part in self.cut_special.split(raws[k].decode("utf-8", "replace")):
                 if part in self.special:
                     steps.append(self.special[part])
                 elif part:
-                    steps += [number.setdefault(p, len(number)) for p in self._pieces(part)]
-        plain = [raw for raw in parts if raw not in with_special]
-        for k in range(0, len(plain), 512):
-            some = plain[k:k + 512]
-            for raw, pieces in zip(some, self._cut([raw.decode("utf-8", "replace") for raw in some])):
-                plan[raw] = [number.setdefault(p, len(number)) for p in pieces]
-        if number:
-            ids, ends = self.merger.merge(list(number))
-            packed, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
-            found = [packed[a:b] for a, b in zip(cuts, cuts[1:])]
-        return {raw: b"".join([s if isinstance(s, bytes) else found[s] for s in steps]) for raw, steps in plan.items()}
+                    own = self._pieces(part)
+                    steps += range(len(pieces), len(pieces) + len(own))
+                    pieces += own
+        if not pieces:
+            return [b"".join(odd[k]) if k in odd else b"" for k in range(len(raws))]
+        coded = pa.array(pieces, pa.large_string()).dictionary_encode()
+        ids, ends = self.merger.merge(coded.dictionary.to_pylist())
+        known = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends * 4]).astype(np.int64)), pa.py_buffer(ids)])
+        each = known.take(coded.indices)
+        bounds, data = _bounds(each), memoryview(each.buffers()[2] or b"")
+        at = bounds[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        out = [bytes(data[a:z]) for a, z in zip(at, at[1:])]
+        for k, steps in odd.items():
+            out[k] = b"".join(s if isinstance(s, bytes) else bytes(data[bounds[s]:bounds[s + 1]]) for s in steps)
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text as little-endian unsigned 32-bit integers. A word is looked up once for all texts."""
         if not self.by_word:
-            found = self._learn(list(set(texts)))
+            own = list(set(texts))
+            found = dict(zip(own, self._learn(own)))
             return [found[t] for t in texts]
-        if self.held > self.memory_bytes:
-            self.memory, self.held = {}, 0
-        groups = [t.split() for t in texts]
-        new = list({w for words in groups for w in words if w not in self.memory})
-        if new:
-            found = self._learn(new)
-            self.memory.update(found)
-            self.held += sum(map(len, new)) + sum(map(len, found.values())) + 150 * len(new)
-        get = self.memory.__getitem__
-        return [b"".join(map(get, words)) for words in groups]
+        if not texts:
+            return []
+        cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        coded = pc.list_flatten(cut).view(pa.large_binary()).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if self.held > self.memory_bytes // 2:
+            self.older, self.memory, self.held = self.memory, {}, 0
+        parts = list(map(self.memory.get, words))
+        holes = [k for k, part in enumerate(parts) if part is None]
+        if holes:
+            unseen = []
+            for k in holes:
+                part = parts[k] = self.older.get(words[k])
+                if part is None:
+                    unseen.append(k)
+            for k, part in zip(unseen, self._learn([words[k] for k in unseen]) if unseen else []):
+                parts[k] = part
+            self.memory.update((words[k], parts[k]) for k in holes)
+            self.held += sum(len(words[k]) + len(parts[k]) for k in holes) + 150 * len(holes)
+        # The ids of all words, end to end; a text's begin and end where its words do.
+        ids = pa.array(parts, pa.large_binary()).take(coded.indices)
+        at = _bounds(ids)[cut.offsets.to_numpy()].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        return [bytes(data[a:z]) for a, z in zip(at, at[1:])]
 
     def decode(self, ids: bytes) -> bytes:
         """Text of ids, special strings included, as the library's decoder of the vocabulary has it."""
@@ -244,11 +279,10 @@ class Codec:
         if self.decoder is not None:
             text.update(self.decode(ids))
         for k in range(0, len(ids), step):
-            part = np.frombuffer(ids[k:k + step], "<u4").tolist()
-            gap = b" " if k else b""
-            numbers.update(gap + b" ".join(map(self.decimal.__getitem__, part)))
-            if self.decoder is None:
-                text.update(gap + self.decode(ids[k:k + step]))
+            part = pa.array(np.frombuffer(ids[k:k + step], "<u4"))
+            for digest, tokens in ((numbers, self.decimal), (text, self.spaced))[:2 if self.decoder is None else 1]:
+                held = memoryview(tokens.take(part).buffers()[2])
+                digest.update(held if k + step < len(ids) else held[:-1])
         return numbers.hexdigest(), text.hexdigest()
 
 

@@ -81,3 +81,16 @@ def test_null_ids_decode_to_nothing_and_empty_tables(spark):
     assert {tuple(r) for r in bpe.decode(rows, tokenizer=tokenizer_path()).collect()} == {(1, ""), (None, "")}
     empty = table(spark, [])
     assert bpe.round_trip(empty, tokenizer=tokenizer_path()).count() == bpe.encode(empty, tokenizer=tokenizer_path()).count() == 0
+
+
+def test_words_are_looked_up_once_a_block_and_lately_used_ones_stay():
+    """A memory that is full lets go of the words not met lately, not of all; a block asks for each distinct word once."""
+    codec = bpe.Codec(tokenizer_path(), memory_bytes=2 * 400 * 150)
+    learned, learn = [], codec._learn
+    codec._learn = lambda raws: learned.extend(raws) or learn(raws)
+    common = prose(5, 300)
+    for k in range(6):
+        texts = [f"{common} {prose(k, 3)} {' '.join(f'word{k}x{j}' for j in range(300))}", " ", common * 2]
+        got = [np.frombuffer(i, "<u4").tolist() for i in codec.encode([x.encode() for x in texts])]
+        assert got == [ids for ids, _ in plain(texts)]
+    assert max(learned.count(w.encode()) for w in common.split()) == 1 and len(codec.memory) + len(codec.older) < 1300
