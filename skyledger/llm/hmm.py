@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,21 @@ def class_of(word: bytes, classes: int = CLASSES) -> int:
     return 1 + xxhash.xxh64_intdigest(word[:2] + b" " + word[-2:], 3) % (classes - 1) if word else 0
 
 
+def classes_of(words: pa.LargeBinaryArray, classes: int = CLASSES) -> np.ndarray:
+    """`class_of` of many words: once for each length up to two and first and last two bytes."""
+    if not len(words):
+        return np.zeros(0, np.uint16)
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+    data = np.concatenate([np.frombuffer(words.buffers()[2] or b"", np.uint8), np.zeros(2, np.uint8)]).astype(np.int64)
+    a, z = at[:-1], at[1:]
+    size = np.minimum(z - a, 2)
+    key = ((data[a] << 24) | (data[np.minimum(a + 1, z)] << 16) | (data[np.maximum(z - 2, a)] << 8) | data[np.maximum(z - 1, 0)]) * 3 + size
+    key[size == 1] = data[a[size == 1]] * 3 + 1
+    key[size == 0] = 0
+    _, first, same = np.unique(key, return_index=True, return_inverse=True)
+    return np.array([class_of(w, classes) for w in words.take(pa.array(first)).to_pylist()], np.uint16)[same]
+
+
 # ---------------------------------------------------------------- coding
 
 
@@ -71,28 +87,44 @@ def code(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col:
         chunk, held, size = 0, [], 0
 
         def done() -> Iterator[pa.RecordBatch]:
-            number: dict[bytes, int] = {END: 0}
-            coded = [np.array([*(number.setdefault(w, len(number)) for w in raw.lower().split()), 0], np.int32) for _, raw, _ in held]
-            shape = np.array([class_of(w, classes) for w in number], np.uint16)
-            seen = np.zeros(len(number), np.int64)
-            for (_, _, used), codes in zip(held, coded):
-                if used:
-                    seen += np.bincount(codes, minlength=len(number))
+            rows = pa.Table.from_batches(held).combine_chunks()
+            texts = rows.column(1).cast(pa.large_string()).combine_chunks()
+            cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts))
+            found = pc.list_flatten(cut).dictionary_encode()
+            number, flat, ends = found.dictionary.view(pa.large_binary()), found.indices.to_numpy() + 1, cut.offsets.to_numpy()
+            # Blanks at a text's ends leave empty words, which are none.
+            empty = pc.index(number, b"").as_py()
+            if empty >= 0:
+                real = flat != empty + 1
+                ends = np.concatenate([[0], np.cumsum(real)])[ends]
+                flat = flat[real]
+                flat[flat > empty + 1] -= 1
+                number = pa.concat_arrays([number[:empty], number[empty + 1:]])
+            number = pa.concat_arrays([pa.array([END], pa.large_binary()), number])
+            coded = [np.append(flat[a:z], 0).astype(np.int32) for a, z in zip(ends.tolist(), ends[1:].tolist())]
+            shape = classes_of(number, classes)
+            used = rows.column(2).to_numpy()
+            seen = np.bincount(flat[np.repeat(used, np.diff(ends))], minlength=len(number)).astype(np.int64)
+            seen[0] = used.sum()
             here = base + chunk
-            for k in range(0, len(held), 1024):
-                part, codes = held[k:k + 1024], coded[k:k + 1024]
-                yield _filled(schema, len(part), kind=["text"] * len(part), chunk=[here] * len(part), id=[h[0] for h in part], training=[h[2] for h in part],
-                              codes=[pack(c) for c in codes], classes=[shape[c].tobytes() for c in codes])
-            words = [w.decode() for w in number]
+            for k in range(0, len(coded), 1024):
+                part, codes = rows.slice(k, 1024), coded[k:k + 1024]
+                yield _filled(schema, len(codes), kind=["text"] * len(codes), chunk=[here] * len(codes), id=part.column(0).combine_chunks(),
+                              training=part.column(2).combine_chunks(), codes=[pack(c) for c in codes], classes=[shape[c].tobytes() for c in codes])
+            words = number.view(pa.large_string())
             for k in range(0, len(words), 1 << 16):
-                part = words[k:k + (1 << 16)]
-                yield _filled(schema, len(part), kind=["word"] * len(part), chunk=[here] * len(part), word=part, code=range(k, k + len(part)),
-                              n=seen[k:k + len(part)], **{"class": shape[k:k + len(part)].astype(np.int32)})
+                part = words[k:k + (1 << 16)].cast(pa.string())
+                yield _filled(schema, len(part), kind=pa.repeat("word", len(part)), chunk=pa.repeat(pa.scalar(here, pa.int64()), len(part)), word=part,
+                              code=np.arange(k, k + len(part), dtype=np.int32), n=seen[k:k + len(part)], **{"class": shape[k:k + len(part)].astype(np.int32)})
 
         for batch in batches:
-            for key, raw, used in zip(batch.column(0).to_pylist(), X.raw(batch.column(1)), batch.column(2).to_pylist()):
-                held.append((key, raw, used))
-                size += len(raw) // 5 + 1
+            sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64) // 5 + 1)
+            start, taken = 0, 0
+            while start < len(batch):
+                stop = min(int(np.searchsorted(sizes, taken + chunk_tokens - size)) + 1, len(batch))
+                held.append(batch.slice(start, stop - start))
+                size += int(sizes[stop - 1]) - taken
+                start, taken = stop, int(sizes[stop - 1])
                 if size >= chunk_tokens:
                     yield from done()
                     chunk, held, size = chunk + 1, [], 0
@@ -108,7 +140,13 @@ def code(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col:
 
 def _filled(schema: pa.Schema, size: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+        [_column(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+
+
+def _column(held, kind: pa.DataType) -> pa.Array:
+    if isinstance(held, pa.ChunkedArray):
+        held = pa.concat_arrays(held.chunks)
+    return held.cast(kind) if isinstance(held, pa.Array) else pa.array(held, kind)
 
 
 # ---------------------------------------------------------------- training
@@ -145,6 +183,7 @@ def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray,
     states = len(model.start)
     start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit)
     A, E, at_start = model.move.astype(np.float32), model.emit.astype(np.float32), model.start.astype(np.float32)
+    ones = np.ones((states, 1), np.float32)  # sums over states are products: numpy's sums along a short axis are slow
     table, sizes = _segments(texts)
     for k in range(0, len(table), 2048):
         rows, own = table[k:k + 2048], sizes[k:k + 2048]
@@ -156,18 +195,18 @@ def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray,
             n = alive[t]
             likely[t, :n] = E[seen[t, :n]]
             now = (at_start if t == 0 else alpha[t - 1, :n] @ A) * likely[t, :n]
-            alpha[t, :n] = now / np.maximum(now.sum(axis=1, keepdims=True), 1e-30)
+            alpha[t, :n] = now / np.maximum(now @ ones, 1e-30)
         beta = np.ones((len(rows), states), np.float32)
         for t in range(steps - 1, -1, -1):
             n = alive[t]
             if t + 1 < steps and (m := alive[t + 1]):
                 ahead = likely[t + 1, :m] * beta[:m]
                 back = ahead @ A.T
-                scale = np.maximum((alpha[t, :m] * back).sum(axis=1, keepdims=True), 1e-30)
+                scale = np.maximum((alpha[t, :m] * back) @ ones, 1e-30)
                 move += (alpha[t, :m] / scale).T.astype(np.float64) @ ahead * A
-                beta[:m] = back / np.maximum(back.max(axis=1, keepdims=True), 1e-30)
+                beta[:m] = back / np.maximum(back @ ones, 1e-30)
             gamma = alpha[t, :n] * beta[:n]
-            gamma /= np.maximum(gamma.sum(axis=1, keepdims=True), 1e-30)
+            gamma /= np.maximum(gamma @ ones, 1e-30)
             alpha[t, :n] = gamma  # no longer needed as it was
             if t == 0:
                 start += gamma.sum(axis=0)
@@ -252,7 +291,7 @@ def log_likelihoods(model: Model, texts: list[np.ndarray], length: int = SEGMENT
                 first = np.array([parts[p][1] == 0 for p in own[:n]])
                 step[first] = now[:n][first]
             step = step * model.emit[table[:n, t]][:, None, :]
-            total = step.sum(axis=(1, 2))
+            total = step.reshape(n, -1) @ np.ones(states * states)
             now[:n] = step / total[:, None, None]
             logs[:n] += np.log(total)
         product[own], scale[own] = now, logs
@@ -289,13 +328,15 @@ def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col
         of_code[place] = shape
         inside = np.log10(known + 1.0)
         coded = [unpack(b) for b in left.column("codes").to_pylist()]
-        states_part = log_likelihoods(model, [of_code[x] for x in coded]) / np.log(10)
-        words_part = inside - np.log10(n_class + v_class + 1)[of_code]
+        flat, ends = np.concatenate(coded), np.cumsum([len(x) for x in coded])[:-1]
+        split = lambda of_word: np.split(of_word[flat], ends)
+        states_part = log_likelihoods(model, split(of_code)) / np.log(10)
+        words_part = split(inside - np.log10(n_class + v_class + 1)[of_code])
         return pa.table({
             "id": left.column("id"), "training": left.column("training"), "n_tokens": pa.array([len(x) for x in coded], pa.int64()),
-            "n_known": pa.array([int((known[x] > 0).sum()) for x in coded], pa.int64()), "train_tokens": pa.array([N] * len(coded), pa.int64()),
-            "base_score": pa.array([float((inside[x] - np.log10(N + V + 1.0)).sum()) for x in coded], pa.float64()),
-            "score": pa.array([float(s + words_part[x].sum()) for s, x in zip(states_part, coded)], pa.float64())})
+            "n_known": pa.array([int(x.sum()) for x in split(known > 0)], pa.int64()), "train_tokens": pa.array([N] * len(coded), pa.int64()),
+            "base_score": pa.array([float(x.sum()) for x in split(inside - np.log10(N + V + 1.0))], pa.float64()),
+            "score": pa.array([float(s + x.sum()) for s, x in zip(states_part, words_part)], pa.float64())})
 
     counted = words.join(counts.select("word", "c"), "word", "left").select("chunk", "code", "class", F.coalesce("c", F.lit(0)).alias("c"))
     kind, _ = X.id_type(texts)

@@ -4,6 +4,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import odd, odd_texts, prose, table
 from pyspark.sql import functions as F
@@ -98,3 +99,31 @@ def test_odd_rows_and_empty_table(spark):
     assert H.score(docs.limit(0), training(), iterations=1).count() == 0
     none = H.score(docs, F.lit(False), iterations=1).collect()
     assert len(none) == docs.count() and all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in none)
+
+
+def test_a_chunk_is_coded_as_arrays(spark, monkeypatch):
+    """Codes, classes and counts of every chunk, held against one word at a time; no word becomes an object of its own."""
+    words = [b"", b"a", b"ab", b"abc", "é".encode(), b"\x00", b"\x00\x00", b"a\x00", "日本語".encode(), b"abxxab", b"abyyab"]
+    held = pa.array([b"left out", *words], pa.large_binary())[1:]
+    asked = []
+    monkeypatch.setattr(H, "class_of", lambda w, classes, one=H.class_of: asked.append(w) or one(w, classes))
+    got = H.classes_of(held, 300).tolist()
+    assert len(asked) == len(words) - 2  # the last two have the ends of "ab"
+    monkeypatch.undo()
+    assert got == [H.class_of(w, 300) for w in words]
+
+    docs = odd(spark)
+    for size in (1, 500, 1 << 20):
+        texts, counts = H.code(docs.coalesce(1), F.col("doc_id") % 2 == 0, classes=300, chunk_tokens=size)
+        number = {(r.chunk, r.code): r for r in counts.collect()}
+        found, seen = [], {}
+        for r in texts.collect():
+            codes = H.unpack(bytes(r.codes)).tolist()
+            found.append((r.id, r.training, [number[r.chunk, c].word for c in codes]))
+            assert np.frombuffer(bytes(r.classes), np.uint16).tolist() == [number[r.chunk, c]["class"] for c in codes]
+            for c in codes if r.training else []:
+                seen[r.chunk, c] = seen.get((r.chunk, c), 0) + 1
+        lower = lambda t: [w.decode() for w in (t or "").encode().lower().split()]
+        due = [(r.doc_id, r.doc_id is not None and r.doc_id % 2 == 0, [*lower(r.text), ""]) for r in docs.collect()]
+        assert sorted(found, key=str) == sorted(due, key=str)
+        assert all(r.n == seen.get(k, 0) and r["class"] == H.class_of(r.word.encode(), 300) for k, r in number.items())
