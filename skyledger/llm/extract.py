@@ -41,6 +41,7 @@ COVERED = 0.5
 SEVERAL = 3  # texts that have a block, at least, before it goes from an article
 SHARED = 0.1  # and their share of the host's texts
 SHARD_BYTES = 8 << 20  # of a host that one task judges; the result does not depend on it
+PREFIX, SLOTS = 36, 10  # bits of a run's hash that are compared first, and those of them that deal the runs
 UNIT = 1 << 20  # weights are whole numbers, so that sums do not depend on their order
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -282,7 +283,7 @@ class _Hashed:
     def __init__(self, min_run: int):
         self.min_run, self.known = min_run, {}
 
-    def runs(self, words: list[str], seed: int) -> list[int]:
+    def runs(self, words: list[str], seed: int) -> np.ndarray:
         """One for each run of `min_run` words."""
         if len(self.known) > 1 << 20:
             self.known = {}
@@ -290,8 +291,54 @@ class _Hashed:
             if w not in self.known:
                 self.known[w] = xxhash.xxh64_intdigest(w)
         if len(words) < self.min_run:
-            return []
-        return _ranks(np.array([self.known[w] for w in words], np.uint64) ^ np.uint64(seed), self.min_run).view(np.int64).tolist()
+            return np.zeros(0, np.int64)
+        return _ranks(np.array([self.known[w] for w in words], np.uint64) ^ np.uint64(seed), self.min_run).view(np.int64)
+
+    def short(self, words: list[str], seed: int) -> int:
+        """Of a block with fewer words."""
+        return _signed(xxhash.xxh64_intdigest(" ".join(words), seed ^ 1))
+
+
+def _found_twice(pages: DataFrame, min_run: int) -> DataFrame:
+    """Prefixes of PREFIX bits of all runs' hashes that two runs have; written. Runs of any other prefix are on one page only.
+
+    A task sends a slot of prefixes as one row of sorted differences, about two bytes a run, so that runs found once are not exchanged whole.
+    """
+    rest = PREFIX - SLOTS
+
+    def send(found: Iterable[tuple]) -> Iterator[tuple]:
+        hashed, held, size = _Hashed(min_run), [], 0
+
+        def rows() -> Iterator[tuple]:
+            values, times = np.unique(np.concatenate(held).view(np.uint64) >> np.uint64(64 - PREFIX), return_counts=True)
+            values = np.repeat(values, np.minimum(times, 2))
+            ends = np.searchsorted(values, np.arange(1 << SLOTS, dtype=np.uint64) << np.uint64(rest)).tolist() + [len(values)]
+            low = (values & np.uint64((1 << rest) - 1)).astype(np.int64)
+            for slot, (a, z) in enumerate(zip(ends, ends[1:])):
+                if z > a:
+                    yield slot, np.diff(low[a:z], prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+        for _, host, texts in found:
+            seed = xxhash.xxh64_intdigest(host)
+            blocks_words = [t.lower().split() for t in texts]
+            held.append(hashed.runs([w for words in blocks_words for w in words], seed))
+            held.append(np.array([hashed.short(words, seed) for words in blocks_words if len(words) < min_run] if texts else [_signed(seed)], np.int64))
+            size += len(held[-1]) + len(held[-2])
+            if size >= 1 << 22:
+                yield from rows()
+                held, size = [], 0
+        if held:
+            yield from rows()
+
+    def meet(group: pa.Table) -> pa.Table:
+        own = [np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64))
+               for raw in group.column("packed").to_pylist()]
+        values, times = np.unique(np.concatenate(own), return_counts=True)
+        return pa.table({"prefix": pa.array(values[times > 1] + (int(group.column("slot")[0].as_py()) << rest), _LONG)})
+
+    sent = map_rows(pages.select("page", "host", F.col("blocks.text").alias("texts")), send, ["page", "host", "texts"], "slot int, packed binary",
+                    pa.schema([("slot", _INT), ("packed", pa.binary())]), 64)
+    return stage(sent.groupBy("slot").applyInArrow(meet, "prefix long"), "found-twice")
 
 
 def _numbers(pages: DataFrame, edges: DataFrame) -> DataFrame:
@@ -338,27 +385,27 @@ def host_wide(df: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     def article(found: Iterable[tuple]) -> Iterator[tuple]:
         hashed = _Hashed(min_run)
         for page, host, held, marked, own_k, having in found:
-            seed = xxhash.xxh64_intdigest(host)
+            seed, total = xxhash.xxh64_intdigest(host), 0
             if not held:
-                yield page, [_signed(seed)], [UNIT]
-                continue
-            runs, weights = [], []
+                yield page, _signed(seed), UNIT
+                total = UNIT
             for k, b in enumerate(held):
                 if (b["main"] and not b["side"]) if marked else k == own_k:
-                    words = b["text"].lower().split()
-                    some = hashed.runs(words, seed) or [_signed(xxhash.xxh64_intdigest(" ".join(words), seed ^ 1))]
-                    runs += some
-                    weights += [int(UNIT / sqrt(having[k]))] * len(some)
-            yield page, runs, weights
-
+                    words, each = b["text"].lower().split(), int(UNIT / sqrt(having[k]))
+                    for run in hashed.runs(words, seed).tolist() or [hashed.short(words, seed)]:
+                        yield page, run, each
+                        total += each
+            yield page, None, total
+
+    twice = _found_twice(pages, min_run)
+    prefix = lambda of: F.shiftrightunsigned(of, 64 - PREFIX)
     texts = pages.select("page", "host", F.expr("transform(blocks, b -> struct(b.text, b.side, b.main))").alias("blocks")).join(own, "page", "left")
-    longs = pa.list_(_LONG)
-    articles = stage(map_rows(texts, article, ["page", "host", "blocks", "marked", "own_k", "pages"], "page long, runs array<long>, weights array<long>",
-                              pa.schema([("page", _LONG), ("runs", longs), ("weights", longs)]), 256), "article-runs")
-    runs = articles.select("page", F.explode(F.arrays_zip("runs", "weights")).alias("r")).select("page", F.col("r.runs").alias("run"), F.col("r.weights").alias("each"))
+    runs = map_rows(texts, article, ["page", "host", "blocks", "marked", "own_k", "pages"], "page long, run long, each long",
+                    pa.schema([("page", _LONG), ("run", _LONG), ("each", _LONG)]), 1 << 16)
+    runs = stage(runs.join(twice, prefix("run") == F.col("prefix"), "left").where("prefix is not null or run is null").drop("prefix"), "article-runs")
+    total, runs = runs.where("run is null").select("page", F.col("each").alias("total")), runs.where("run is not null")
     shared = stage(runs.groupBy("run").agg(F.min("page").alias("q"), F.max("page").alias("z")).where("q < z").select("run", "q"), "shared-runs")
     edges = stage(runs.join(shared, "run").where("q < page").groupBy("page", "q").agg(F.sum("each").alias("w")), "edges")
-    total = articles.select("page", F.aggregate("weights", F.lit(0).cast("long"), lambda a, b: a + b).alias("total"))
     number = stage(_numbers(pages.select("page", "host").join(total, "page"), edges), "texts")
     hosts = number.groupBy("host").agg(F.countDistinct("n").alias("texts"))
 
@@ -366,11 +413,12 @@ def host_wide(df: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     def suffix(found: Iterable[tuple]) -> Iterator[tuple]:
         hashed = _Hashed(min_run)
         for page, host, held in found:
-            for at, rank in enumerate(hashed.runs([w for text in held for w in text.lower().split()], xxhash.xxh64_intdigest(host))):
+            for at, rank in enumerate(hashed.runs([w for text in held for w in text.lower().split()], xxhash.xxh64_intdigest(host)).tolist()):
                 yield page, at, rank
 
     suffixes = map_rows(pages.select("page", "host", F.col("blocks.text").alias("texts")), suffix, ["page", "host", "texts"], "page long, at int, rank long",
                         pa.schema([("page", _LONG), ("at", _INT), ("rank", _LONG)]), 1 << 16)
+    suffixes = stage(suffixes.join(twice, prefix("rank") == F.col("prefix"), "left_semi"), "suffixes")
     numbered = suffixes.select("page", "rank").join(number.select("page", "n"), "page")
     repeats = stage(numbered.groupBy("rank").agg(F.min("n").alias("a"), F.max("n").alias("z")).where("a < z").select("rank"), "repeated-ranks")
     begins = stage(suffixes.join(repeats, "rank").groupBy("page").agg(F.collect_list("at").alias("begins")), "repeats")
