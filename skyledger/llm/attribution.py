@@ -72,9 +72,6 @@ class Offsets(Encoder):
     def packed(self, got) -> bytes:
         return np.array(got.offsets, "<i4").tobytes()
 
-    def _learn(self, new: list[bytes]) -> None:
-        self._encode(new)  # a stem's spans do not fit what follows it
-
 
 _encoders: dict[str, Offsets] = {}
 

@@ -17,7 +17,6 @@ ordered by the hash of their text; a special token's string inside a text is tha
 from __future__ import annotations
 
 import io
-import re
 import struct
 import unicodedata
 import uuid
@@ -44,21 +43,21 @@ CHECKSUMS = 0x80
 
 FRAME_IDS = 1 << 16
 MEMO_WORDS = 1_500_000
-MEMO_BYTES = 1 << 25
-SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+MEMO_BYTES = 96 << 20  # words remembered by one Python worker, counted as their bytes and their ids' bytes and 150 a word
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 GROUP_BYTES = 1 << 23
 END_ID = 1
 
 
-def latin_end(word: bytes) -> bool:
+def latin_end(word: str) -> bool:
     """The word ends with an accented Latin letter that the normaliser leaves a letter."""
-    last = word.decode()[-1:]
+    last = word[-1:]
     return "\u00c0" <= last < "\u0250" and unicodedata.normalize("NFC", last.lower()).isalpha()
 
 
 class Encoder:
     """Ids of whole texts as bytes. The tokenizer cuts at blanks and never looks across them, so each word is
-    encoded once and remembered; past `memo_words` words, or `memo_bytes` bytes of them, the memory starts anew."""
+    encoded once and remembered; past `memo_words` words, or `memo_bytes` bytes of them and their ids, those not met lately are forgotten."""
 
     width = 4
 
@@ -66,33 +65,26 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Words met lately, and those met before them that are forgotten next.
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.memo_words, self.memo_bytes, self.held = memo_words, memo_bytes, 0
         #: Tokens that end a word, for cutting the ids of many words apart; none where the vocabulary marks no word ends.
         ends = [t.endswith("</w>") for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda e: e[1])]
         self.ends = np.array(ends) if any(ends) else None
-        names = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()}, key=len, reverse=True)
-        self.special = re.compile(b"|".join(re.escape(n.encode()) for n in names)) if names else None
-
-    def _learn(self, new: list[bytes]) -> None:
-        # Case does not count, and ASCII signs behind a letter are tokens of their own: such words share a stem.
-        # A word that holds a special token's string, in any case, is encoded as it stands: only the string itself is that token.
-        if self.special:
-            odd = {w for w in new if b"<" in w and self.special.search(w.lower())}
-            if odd:
-                self._encode(list(odd))
-                new = [w for w in new if w not in odd]
-        memo = self.memo
-        memo[b""] = b""
-        stems, rests = [], []
-        for low in b" ".join(new).lower().split(b" ") if new else []:
-            stem = low.rstrip(SIGNS)
-            if len(stem) < len(low) and not (stem[-1:].isalpha() or latin_end(stem)):
-                stem = low
-            stems.append(stem)
-            rests.append(low[len(stem):])
-        self._encode([w for w in {*stems, *rests} if w not in memo])
-        memo.update(zip(new, [memo[a] + memo[z] if z else memo[a] for a, z in zip(stems, rests)]))
+        self.special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+
+    def _recall(self, words: set[bytes]) -> list[bytes]:
+        """Those that are not remembered; of the others, the ones met before the last are now met lately."""
+        again = [w for w in words if w in self.older]
+        if again:
+            self._remember(again, [self.older.pop(w) for w in again])
+            words.difference_update(again)
+        return list(words)
+
+    def _remember(self, words: list[bytes], parts: list[bytes]) -> None:
+        self.memo.update(zip(words, parts))
+        self.held += sum(map(len, words)) + sum(map(len, parts)) + 150 * len(words)
 
     def _encode(self, new: list[bytes]) -> None:
         """Encodes words, many at a time. Words of letters alone are one piece each, so each ends with the one token that ends a word."""
@@ -110,30 +102,28 @@ class Encoder:
                     rest += part
                     continue
                 packed, at = ids.tobytes(), [0, *(cut * 4).tolist()]
-                self.memo.update(zip(part, [packed[a:b] for a, b in zip(at, at[1:])]))
+                self._remember(part, [packed[a:b] for a, b in zip(at, at[1:])])
         for k in range(0, len(rest), 4096):
             part = rest[k:k + 4096]
             got = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
             packed = self.packed(got)
             at = (np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1)) * self.width).tolist()
-            self.memo.update(zip(part, (packed[a:b] for a, b in zip(at, at[1:]))))
+            self._remember(part, [packed[a:b] for a, b in zip(at, at[1:])])
 
     def packed(self, got) -> bytes:
         """What is remembered of an encoding, `width` bytes a token."""
         return np.array(got.ids, "<u4").tobytes()
 
     def parts(self, words: list[bytes]) -> list[bytes]:
-        """What is remembered of each word. New words are learned together."""
+        """What is remembered of each word, as it stands. New words are learned together."""
+        if len(self.memo) > self.memo_words // 2 or self.held > self.memo_bytes // 2:
+            self.older, self.memo, self.held = self.memo, {}, 0
         parts = list(map(self.memo.get, words))
         if None in parts:
             holes = [n for n, part in enumerate(parts) if part is None]
-            new = {words[n] for n in holes}
-            size = sum(map(len, new))
-            if len(self.memo) + len(new) > self.memo_words or self.held + size > self.memo_bytes:
-                self.memo.clear()
-                self.held = 0
-            self.held += size
-            self._learn(list(new))
+            new = self._recall({words[n] for n in holes})
+            if new:
+                self._encode(new)
             for n in holes:
                 parts[n] = self.memo[words[n]]
         return parts
@@ -145,17 +135,49 @@ class Encoder:
             if group and size + len(raw) > group_bytes:
                 yield from self._joined(group)
                 group, size = [], 0
+                pa.default_memory_pool().release_unused()  # it would keep several times a group for itself
             group.append(raw)
             size += len(raw)
         if group:
             yield from self._joined(group)
+        pa.default_memory_pool().release_unused()
+
+    def _words(self, words: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """Ids of distinct words. Case does not count, and ASCII signs behind a letter are tokens of their own: such words share a stem.
+
+        A word that holds a special token's string, in any case, is encoded as it stands: only the string itself is that token.
+        """
+        low = pc.ascii_lower(words)
+        stem = pc.ascii_rtrim(low, characters=SIGNS)
+        size, least = pc.binary_length(low).to_numpy(), pc.binary_length(stem).to_numpy()
+        signs = (least < size) & (least > 0)
+        at = np.flatnonzero(signs)
+        ends = np.frombuffer(stem.buffers()[1], np.int64)[stem.offset + 1:][at] - 1 if len(at) else at
+        last = np.frombuffer(stem.buffers()[2], np.uint8)[ends] if len(at) else at
+        foreign = at[last > 127]
+        signs[at] = (last > 96) & (last < 123)
+        signs[foreign] = list(map(latin_end, stem.take(pa.array(foreign)).to_pylist()))
+        odd = np.zeros(len(words), bool)
+        for name in self.special:
+            odd |= pc.match_substring(words, name, ignore_case=True).to_numpy(zero_copy_only=False)
+        signs &= ~odd
+        at = np.flatnonzero(signs)
+        tails = [w[n:] for w, n in zip(low.take(pa.array(at)).to_pylist(), pc.utf8_length(stem.take(pa.array(at))).to_pylist())]
+        stem = pc.if_else(pa.array(odd), words, pc.if_else(pa.array(signs), stem, low)).dictionary_encode()
+        rest = pa.array(tails, pa.large_string()).dictionary_encode()
+        parts = self.parts([*stem.dictionary.cast(pa.large_binary()).to_pylist(), *rest.dictionary.cast(pa.large_binary()).to_pylist()])
+        # A word without signs behind it takes the empty part at the end.
+        n = len(stem.dictionary)
+        behind = np.full(len(words), len(parts) - n)
+        behind[at] = rest.indices.to_numpy()
+        heads, tails = pa.array(parts[:n], pa.large_binary()), pa.array([*parts[n:], b""], pa.large_binary())
+        return pc.binary_join_element_wise(heads.take(stem.indices), tails.take(pa.array(behind)), pa.scalar(b"", pa.large_binary()))
 
     def _joined(self, texts: list[bytes]) -> Iterator[bytes]:
         cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
         found = pc.list_flatten(cut).dictionary_encode()
-        parts = self.parts(found.dictionary.cast(pa.large_binary()).to_pylist())
         # The ids of all words, end to end; a text's begin and end where its words do.
-        ids = pa.array(parts, pa.large_binary()).take(found.indices)
+        ids = self._words(found.dictionary).take(found.indices)
         _, offsets, data = ids.buffers()
         ends = np.frombuffer(offsets, np.int64)[np.asarray(cut.offsets)].tolist() if len(ids) else [0] * (len(texts) + 1)
         held = memoryview(data) if data is not None else memoryview(b"")

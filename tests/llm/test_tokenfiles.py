@@ -1,5 +1,6 @@
 import glob
 import io
+import sys
 import zlib
 
 import numpy as np
@@ -89,3 +90,14 @@ def test_signs_letters_and_small_memories_equal_whole_texts():
         for _ in range(2):
             got = [np.frombuffer(b, "<u4").tolist() for b in made.encode([t.encode() for t in texts], group)]
             assert got == due
+
+
+def test_what_is_remembered_stays_within_its_bytes():
+    made = T.Encoder(tokenizer_path(), memo_bytes=4 << 20)
+    texts = [" ".join(f"{'abcdefghij'[k % 10] * 3}{'qrstuvwxyz'[j % 10]}{''.join('klmnopqrst'[int(d)] for d in str(j))}." for j in range(k * 1000, k * 1000 + 1000)) for k in range(120)]
+    whole = Tokenizer.from_file(tokenizer_path())
+    for n, got in enumerate(made.encode([t.encode() for t in texts], 1 << 14)):
+        if n % 40 == 0:
+            assert np.frombuffer(got, "<u4").tolist() == whole.encode(texts[n], add_special_tokens=False).ids
+        held = [*made.memo.items(), *getattr(made, "older", {}).items()]
+        assert sum(sys.getsizeof(w) + sys.getsizeof(p) for w, p in held) < 5 << 20
