@@ -110,7 +110,8 @@ def _assign(rows: DataFrame, carried: list[str], *, weights: Sequence[float], sh
     starts = stage(starts.alias("s").join(sources.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).select(
         "s.name", "s.slot", "base", "source_size", "target", "parts"), "starts")
     inside = Window.partitionBy("name", "slot").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["name", "slot"])
+    # A file of starts, one schedule on thousands of rows, is far smaller than its rows; the documents lie by name and slot already.
+    placed = keyed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts.hint("merge"), ["name", "slot"])
     at = F.col("base") + F.col("inside")
     goal = F.floor("target").cast("long")
     whole = F.element_at("parts", -1)["upto"]

@@ -106,6 +106,12 @@ def test_native_plan(spark):
     assert "Python" not in plan and "InArrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_slots_are_not_broadcast(spark):
+    """Their file repeats one schedule for all slots of a source, which packs it far below what the rows take."""
+    plan = M.assign(table(spark, ["a b", "c"]))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and plan.count("Exchange hashpartitioning") == 2
+
+
 def test_odd_rows_and_empty_table(spark):
     docs = odd(spark)
     rows = M.assign(docs).collect()

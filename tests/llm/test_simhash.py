@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skyledger.llm import simhash as S
 from skyledger.llm.graph import components
+from skyledger.plans.staging import stage
 
 
 def slow_fingerprint(text):
@@ -111,3 +112,19 @@ def test_odd_rows_and_empty_table(spark):
 def test_different_documents_under_one_id_all_stay(spark):
     docs = table(spark, [prose(1, 80), prose(2, 80), prose(3, 80), prose(1, 80)], ids=[3, 3, 1, 9])
     assert sorted((r.doc_id, r.text) for r in S.drop_copies(docs).collect()) == sorted([(3, prose(1, 80)), (3, prose(2, 80)), (1, prose(3, 80))])
+
+
+def test_probes_are_not_broadcast(spark):
+    """Each point is 73 probes, which Spark's size estimate leaves out."""
+    points = stage(spark.range(200).select(F.xxhash64("id").alias("fp")), "points")
+    text = S.close_pairs(points)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "Broadcast" not in text
+
+
+def test_broadcasts_stay_small(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "5m")
+    try:
+        assert S.near_duplicates(docs).count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
